@@ -1,0 +1,9 @@
+"""All queries by name, and their SQL."""
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
