@@ -10,6 +10,7 @@ input that share a name with a measure are replaced by the measure.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -36,10 +37,10 @@ class Rule:
     low: float | None = None
     high: float | None = None
 
-    def holds(self) -> Column:
-        value = F.col(self.numerator).cast("double")
+    def holds(self, of: Callable[[str], Column]) -> Column:
+        value = of(self.numerator).cast("double")
         if self.denominator:
-            value = value / F.greatest(F.col(self.denominator), F.lit(1))
+            value = value / F.greatest(of(self.denominator), F.lit(1))
         checks = [value >= self.low] if self.low is not None else []
         checks += [value <= self.high] if self.high is not None else []
         out = checks[0]
@@ -60,23 +61,28 @@ RULES = (
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words that lie in three-word windows found at least twice in the text.
+VERDICTS = ("base_failed", "failed_rules", "kept")
 
-    The windows' hashes are sorted with their positions; equal neighbours are repeats, and the union of
-    their three-word spans is summed in order of position.  Linear in memory, n log n in time.
-    """
+
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once. A name given by a projection would not do: a filter pushed below
+    it would hold a copy of the value for each of its uses."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _windows(words: Column) -> Column:
+    """The three-word windows' hashes with their positions, sorted."""
     n = F.size(words) - 2
-    keyed = F.sort_array(
-        F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
-        )
+    keyed = F.transform(
+        F.sequence(F.lit(0), n - 1),
+        lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
     )
-    return F.when(n > 0, keyed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+    return F.when(n > 0, F.sort_array(keyed)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
 
 
 def _covered(keyed: Column) -> Column:
+    """Words that lie in windows found at least twice: equal neighbours are repeats, and the union of their
+    three-word spans is summed in order of position.  Linear in memory, n log n in time."""
     m = F.size(keyed)
     same = lambda a, b: F.get(keyed, a)["h"] == F.get(keyed, b)["h"]
     repeated = F.filter(
@@ -93,42 +99,43 @@ def _covered(keyed: Column) -> Column:
     return F.when(m > 1, total).otherwise(F.lit(0))
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the columns of ``MEASURES`` (long)."""
-    t, w, lines, k = "__text", "__words", "__lines", "__keyed"
-    df = docs.drop(*MEASURES).withColumn(t, F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumns(
-        {
-            w: F.filter(F.split(F.col(t), SPACES), lambda x: x != ""),
-            lines: F.filter(F.split(F.col(t), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-        }
-    ).withColumn(k, _repeat_words(F.col(w)))
-    count = {
-        "n_words": F.size(w),
-        "word_chars": F.length(F.regexp_replace(t, SPACES, "")),
-        "n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")),
-        "n_stop_words": F.size(F.filter(F.col(w), lambda x: x.isin(list(dict.fromkeys(STOP_WORDS))))),
+def _counts(text: Column, words: Column, lines: Column) -> Column:
+    stop = list(dict.fromkeys(STOP_WORDS))
+    counts = {
+        "n_words": F.size(words),
+        "word_chars": F.length(F.regexp_replace(text, SPACES, "")),
+        "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")),
+        "n_stop_words": F.size(F.filter(words, lambda x: x.isin(stop))),
         "n_lines": F.size(lines),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
-        "n_repeat_words": _covered(F.col(k)),
+        "n_repeat_words": _bind(_windows(words), _covered),
     }
-    return df.withColumns({c: v.cast("long") for c, v in count.items()}).drop(t, w, lines, k)
+    return F.struct(*[counts[c].cast("long").alias(c) for c in MEASURES])
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+def _verdict(counts: Column, rules: tuple[Rule, ...]) -> Column:
+    base = (counts["n_words"] < 50) | (counts["n_repeat_words"] * 100 > counts["n_words"] * 50)
+    failed = F.filter(F.array(*[F.when(~r.holds(lambda n: counts[n]), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
+    return _bind(
+        failed,
+        lambda f: F.struct(*[counts[c].alias(c) for c in MEASURES], base.alias("base_failed"), f.alias("failed_rules"), (~base & (F.size(f) == 0)).alias("kept")),
+    )
+
+
+def verdict(text: str = "text", rules: tuple[Rule, ...] = RULES) -> Column:
+    """One expression: a struct of ``MEASURES`` (long) and ``VERDICTS``."""
+    words = lambda t: F.filter(F.split(t, SPACES), lambda x: x != "")
+    lines = lambda t: F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    counted = lambda t: _bind(words(t), lambda w: _bind(lines(t), lambda l: _counts(t, w, l)))
+    return _bind(F.coalesce(F.col(text), F.lit("")), lambda t: _bind(counted(t), lambda c: _verdict(c, rules)))
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Add the measures, ``base_failed``, ``failed_rules`` (names, in the table's order) and ``kept``."""
-    failed = F.filter(F.array(*[F.when(~r.holds(), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
-    return (
-        measure(docs, text)
-        .withColumns({"base_failed": base_failed(), "failed_rules": failed})
-        .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-    )
+    rest = docs.drop(*MEASURES, *VERDICTS)
+    return rest.withColumn("__verdict", verdict(text, rules)).select(*rest.columns, "__verdict.*")
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that pass, with the columns of the input."""
-    return judge(docs, rules).filter("kept").select(*docs.columns)
+    return docs.filter(verdict("text", rules)["kept"])
