@@ -37,8 +37,8 @@ ENDINGS = 48
 CLASSES = 2 * ENDINGS
 DIM = 16
 NOISE = 32
-BATCH = 4096
-RATE = 0.1
+BATCH = 1024
+RATE = 0.05
 CHARS = 1 << 18
 
 
@@ -120,12 +120,12 @@ class Model:
     def __init__(self, unigram: np.ndarray):
         random = np.random.default_rng(5)
         self.q = random.normal(0, 0.3, (SYMBOLS + 1, DIM)).astype(np.float32)
-        self.r = random.normal(0, 0.3, (SYMBOLS, DIM)).astype(np.float32)
+        self.r = random.normal(0, 0.02, (SYMBOLS, DIM)).astype(np.float32)  # near the unigram model to begin with
         self.c = np.ones((2, DIM), np.float32)
         self.b = np.log(unigram).astype(np.float32)
         self.noise = unigram
         self.offset = (np.log(NOISE * unigram)).astype(np.float32)
-        self.squares = {n: np.full(s, 1e-3, np.float32) for n, s in self.shapes}
+        self.squares = {n: np.full(s, 1e-8, np.float32) for n, s in self.shapes}
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n, _ in self.shapes])
@@ -150,12 +150,13 @@ class Model:
         context = q1 * self.c[0] + q2 * self.c[1]
         real = np.einsum("ij,ij->i", context, self.r[target]) + self.b[target] - self.offset[target]
         fake = context @ self.r[drawn].T + self.b[drawn] - self.offset[drawn]
-        up = 1 / (1 + np.exp(np.clip(real, -30, 30)))  # how far from sure that the data are data
-        down = -1 / (1 + np.exp(-np.clip(fake, -30, 30)))
+        up = 1 / (1 + np.exp(np.minimum(real, 30)))  # how far from sure that the data are data
+        down = -1 / (1 + np.exp(-np.maximum(fake, -30)))
         to_context = up[:, None] * self.r[target] + down @ self.r[drawn]
 
         def summed(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-            return np.stack([np.bincount(index, values[:, d], n) for d in range(DIM)], axis=1).astype(np.float32) / size
+            cells = index[:, None] * DIM + np.arange(DIM)
+            return (np.bincount(cells.ravel(), values.ravel(), n * DIM).reshape(n, DIM) / size).astype(np.float32)
 
         to_r = summed(target, up[:, None] * context, SYMBOLS)
         np.add.at(to_r, drawn, (down.T @ context) / size)
@@ -223,7 +224,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Model:
                 _, symbols, _ = _symbols(shared.value, [w for f in found for w in f])
                 held.append((*_contexts(symbols, np.array([len(f) for f in found])), symbols))
                 size += len(symbols)
-                if size >= BATCH * 16:
+                if size >= BATCH * 64:
                     one, two, target = (np.concatenate(c) for c in zip(*held, strict=True))
                     for at in range(0, size - BATCH + 1, BATCH):
                         cut_ = slice(at, at + BATCH)
