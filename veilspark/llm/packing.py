@@ -30,7 +30,8 @@ from veilspark.llm.store import cut, parallelism
 LENGTH = 2048
 END_ID = 0
 NEARLY_FULL = 8  # bins with at most so much space left are final
-CACHE = 150_000  # pieces of text whose ids a task remembers; the cache is then begun anew
+CACHE = 400_000  # pieces of text whose ids a worker process remembers; the cache is then begun anew
+CHARS = 1 << 18  # texts tokenised at once
 
 # White space as the tokeniser's pattern has it; Python's own class also holds the separators 28 to 31.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -51,17 +52,18 @@ class Ids:
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
 
-    def of(self, text: str) -> bytes:
-        pieces = PIECES.findall(text)
-        cache = self.cache
-        missing = [p for p in dict.fromkeys(pieces) if p not in cache]
-        if missing:
-            if len(cache) + len(missing) > CACHE:
-                cache = self.cache = {}
-                missing = list(dict.fromkeys(pieces))
-            for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                cache[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(cache.__getitem__, pieces))
+    def of(self, texts: list[str]) -> list[bytes]:
+        pieces = [PIECES.findall(t) for t in texts]
+        missing = list(set().union(*pieces).difference(self.cache))
+        if len(self.cache) + len(missing) > CACHE:
+            self.cache = {}
+            missing = list(set().union(*pieces))
+        for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+            self.cache[p] = np.array(e.ids, "<u4").tobytes()
+        return [b"".join(map(self.cache.__getitem__, p)) for p in pieces]
+
+
+_IDS: dict[str, Ids] = {}  # one for all tasks of a worker process, so that its cache stays warm
 
 
 def pieces_of(ids: bytes, length: int) -> list[tuple[int, int, int, int]]:
@@ -96,13 +98,24 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
     return bins
 
 
+def _grouped(ids: list, texts: list[str | None]) -> Iterator[tuple[list, list[str]]]:
+    """Documents in runs of about ``CHARS``."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= CHARS or i + 1 == len(texts):
+            yield ids[at : i + 1], [x or "" for x in texts[at : i + 1]]
+            at, size = i + 1, 0
+
+
 def _tokenised(docs: DataFrame, tokenizer_path: str, length: int) -> DataFrame:
     """One local round: the bins of each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids, grp = Ids(tokenizer_path), TaskContext.get().partitionId()
+        ids, grp = _IDS.get(tokenizer_path) or Ids(tokenizer_path), TaskContext.get().partitionId()
+        _IDS[tokenizer_path] = ids
         end = np.array([END_ID], "<u4").tobytes()
         open_: list[tuple[int, int, int, int, int]] = []
 
@@ -116,9 +129,10 @@ def _tokenised(docs: DataFrame, tokenizer_path: str, length: int) -> DataFrame:
 
         for batch in batches:
             whole = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for piece in pieces_of(ids.of(text or "") + end, length):
-                    (whole if piece[2] == length else open_).append((doc_id, *piece))
+            for some, texts in _grouped(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for doc_id, found in zip(some, ids.of(texts), strict=True):
+                    for piece in pieces_of(found + end, length):
+                        (whole if piece[2] == length else open_).append((doc_id, *piece))
             if whole:
                 yield full(whole)
             if len(open_) >= 200_000:
