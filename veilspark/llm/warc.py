@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.store import shared_dir
+from veilspark.llm.store import cut, shared_dir
 
 DATE = "2020-01-01T00:00:00Z"  # given, not taken from the clock, so that files are reproducible
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc:record")
@@ -104,12 +104,15 @@ class _Roller:
 
 def _writer(uri: str, roll_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, last, repeat = _Roller(uri, roll_bytes), None, 0
+        roller, last, repeat, mark, leader = _Roller(uri, roll_bytes), None, 0, None, None
         for batch in batches:
-            for shard, key, url, payload, digest, leader, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                repeat = repeat + 1 if last == (shard, key, digest) else 0
-                last = (shard, key, digest)
-                revisit = copies is not None and (key != leader or repeat > 0)
+            for shard, key, digest, url, payload, named in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if payload is None:  # says that the payload has copies, and which one is stored
+                    mark, leader = (key, digest), named
+                    continue
+                repeat = repeat + 1 if last == (key, digest) else 0
+                last = (key, digest)
+                revisit = mark == last and (key != leader or repeat > 0)
                 roller.add(shard, record(key, url, payload.encode(), leader, repeat, revisit))
         roller.close()
         if roller.rows:
@@ -143,7 +146,7 @@ def write_warc(
     spark = pages.sparkSession
     p = pages.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     p = p.withColumn("digest", F.sha1("payload"))
-    narrow = p.select("key", "digest", F.octet_length("payload").alias("size"))
+    narrow = cut(p.select("key", "digest", F.octet_length("payload").alias("size")), "payloads")
     split = np.array(_splitters(narrow, shard_bytes), np.int64)
 
     @F.pandas_udf("int")
@@ -152,9 +155,13 @@ def write_warc(
 
     copies = narrow.filter(F.col("size") >= revisit_bytes).groupBy("digest").agg(F.max("key").alias("leader"), F.count("*").alias("copies"))
     copies = copies.filter("copies > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    p = p.withColumn("salt", F.pmod(F.xxhash64("key", "url"), F.lit(salts)).cast("int")).join(copies, ["digest", "salt"], "left")
-    p = p.select(shard_of("key").alias("shard"), "key", "url", "payload", "digest", "leader", "copies")
-    dealt = p.repartitionById(len(split) + 1, F.col("shard")).sortWithinPartitions("shard", "key", "digest", "url")
+    marks = narrow.select("key", "digest").distinct().withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(copies, ["digest", "salt"])
+    # Payloads are shuffled once; what is known of their copies goes to the same place as rows that sort just before them.
+    none = F.lit(None).cast("string")
+    rows = p.select("key", "digest", "url", "payload", F.lit(None).cast("bigint").alias("leader"))
+    rows = rows.union(marks.select("key", "digest", none, none, "leader")).select(shard_of("key").alias("shard"), "*")
+    dealt = rows.repartitionById(len(split) + 1, F.col("shard"))
+    dealt = dealt.sortWithinPartitions("shard", "key", "digest", F.col("payload").isNotNull(), "url")
     done = dealt.mapInArrow(_writer(uri + "/records", roll_bytes), MANIFEST)
     done.write.parquet(uri + "/manifest-uncommitted")
     fs, root = pafs.FileSystem.from_uri(uri)
