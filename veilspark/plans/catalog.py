@@ -1,9 +1,255 @@
-"""All queries by name, and their SQL."""
+"""All queries by name: each operator applied to whole tables."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from veilspark.functions import checks, digests
+from veilspark.operators import audit, detect, metrics, redact, requests
+from veilspark.plans import redaction, sql
+from veilspark.sources import io
+from veilspark.streaming import replies
+
+SECRET = "a secret of the examples only"
+RUN = "a secret of one run"
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _exploded(df: DataFrame, key: str) -> DataFrame:
+    return df.select(key, F.explode("spans").alias("s")).select(key, F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"), "s.type", "s.value")
+
+
+def entity_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(documents(spark, sf_dir), "doc_id")
+
+
+def entity_spans_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(detect.detect(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))), "page_id")
+
+
+def entity_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.tally(documents(spark, sf_dir))
+
+
+def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid matches of each pattern by itself, before overlaps are resolved."""
+    catalog = detect.Catalog()
+    t = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    each = F.flatten(F.array(*[detect.candidates(F.col("text"), F.lit(True), p, i, 0) for i, p in enumerate(catalog.patterns)]))
+    return t.select("doc_id", F.explode(each).alias("c")).groupBy("doc_id", F.col("c.ord").alias("pattern"), "c.type").agg(F.count("*").alias("n"))
+
+
+def _gated(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return detect.tally(detect.detect(table(spark, sf_dir, "documents"), sets=(name,))).select(F.lit(name).alias("set_name"), "type", "n")
+
+
+def tally_by_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each set finds when it is active alone."""
+    out = _gated(spark, sf_dir, digests.SETS[0])
+    for name in digests.SETS[1:]:
+        out = out.union(_gated(spark, sf_dir, name))
+    return out
+
+
+def strip_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact.strip(documents(spark, sf_dir)).select("doc_id", "redacted")
+
+
+def pseudonym_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact.pseudonymise(documents(spark, sf_dir), SECRET).select("doc_id", "redacted")
+
+
+def pseudonym_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact.pseudonym_collisions(documents(spark, sf_dir), SECRET)
+
+
+def minted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight documents are one request, whose fields are the documents in order."""
+    d = documents(spark, sf_dir).withColumn("request_id", F.floor(F.col("doc_id") / 8))
+    return redact.minted(d, "request_id", "doc_id").select("request_id", "value", "type", F.col("n").cast("long").alias("n"))
+
+
+def summary_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).filter("size(spans) > 0").select("doc_id", redact.summary_header(F.col("spans")).alias("header"))
+
+
+def restore_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after tokenising and restoring: is it what it was, and does no value stand in the redacted text."""
+    d = redact.tokenise(documents(spark, sf_dir), "doc_id", RUN)
+    back = redact.restore(F.col("redacted"), redact.flipped(F.col("vault")))
+    return d.select("doc_id", back.eqNullSafe(F.col("text")).alias("same"), F.size("spans").cast("long").alias("n_spans"))
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a request in one of the two dialects."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    message = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
+    body = F.to_json(F.struct(F.lit("m").alias("model"), message.alias("messages")))
+    path = F.when(F.col("doc_id") % 2 == 0, F.lit("/v1/chat/completions")).otherwise(F.lit("/v1/messages"))
+    return d.select(
+        F.col("doc_id").cast("string").alias("request_id"), F.lit(0).cast("long").alias("ts"), path.alias("path"),
+        F.create_map(F.lit("X-Tenant"), F.concat(F.lit("t"), (F.col("doc_id") % 10).cast("string"))).alias("headers"), body.alias("body"), F.lit("m").alias("model"),
+    )
+
+
+def _no_policies(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], io.POLICY)
+
+
+def body_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = redaction.redact_bodies(requests.shape(_bodies(spark, sf_dir), _no_policies(spark)), RUN)["data"]
+    content = F.get_json_object("body_out", "$.messages[0].content")
+    return out.select("request_id", "outcome", "total", content.alias("content"))
+
+
+def body_restoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redacted bodies turned into replies that repeat them, and restored."""
+    made = redaction.redact_bodies(requests.shape(_bodies(spark, sf_dir), _no_policies(spark)), RUN)
+    content = F.get_json_object("body_out", "$.messages[0].content")
+    openai = F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")))
+    anthropic = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), content.alias("text"))).alias("content")))
+    given = made["data"].select("request_id", "provider", F.when(F.col("provider") == "openai", openai).otherwise(anthropic).alias("body"))
+    out = redaction.restore_bodies(given, made["vault"])
+    text = F.coalesce(F.get_json_object("body_out", "$.choices[0].message.content"), F.get_json_object("body_out", "$.content[0].text"))
+    return out.select("request_id", F.sha2(text, 256).alias("text_sha256"))
+
+
+def streamed_restoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redacted documents as replies in pieces of 97 characters, restored frame by frame and put together."""
+    d = redact.tokenise(documents(spark, sf_dir), "doc_id", RUN).withColumn("request_id", F.col("doc_id").cast("string"))
+    n = F.ceil(F.length("redacted") / 97).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(F.col("redacted"), i * 97 + 1, F.lit(97)))
+    pieces = d.select("request_id", F.posexplode(cut).alias("seq", "piece"))
+    frame = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("piece").alias("content")).alias("delta"))).alias("choices"))), F.lit("\n\n"))
+    frames = pieces.select("request_id", F.lit("openai").alias("provider"), F.col("seq").cast("long").alias("seq"), frame.alias("frame"))
+    out = replies.restore_frames(frames, d.select("request_id", redact.flipped(F.col("vault")).alias("tokens")))
+    text = F.get_json_object(F.regexp_replace("frame", "^data: ", ""), "$.choices[0].delta.content")
+    parts = out.select("request_id", F.struct("seq", "part", text.alias("text")).alias("p")).groupBy("request_id").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    return parts.select("request_id", F.sha2(F.array_join(F.transform("ps", lambda p: F.coalesce(p["text"], F.lit(""))), ""), 256).alias("text_sha256"))
+
+
+def check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validators over numbers made of order keys and dates."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey").cast("string")
+    number = lambda n: F.lpad(k, n, "0")
+    return o.select(
+        "o_orderkey", checks.luhn(F.concat(F.lit("4000-0"), number(11))).alias("luhn"), checks.iban(F.concat(F.lit("DE"), F.lpad((F.col("o_orderkey") % 97).cast("string"), 2, "0"), number(18))).alias("iban"),
+        checks.aba_routing(number(9)).alias("aba"), checks.ssn(F.concat(F.substring(number(9), 7, 3), F.lit("-"), F.substring(number(9), 5, 2), F.lit("-"), F.substring(number(9), 6, 4))).alias("ssn"),
+        checks.plausible_date(F.concat((F.col("o_orderkey") % 40).cast("string"), F.lit("/"), (F.col("o_custkey") % 40).cast("string"), F.lit("/"), F.lpad((F.col("o_orderkey") % 60).cast("string"), 2, "0"))).alias("date"),
+    )
+
+
+def _raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    user, kind = F.col("user_id"), F.col("event_type")
+    entry = lambda name, value: F.struct(F.lit(name).alias("k"), value.alias("v"))
+    headers = F.filter(
+        F.array(
+            entry("X-Tenant", F.when(user % 3 == 0, F.concat(F.lit("t"), user.cast("string")))),
+            entry("Authorization", F.when(user % 3 == 1, F.concat(F.lit("Bearer "), user.cast("string")))),
+            entry("X-Redact-Mode", F.when(kind == "view", F.lit("STRIP")).when(kind == "error", F.lit("bogus"))),
+            entry("X-Redact-Sets", F.when(kind == "click", F.lit("pii, PCI")).when(kind == "signup", F.lit("phi,zzz"))),
+        ),
+        lambda x: x["v"].isNotNull(),
+    )
+    paths = F.array(*map(F.lit, ("/v1/chat/completions?x=1", "/v1/messages", "/v1/messages/count_tokens", "/v1/embeddings")))
+    model = F.when((kind != "purchase") | (F.col("event_id") % 2 == 0), F.lit("m1"))
+    return e.select(F.col("event_id").alias("request_id"), F.get(paths, (F.col("event_id") % 4).cast("int")).alias("path"), F.map_from_entries(headers).alias("headers"), F.col("props").alias("body"), model.alias("model"))
+
+
+def _policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    nation = F.col("c_nationkey")
+    return c.select(
+        F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("tenant"), F.when(nation % 3 == 0, F.lit("off")).when(nation % 3 == 2, F.lit("strip")).alias("mode"),
+        F.when(F.col("c_mktsegment") == "BUILDING", F.array().cast("array<string>")).alias("active_sets"), F.when(nation % 4 == 0, F.lit("open")).alias("fail_mode"),
+        F.lit(None).cast("boolean").alias("consistent_pseudonyms"), F.lit(None).cast("boolean").alias("redact_system"),
+        F.when(nation % 5 == 0, F.create_map(F.lit("openai"), F.lit("https://eu.example"))).alias("upstream_override"),
+    )
+
+
+def request_shaping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = requests.shape(_raw_requests(spark, sf_dir), _policies(spark, sf_dir))
+    return s.select("request_id", "tenant", "bare", "provider", "mode", F.array_join("active_sets", ",").alias("active_sets"), "fail_mode", "upstream_base", F.size("forward_headers").cast("long").alias("n_forwarded"), "rejected")
+
+
+def policy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' patches to customers' policies."""
+    s = table(spark, sf_dir, "supplier")
+    patch = s.select(
+        F.concat(F.lit("t"), F.col("s_suppkey").cast("string")).alias("tenant"), F.when(F.col("s_nationkey") % 2 == 0, F.lit("reversible")).alias("mode"), F.lit(None).cast("array<string>").alias("active_sets"),
+        F.lit("closed").alias("fail_mode"), F.lit(True).alias("consistent_pseudonyms"), F.lit(None).cast("boolean").alias("redact_system"), F.lit(None).cast("map<string,string>").alias("upstream_override"),
+    )
+    return requests.merge_policy(_policies(spark, sf_dir), patch).select("tenant", "mode", "fail_mode", "consistent_pseudonyms")
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    kind = F.col("event_type")
+    return e.select(
+        F.when(kind == "view", F.lit("strip")).when(kind == "error", F.lit("off")).otherwise(F.lit("reversible")).alias("mode"),
+        F.create_map(F.lit("EMAIL"), F.col("k") % 3, F.lit("PHONE"), F.col("k") % 2).alias("entity_counts"),
+        F.when(kind == "click", F.array(F.lit("pii"), F.lit("pci"))).otherwise(F.array(F.lit("phi"))).alias("active_sets"), (F.col("k") % 3 + F.col("k") % 2).alias("total"),
+        F.when(kind == "error", F.lit("mode-off")).when(F.col("user_id") % 7 == 0, F.lit("path")).alias("bypass_reason"), ((kind == "purchase") & (F.col("value") > 200)).alias("failed_closed"),
+        ((kind == "signup") & (F.col("value") > 300)).alias("upstream_error"), F.when(kind != "error", F.when(F.col("user_id") % 2 == 0, F.lit("full")).otherwise(F.lit("stream"))).alias("timing_src"), F.floor("value").alias("ms"),
+    )
+
+
+def _metric(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(_outcomes(spark, sf_dir))
+
+
+def _audit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.concat(F.lit("t"), F.col("o_custkey").cast("string")).alias("tenant"), F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") * 1000).alias("ts"), F.lit("openai").alias("provider"), F.col("o_orderpriority").alias("model"),
+        F.lit("strip").alias("mode"), F.create_map(F.lit("SSN"), (F.col("o_orderkey") % 5).cast("int"), F.lit("EMAIL"), F.lit(1)).alias("entity_counts"), F.array(F.lit("pii"), F.lit("phi")).alias("sets"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("total"),
+    )
+
+
+def audit_first_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first record of every tenant's chain."""
+    return audit.chain(_audit_records(spark, sf_dir), "tenant").filter("prev_hash = '0'").select("tenant", "seq", "hash")
+
+
+def audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains per tenant in which some records were edited afterwards."""
+    chained = audit.chain(_audit_records(spark, sf_dir), "tenant")
+    edited = chained.withColumn("total", F.when(F.col("seq") % 97 == 0, F.col("total") + 1).otherwise(F.col("total")))
+    return audit.verify(edited, "tenant").withColumn("broken_at", F.col("broken_at").cast("long"))
+
+
+def reply_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    body = F.concat(F.lit("event: x\ndata: "), "role", F.lit("\n\ndata:  "), F.regexp_replace("text", "\n", " "), F.lit("\n\n: ping\n\ndata: [DONE]"))
+    out = io.frames(c.select("conv_id", "turn", body.alias("body")))
+    return out.select("conv_id", "turn", F.col("seq").cast("long").alias("seq"), F.length("frame").cast("long").alias("n_chars"), io.frame_data().alias("data"))
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replies.windowed_counts(table(spark, sf_dir, "events"))
+
+
+def queries() -> dict[str, Query]:
+    plain = (
+        entity_spans, entity_spans_pages, entity_tally, candidate_counts, tally_by_set, strip_redaction, pseudonym_redaction, pseudonym_collisions, minted_tokens, summary_headers, restore_round_trip,
+        body_redaction, body_restoring, streamed_restoring, check_digits, request_shaping, policy_merge, audit_first_links, audit_verify, reply_frames, event_windows,
+    )
+    numbers = {"metrics_" + f.__name__: _metric(f) for f in (metrics.totals, metrics.by_mode, metrics.dominant_mode, metrics.by_type, metrics.by_set, metrics.bypasses, metrics.latency)}
+    return {f.__name__: f for f in plain} | numbers
+
+
+def oracle_sql() -> dict[str, str]:
+    return sql.oracles(SECRET)
