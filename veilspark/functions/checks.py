@@ -31,8 +31,8 @@ def iban(value: Column) -> Column:
 def aba_routing(value: Column) -> Column:
     """Nine digits, weights 3, 7, 1, a non-zero multiple of ten."""
     d = digits(value)
-    total = sum((F.substring(d, i + 1, 1).cast("int") * w for i, w in enumerate((3, 7, 1) * 3)), start=F.lit(0))
-    return (F.length(d) == 9) & (total % 10 == 0) & (total != 0)
+    total = sum((F.substring(d, i + 1, 1).try_cast("int") * w for i, w in enumerate((3, 7, 1) * 3)), start=F.lit(0))
+    return (F.length(d) == 9) & F.coalesce((total % 10 == 0) & (total != 0), F.lit(False))
 
 
 def ssn(value: Column) -> Column:

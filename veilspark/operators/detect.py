@@ -46,10 +46,11 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def candidates(text: Column, digit: Column, pattern: Pattern, ordinal: int, rank: int) -> Column:
-    """Valid matches of one pattern; ``digit``: does the text hold one."""
+def candidates(text: Column, digit: Column, pattern: Pattern, ordinal: int, rank: int, gate: Column | None = None) -> Column:
+    """Valid matches of one pattern; ``digit``: does the text hold one; ``gate``: is the pattern looked for in this row."""
     none = F.array().cast(_CANDIDATES)
     possible = digit if pattern.digit else F.lit(True)
+    possible = possible if gate is None else gate & possible
     for i, literal in enumerate(pattern.needs):
         some = F.contains(text, F.lit(literal)) if i == 0 else some | F.contains(text, F.lit(literal))
     possible = possible & some if pattern.needs else possible
@@ -97,7 +98,7 @@ def normalised(text: str) -> tuple[str, list[int]]:
     return "".join(out), [*origin, len(text)]
 
 
-def py_detect(text: str, catalog: Catalog, sets: Sequence[str], detectors: Sequence[str] = ()) -> list[tuple[int, int, str, str]]:
+def py_detect(text: str, catalog: Catalog, sets: Sequence[str], detectors: Sequence[Callable] = ()) -> list[tuple[int, int, str, str]]:
     """The same detection in Python, with normalisation; the twin that tests hold the expression against."""
     plain, origin = normalised(text)
     found = []
@@ -105,8 +106,8 @@ def py_detect(text: str, catalog: Catalog, sets: Sequence[str], detectors: Seque
         for m in re.finditer(p.marked(), plain):
             if m[2] and (p.check is None or CHECKS[p.check][1](m[2])):
                 found.append((-catalog.priority(p.type), m.start(2) - m.end(2), m.start(2), ordinal, m.end(2), p.type))
-    for name in detectors:
-        found += [(-catalog.priority(t), a - b, a, len(catalog.patterns), b, t) for a, b, t, _ in DETECTORS[name](plain) if a < b]
+    for more in detectors:
+        found += [(-catalog.priority(t), a - b, a, len(catalog.patterns), b, t) for a, b, t, _ in more(plain) if a < b]
     taken: list[tuple] = []
     for c in sorted(found):
         if all(c[4] <= t[2] or t[4] <= c[2] for t in taken):
@@ -115,18 +116,32 @@ def py_detect(text: str, catalog: Catalog, sets: Sequence[str], detectors: Seque
     return [(a, b, t, text[a:b]) for a, b, t in spans]
 
 
-def spans(text: Column, sets: Sequence[str] = SETS, catalog: Catalog | None = None, detectors: Sequence[str] = ()) -> Column:
-    """Entities of a text: array of start, end, type and value. ``detectors`` names registered ones, which send every row to Python."""
+def spans(
+    text: Column, sets: Sequence[str] = SETS, catalog: Catalog | None = None, detectors: Sequence[str] = (), active: Column | None = None
+) -> Column:
+    """Entities of a text: array of start, end, type and value. ``active`` narrows ``sets`` row by row, before overlaps are
+    resolved. ``detectors`` names registered ones, which send every row to Python."""
     catalog, sets = catalog or Catalog(), tuple(sets)
     t = F.coalesce(text, F.lit(""))
-    arrow = F.pandas_udf(lambda s: pd.Series([None if x is None else py_detect(x, catalog, sets, detectors) for x in s]), _SPANS)
+    plugged = [DETECTORS[name] for name in detectors]  # the workers do not have this process's registry
+
+    def twin(texts: pd.Series, given: pd.Series) -> pd.Series:
+        allowed = [sets if g is None else [x for x in sets if x in set(g)] for g in given]
+        return pd.Series([None if x is None else py_detect(x, catalog, a, plugged) for x, a in zip(texts, allowed, strict=True)])
+
+    arrow = F.pandas_udf(twin, _SPANS)
+    given = F.lit(None).cast("array<string>") if active is None else active
     if detectors:
-        return arrow(t)
+        return arrow(t, given)
     plain = t.rlike(PLAIN)
-    scans = lambda digit: [candidates(t, digit, p, i, catalog.priority(p.type)) for i, p in catalog.active(sets)]
+
+    def scans(digit: Column) -> list[Column]:
+        gate = lambda p: None if active is None else F.arrays_overlap(F.array(*map(F.lit, p.sets)), active)
+        return [candidates(t, digit, p, i, catalog.priority(p.type), gate(p)) for i, p in catalog.active(sets)]
+
     found = bind(t.rlike("[0-9]"), lambda digit: F.flatten(F.array(*scans(digit))))
     native = bind(found, resolve) if catalog.active(sets) else F.array().cast(_SPANS)
-    return F.coalesce(arrow(F.when(~plain, t)), F.when(plain, native))
+    return F.coalesce(arrow(F.when(~plain, t), given), F.when(plain, native))
 
 
 def detect(df: DataFrame, text: str = "text", sets: Sequence[str] = SETS, **options) -> DataFrame:

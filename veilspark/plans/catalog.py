@@ -11,6 +11,7 @@ from veilspark.functions import checks, digests
 from veilspark.operators import audit, detect, metrics, redact, requests
 from veilspark.plans import redaction, sql
 from veilspark.sources import io
+from veilspark.sources.shared import cut
 from veilspark.streaming import replies
 
 SECRET = "a secret of the examples only"
@@ -107,15 +108,21 @@ def _no_policies(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], io.POLICY)
 
 
+def _redacted_bodies(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """What is read several times is written to the shared folder; it holds values and goes with the application's folder."""
+    shaped = requests.shape(_bodies(spark, sf_dir), _no_policies(spark))
+    return redaction.redact_bodies(shaped, RUN, checkpoint=lambda df: cut(df, "fields"))
+
+
 def body_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = redaction.redact_bodies(requests.shape(_bodies(spark, sf_dir), _no_policies(spark)), RUN)["data"]
+    out = _redacted_bodies(spark, sf_dir)["data"]
     content = F.get_json_object("body_out", "$.messages[0].content")
     return out.select("request_id", "outcome", "total", content.alias("content"))
 
 
 def body_restoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redacted bodies turned into replies that repeat them, and restored."""
-    made = redaction.redact_bodies(requests.shape(_bodies(spark, sf_dir), _no_policies(spark)), RUN)
+    made = _redacted_bodies(spark, sf_dir)
     content = F.get_json_object("body_out", "$.messages[0].content")
     openai = F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")))
     anthropic = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), content.alias("text"))).alias("content")))
