@@ -1,42 +1,14 @@
-"""The folder that the driver and all executors share, and tables written there to cut lineage.
-
-A cluster names the folder in ``spark.checkpoint.dir``.  Where that is unset (local tests) a temporary
-folder is made once per application; a cluster without the setting is refused, because a machine-local
-folder would be invisible to the other executors.
-"""
+"""Tables in the shared folder, as the rest of the library writes them, and how widely work is dealt."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new URI below the shared folder; nothing is created there yet."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + base if base.startswith("/") else base
-    return f"{base.rstrip('/')}/{app}/{name}-{uuid.uuid4().hex}"
 
+from pyspark.sql import SparkSession
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that a lost executor costs a re-read only.
+from veilspark.sources.shared import cut, shared_dir
 
-    Written Parquet is used rather than ``checkpoint()``, which would compute the plan twice.
-    """
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "parallelism", "release", "shared_dir"]
 
 
 def parallelism(spark: SparkSession) -> int:
