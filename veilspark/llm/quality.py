@@ -55,7 +55,7 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", low=3.0, high=10.0),
     Rule("symbols", "n_symbols", "n_words", high=0.1),
     Rule("stop_words", "n_stop_words", "n_words", low=0.02),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", high=0.3),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", high=0.5),
 )
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words")

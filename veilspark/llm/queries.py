@@ -107,7 +107,7 @@ b as (select *, n_words < 50 or n_repeat_words * 100 > n_words * 50 as base_fail
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and n_words >= 50 and word_chars::double / greatest(n_words, 1) between 3 and 10
   and n_symbols::double / greatest(n_words, 1) <= 0.1 and n_stop::double / greatest(n_words, 1) >= 0.02
-  and n_dup_lines::double / greatest(n_lines, 1) <= 0.3 as kept
+  and n_dup_lines::double / greatest(n_lines, 1) <= 0.5 as kept
 from b
 """
 
