@@ -130,9 +130,11 @@ from marked group by conv_id
 """
 
 OP3_SQL = """
-with p as (select page_id, coalesce(html, '') as html from pages),
-g as (select page_id, html, max(page_id) over (partition by html) as leader from p)
-select page_id, strlen(html)::bigint as payload_bytes, null::varchar as payload_digest,
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+g as (select *, max(page_id) over (partition by html) as leader from p)
+select page_id, strlen(html)::bigint as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((cast('0x' || substr(h, 5 * (i // 4) + 1, 5) as int) >> (15 - 5 * (i % 4))) & 31)::int + 1, 1)), '') as payload_digest,
   case when page_id = leader then 'response' else 'revisit' end as record_type, case when page_id <> leader then leader end as refers_to
 from g
 """
@@ -177,4 +179,4 @@ select page_id, host, path, rule, coalesce(by_rule, by_host) as verdict from j
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _op1_sql(), "op6_chat_format": OP6_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op1_url_filter": _op1_sql(), "op3_warc": OP3_SQL, "op6_chat_format": OP6_SQL, "op10_quality_rules": OP10_SQL}
