@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from veilspark.llm.store import cut, release
 
 END = b""  # no word is empty
-HEAD = 200_000  # words whose counts every task holds
+HEAD = 200_000  # words whose counts every task holds, at most
 WORDS = 512  # symbols that are words
 ENDINGS = 48
 CLASSES = 2 * ENDINGS
@@ -253,7 +253,13 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Model:
 def vocabulary_of(counts: DataFrame) -> Vocabulary:
     """``counts``: word, c. Totals, the head and the classes' sums come to the driver; all are bounded."""
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    head = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.col("c").desc(), "word").limit(HEAD).collect()]
+    # Words by eighths of a power of two of their counts: the lowest step down to which the head still takes all words.
+    step, size, cutoff = F.floor(F.log2("c") * 8), 0, None
+    for r in sorted(counts.groupBy(step.alias("k")).agg(F.count("*").alias("n"), F.min("c").alias("low")).collect(), reverse=True):
+        size += r["n"]
+        cutoff = r["low"] if size <= HEAD else cutoff
+    found = counts.filter(F.col("c") >= cutoff).collect() if cutoff else []
+    head = sorted(((bytes(r["word"]), r["c"]) for r in found), key=lambda x: (-x[1], x[0]))
     out = Vocabulary(head, total["n"] or 0, total["v"] or 0)
     top = [w for w, _ in head[:WORDS]]
     last = F.when(F.octet_length("word") > 0, F.conv(F.hex(F.expr("substring(word, -1, 1)")), 16, 10).cast("int")).otherwise(0)
@@ -313,8 +319,8 @@ def score(docs: DataFrame) -> DataFrame:
     scored = cut(scored, "scored")
     release(spark)
     rare = scored.select("row", F.explode("rest").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.times").alias("times"))
-    lowest = int(vocabulary.counts.min()) if len(vocabulary.counts) else 0
-    joined = rare.join(counts.filter(F.col("c") <= lowest), "word", "left")
+    below = F.col("c") < int(vocabulary.counts.min()) if len(vocabulary.counts) else F.lit(True)
+    joined = rare.join(counts.filter(below), "word", "left")
     c = F.coalesce("c", F.lit(0))
     rest = joined.groupBy("row").agg(F.sum(F.col("times") * F.log10(c + 1.0)).alias("logs"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("seen"))
     out = scored.drop("rest").join(rest, "row", "left")
