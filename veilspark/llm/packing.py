@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -30,7 +32,7 @@ from veilspark.llm.store import cut, parallelism
 LENGTH = 2048
 END_ID = 0
 NEARLY_FULL = 8  # bins with at most so much space left are final
-CACHE = 400_000  # pieces of text whose ids a worker process remembers; the cache is then begun anew
+CACHE = 400_000  # pieces of text whose ids a worker process remembers; then the cache is begun anew and takes over what is still met
 CHARS = 1 << 18  # texts tokenised at once
 
 # White space as the tokeniser's pattern has it; Python's own class also holds the separators 28 to 31.
@@ -45,21 +47,27 @@ class Ids:
     """Token ids as little-endian bytes, through a bounded cache of pieces."""
 
     def __init__(self, path: str):
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are written as the machine's own 32-bit little-endian words")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def of(self, texts: list[str]) -> list[bytes]:
         pieces = [PIECES.findall(t) for t in texts]
-        missing = list(set().union(*pieces).difference(self.cache))
+        missing = set().union(*pieces).difference(self.cache)
         if len(self.cache) + len(missing) > CACHE:
-            self.cache = {}
-            missing = list(set().union(*pieces))
-        for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.cache[p] = np.array(e.ids, "<u4").tobytes()
+            self.old, self.cache = self.cache, {}
+            missing = set().union(*pieces)
+        known = missing & self.old.keys()
+        self.cache.update((p, self.old[p]) for p in known)
+        fresh = list(missing - known)
+        for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            self.cache[p] = array("I", e.ids).tobytes()
         return [b"".join(map(self.cache.__getitem__, p)) for p in pieces]
 
 
