@@ -134,6 +134,17 @@ def test_near_duplicates_keep_one_row(spark):
     assert empty.count() == 0 and empty.columns[-3:] == list(neardup.ADDED)
 
 
+def test_links_of_pairs_that_share_hot_buckets_only(spark):
+    template = [f"t{k}" for k in range(160)]
+    rows = [(i, " ".join(template + [f"o{i}x{k}" for k in range(26)])) for i in range(30)]
+    rows += [(i, " ".join(template + [f"b{k}" for k in range(6)] + [f"o{i}x{k}" for k in range(20)])) for i in (100, 101)]
+    assert probability_jaccard(weights(rows[-1][1]), weights(rows[-2][1])) >= 0.8 > probability_jaccard(weights(rows[-1][1]), weights(rows[0][1]))
+    signed = spark.createDataFrame([(i, [1, 2, 3] if i < 100 else [1, 1000 + i, 2000 + i]) for i, _ in rows], "node bigint, bands array<bigint>")
+    docs = spark.createDataFrame(rows, "doc bigint, text string")
+    found = neardup.links(docs, signed, docs["text"], 0.8).collect()
+    assert {(r.a, r.b) for r in found} == {(101, 100)}
+
+
 def test_signatures_estimate_probability_jaccard():
     import numpy as np
 

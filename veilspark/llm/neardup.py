@@ -7,10 +7,10 @@ the probability that is their probability Jaccard.  Shingles stop once their nex
 components' first ones.
 
 Documents with equal words are one class from the start and go on as one representative.  Signatures are cut
-into bands; documents that agree in a band share a bucket.  A bucket is compared through its best connected
-member (the one with most bucket neighbours), not in pairs; documents that found no link are compared with
-eight times as many of the next members, and so on until a round finds no link.  Pairs are verified by their exact
-probability Jaccard over the whole texts.  Links are joined to classes by connected components.
+into bands; documents that agree in a band share a bucket.  A bucket is first compared through its best connected
+member (the one with most bucket neighbours), not in pairs; what is then unlinked in a bucket with others
+is compared by an exact prefix filter (``_rest``).  Pairs are verified by their exact probability Jaccard over
+the whole texts.  Links are joined to classes by connected components.
 
 Defined results: a null text is an empty one; texts without words are one class; a null doc_id is smaller than
 all others; rows that repeat doc_id and text are in one class; rows with one doc_id and other texts join their
@@ -25,16 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from veilspark.llm.components import components
 from veilspark.llm.rolling import mix, prefix_sums, range_hash
-from veilspark.llm.store import cut, release
+from veilspark.llm.store import cut, parallelism, release
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 STEP = 1 << 18
+SLOTS = 1 << 20
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
 NULL_ID = -(1 << 63)
 ADDED = ("class_id", "n_links", "is_first")
 
@@ -179,19 +180,166 @@ def salted(large: DataFrame, small: DataFrame, key: str, how: str = "inner", sal
     return large.join(small, [key, "__salt"], how).drop("__salt")
 
 
-def _candidates(members: DataFrame, rank: DataFrame, tested: DataFrame | None, leaders: int) -> DataFrame:
-    """Pairs (a, b) of each bucket's best ``leaders`` members with all of its members, each pair once."""
+def _candidates(members: DataFrame, rank: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's best connected member with all of its members, each pair once."""
     order = F.struct(F.col("degree").alias("d"), (-F.col("node")).alias("n"))
-    ranked = members.join(rank, "node")
-    if leaders == 1:
-        best = ranked.groupBy("bucket").agg(F.array(F.max_by("node", order)).alias("top"))
-    else:  # Spark keeps the first rows of each bucket before the shuffle
-        first = Window.partitionBy("bucket").orderBy(F.col("degree").desc(), "node")
-        best = ranked.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= leaders)
-        best = best.groupBy("bucket").agg(F.collect_list("node").alias("top"))
-    pairs = salted(members, best, "bucket").select("node", F.explode("top").alias("b"))
-    pairs = pairs.filter("node <> b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+    best = members.join(rank, "node").groupBy("bucket").agg(F.max_by("node", order).alias("b"))
+    pairs = salted(members, best, "bucket").filter("node <> b")
+    return pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+
+
+def _prefixes(threshold: float, counts: np.ndarray):
+    """Rows of the rarest shingles of each text, see ``_rest``; ``prev`` is the one before in order, 0 for the first."""
+    low, high = threshold, 2 * threshold / (1 + threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, roots = (batch.column(i).to_numpy() for i in (0, 1))
+            for at, texts in _grouped(batch.column(2).to_pylist()):
+                _, owner, hashes, _ = shingles(texts)
+                o, h, w = weighted(owner, hashes)
+                order = np.lexsort((h, counts[h % _U(len(counts))], o))
+                h, w = h[order], w[order]
+                sums = np.r_[0, np.cumsum(w)]
+                edge = np.searchsorted(o, np.arange(len(texts) + 1))
+                left = (sums[edge[1:]][o] - sums[:-1]) / (sums[edge[1:]] - sums[edge[:-1]])[o]
+                prev = np.where(np.r_[True, o[1:] != o[:-1]][: len(o)], _U(0), np.r_[_U(0), h[:-1]][: len(o)])
+                at_ = np.flatnonzero(left >= low - 1e-9)
+                size = np.array([len(t) for t in texts])
+                own = o[at_] + at
+                columns = nodes[own], roots[own], h[at_].view(np.int64), prev[at_].view(np.int64), left[at_] >= high - 1e-9, size[o[at_]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "root", "e", "prev", "nine", "size"])
+
+    return run
+
+
+def _count(slots: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in _grouped(batch.column(0).to_pylist()):
+                _, owner, hashes, _ = shingles(texts)
+                slot, n = np.unique(weighted(owner, hashes)[1] % _U(slots), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(n)], names=["slot", "n"])
+
+    return run
+
+
+def _compare_block(rows: dict[str, list], threshold: float) -> list[tuple[int, int]]:
+    """Links between members with other roots; those that would join what is joined in this block are left out."""
+    parts = []
+    for _, texts in _grouped(rows["text"]):
+        _, owner, hashes, _ = shingles(texts)
+        o, h, w = weighted(owner, hashes)
+        edge = np.searchsorted(o, np.arange(len(texts) + 1))
+        parts += [(h[x:y], w[x:y]) for x, y in zip(edge[:-1], edge[1:])]
+    node, root, prev = (np.array(rows[c]) for c in ("node", "root", "prev"))
+    nine, left, right = (np.array(rows[c], bool) for c in ("nine", "left", "right"))
+    names, ids = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+    edges = np.cumsum([0, *(len(h) for h, _ in parts)])
+    total = np.array([w.sum() for _, w in parts])
+    mass = np.concatenate([w / w.sum() for _, w in parts])
+    r = np.flatnonzero(right)
+    at = np.concatenate([np.arange(edges[k], edges[k + 1]) for k in r]) if len(r) else np.zeros(0, int)
+    starts = np.r_[0, np.cumsum(edges[r + 1] - edges[r])[:-1]] if len(r) else r
+    right_ids, right_mass = ids[at], mass[at]
+    dense = np.zeros(len(names))
+    out = []
+    for k in np.flatnonzero(left & nine):
+        # Two that both have the shingle in the short prefix meet once; equal ``prev`` means that they meet there.
+        may = (root[r] != root[k]) & ((prev[r] != prev[k]) | (prev[k] == 0)) & (~nine[r] | (node[r] < node[k]))
+        if not may.any():
+            continue
+        mine = slice(edges[k], edges[k + 1])
+        dense[ids[mine]] = mass[mine]
+        got = dense[right_ids]
+        sa, sb = np.add.reduceat(got, starts), np.add.reduceat(right_mass * (got > 0), starts)
+        dense[ids[mine]] = 0
+        with np.errstate(divide="ignore"):
+            near = may & (1 / sa + 1 / sb <= 1 + 1 / threshold + 1e-9)
+        for j in r[near]:
+            if root[j] != root[k] and probability_jaccard(parts[k], parts[j]) >= threshold - 1e-12:
+                out.append((max(int(node[k]), int(node[j])), min(int(node[k]), int(node[j]))))
+                root[root == root[j]] = root[k]
+    return out
+
+
+def _compare(threshold: float):
+    names = ("node", "root", "prev", "nine", "left", "right", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {n: [] for n in names}
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("e", "i", "j"))))
+            columns = [batch.column(n).to_pylist() for n in names]
+            links_ = []
+            for key, *values in zip(keys, *columns):
+                if key != now:
+                    links_ += _compare_block(held, threshold) if len(held["node"]) > 1 else []
+                    now, held = key, {n: [] for n in names}
+                for n, v in zip(names, values):
+                    held[n].append(v)
+            if links_:
+                yield _pairs_batch(links_)
+        if len(held["node"]) > 1 and (links_ := _compare_block(held, threshold)):
+            yield _pairs_batch(links_)
+
+    return run
+
+
+def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
+
+
+def _met(rows: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """The members of each block pair (e, i, j), in order: ``left`` ones are compared with ``right`` ones."""
+    met = salted(rows, groups, "e")
+    own = F.xxhash64("node", F.lit(1))
+    met = met.withColumn("bi", F.pmod(own, "nb9")).withColumn("bj", F.pmod(own, "nb"))
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    across = F.transform(F.sequence(F.lit(0), F.col("nb9") - 1), lambda i: pair(i, F.col("bj")))
+    along = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: pair(F.col("bi"), j))
+    met = met.withColumn("at", F.explode(F.when(F.col("nine"), F.array_union(across, along)).otherwise(across)))
+    met = met.select("node", "root", "e", "prev", "nine", "at.i", "at.j", (F.col("nine") & (F.col("at.i") == F.col("bi"))).alias("left"), (F.col("at.j") == F.col("bj")).alias("right"))
+    met = met.join(texts.select("node", "text"), "node")
+    # The number is given because the work grows with the square of a block, not with its bytes.
+    return met.repartition(parallelism(texts.sparkSession), "e", "i", "j").sortWithinPartitions("e", "i", "j")
+
+
+def _rest(needed: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """All links (a, b) that join other roots among ``nodes`` (node, root), without candidates by chance.
+
+    With s_a and s_b the shares of the texts' weight on shared shingles, the probability Jaccard is at most
+    1 / (1 / s_a + 1 / s_b - 1).  So at a threshold t both shares are at least t and the larger one at least
+    2 t / (1 + t).  In an order of all shingles, the first one that two linked texts share has at least these
+    shares at and behind it: it is in the short prefix (2 t / (1 + t)) of one and in the long one (t) of the other.
+    The order takes rare shingles first (by counts of hash slots; any order gives the same links), so that
+    frequent passages bring few texts together.  Texts that share the shingle before as well meet there already.
+    What meets is compared in blocks inside tasks, which give links only.
+    """
+    spark = needed.sparkSession
+    texts = needed.join(nodes, needed["doc"] == nodes["node"]).select("node", "root", "text")
+    texts = cut(texts, "open")
+    counted = texts.select("text").mapInArrow(_count(SLOTS), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    rows = texts.mapInArrow(_prefixes(threshold, counts), "node bigint, root bigint, e bigint, prev bigint, nine boolean, size bigint")
+    rows = cut(rows, "prefixes")
+    groups = rows.groupBy("e").agg(
+        F.count("*").alias("n"), F.count_if(F.col("nine")).alias("n9"), F.sum("size").alias("bytes"), F.sum(F.when(F.col("nine"), F.col("size"))).alias("bytes9"),
+        (F.min("root") != F.max("root")).alias("apart"), ((F.min("prev") != F.max("prev")) | (F.count_if(F.col("prev") == 0) > 0)).alias("new"),
+    )
+    blocks = lambda n, size: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(size) / BLOCK_BYTES)).cast("int")
+    groups = groups.filter("n > 1 and n9 > 0 and apart and new").select("e", "bytes", "bytes9", blocks("n", "bytes").alias("nb"), blocks("n9", "bytes9").alias("nb9"))
+    groups = cut(groups, "groups")
+    sent = groups.agg(F.sum(F.col("bytes") * F.col("nb9") + F.col("bytes9") * F.col("nb"))).first()[0] or 0
+    # In slices of twice the open texts (64 MB at least), one after the other, so that the disk does not hold all at once.
+    slices = max(1, -(-sent // max(1 << 26, 2 * (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0))))
+    out = texts.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    for k in range(slices):
+        now = groups.filter(F.pmod(F.xxhash64("e"), F.lit(slices)) == k).select("e", "nb", "nb9")
+        out = out.union(cut(_met(rows, now, texts).mapInArrow(_compare(threshold), "a bigint, b bigint").distinct(), "rest"))
+        release(spark)
+    return out
 
 
 def links(docs: DataFrame, signed: DataFrame, text: Column, threshold: float) -> DataFrame:
@@ -205,29 +353,19 @@ def links(docs: DataFrame, signed: DataFrame, text: Column, threshold: float) ->
     needed = docs.join(rank.select(F.col("node").alias("doc")), "doc", "left_semi").select("doc", text.alias("text"))
     needed = cut(needed, "texts")
     release(spark)
-    found, tested, leaders, open_ = [], None, 1, members
-    while True:
-        pairs = cut(_candidates(open_, rank, tested, leaders), "pairs")
-        if not pairs.head(1):
-            break
-        pairs_text = pairs.join(needed.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
-        pairs_text = pairs_text.join(needed.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
-        judged = cut(pairs_text.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a bigint, b bigint, linked boolean"), "judged")
-        good = judged.filter("linked").select("a", "b")
-        found.append(good)
-        if leaders > 1 and not good.head(1):
-            break
-        both = good.select(F.col("a").alias("node")).union(good.select(F.col("b").alias("node")))
-        tested = judged.select("a", "b") if tested is None else tested.union(judged.select("a", "b"))
-        open_ = cut(open_.join(both.distinct(), "node", "left_anti"), "unlinked")
-        leaders *= 8
-        release(spark)
-    if not found:
-        return pairs
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+    pairs = cut(_candidates(members, rank), "pairs")
+    pairs_text = pairs.join(needed.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
+    pairs_text = pairs_text.join(needed.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
+    judged = cut(pairs_text.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a bigint, b bigint, linked boolean"), "judged")
+    good = judged.filter("linked").select("a", "b")
+    both = good.select(F.col("a").alias("node")).union(good.select(F.col("b").alias("node")))
+    unlinked = members.join(both.distinct(), "node", "left_anti")
+    apart = unlinked.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
+    open_ = cut(salted(unlinked, apart, "bucket").select("node", F.col("node").alias("root")).distinct(), "unsettled")
+    release(spark)
+    if not open_.head(1):
+        return good
+    return good.union(_rest(needed, open_, threshold))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, text: str = "text") -> DataFrame:
