@@ -145,6 +145,34 @@ def test_links_of_pairs_that_share_hot_buckets_only(spark):
     assert {(r.a, r.b) for r in found} == {(101, 100)}
 
 
+def components_of_cube(seen, bits):
+    """The least number that steps of one passage lead to; two passages are 0.66 and too far."""
+    met, todo = {bits}, [bits]
+    while todo:
+        at = todo.pop()
+        steps = [(*at[:k], not at[k], *at[k + 1 :]) for k in range(len(at))]
+        new = [b for b in steps if b in seen and b not in met]
+        met.update(new)
+        todo += new
+    return min(seen[b] for b in met)
+
+
+def test_near_duplicates_combined_from_passages_match_brute_force(spark):
+    """Chains of texts that are linked to the next one only, all of them in buckets with many others."""
+    import random
+
+    draw, seen = random.Random(7), {}
+    for _ in range(16):
+        bits = [draw.random() < 0.5 for _ in range(14)]
+        for _ in range(20):
+            seen.setdefault(tuple(bits), len(seen))
+            bits[draw.randrange(14)] ^= True
+    rows = [(i, " ".join(f"{'xy'[b]}{k}w{n}" for k, b in enumerate(bits) for n in range(10))) for bits, i in seen.items()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    near = [components_of_cube(seen, bits) for bits in seen]
+    assert found_classes(neardup.classes(docs)) == dict(enumerate(near))
+
+
 def test_signatures_estimate_probability_jaccard():
     import numpy as np
 

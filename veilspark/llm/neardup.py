@@ -8,7 +8,7 @@ components' first ones.
 
 Documents with equal words are one class from the start and go on as one representative.  Signatures are cut
 into bands; documents that agree in a band share a bucket.  A bucket is first compared through its best connected
-member (the one with most bucket neighbours), not in pairs; what is then unlinked in a bucket with others
+member (the one with most bucket neighbours), not in pairs; what is then in a bucket with other components
 is compared by an exact prefix filter (``_rest``).  Pairs are verified by their exact probability Jaccard over
 the whole texts.  Links are joined to classes by connected components.
 
@@ -358,10 +358,10 @@ def links(docs: DataFrame, signed: DataFrame, text: Column, threshold: float) ->
     pairs_text = pairs_text.join(needed.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
     judged = cut(pairs_text.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a bigint, b bigint, linked boolean"), "judged")
     good = judged.filter("linked").select("a", "b")
-    both = good.select(F.col("a").alias("node")).union(good.select(F.col("b").alias("node")))
-    unlinked = members.join(both.distinct(), "node", "left_anti")
-    apart = unlinked.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    open_ = cut(salted(unlinked, apart, "bucket").select("node", F.col("node").alias("root")).distinct(), "unsettled")
+    # Linked documents go on under their component's root; buckets within one component have nothing left to test.
+    rooted = members.join(components(good), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
+    open_ = cut(salted(rooted, apart, "bucket").select("node", "root").distinct(), "unsettled")
     release(spark)
     if not open_.head(1):
         return good
