@@ -173,6 +173,16 @@ def test_near_duplicates_combined_from_passages_match_brute_force(spark):
     assert found_classes(neardup.classes(docs)) == dict(enumerate(near))
 
 
+def test_near_duplicates_keep_different_texts_of_one_doc_id(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (9, b), (None, c), (None, c), (None, d), (7, d), (8, "alone"), (8, None), (8, "alone ")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = sorted(((r.doc_id, r.text and r.text.strip()) for r in neardup.keep(docs).collect()), key=str)
+    assert kept == sorted([(3, a), (5, b), (None, c), (None, d), (8, "alone"), (8, None)], key=str)
+    out = {(r.doc_id, r.text): (r.class_id, r.is_first) for r in neardup.classes(docs).collect()}
+    assert out[5, a] == (3, False) and out[5, b] == (5, True) and out[9, b] == (5, False) and out[7, d] == (None, False)
+
+
 def test_signatures_estimate_probability_jaccard():
     import numpy as np
 

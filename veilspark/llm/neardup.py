@@ -13,8 +13,8 @@ is compared by an exact prefix filter (``_rest``).  Pairs are verified by their
 the whole texts.  Links are joined to classes by connected components.
 
 Defined results: a null text is an empty one; texts without words are one class; a null doc_id is smaller than
-all others; rows that repeat doc_id and text are in one class; rows with one doc_id and other texts join their
-classes; an empty table gives an empty one; input columns that share a name with an added one are replaced.
+all others; rows that repeat doc_id and text are one document; other texts of one doc_id are documents of their
+own; an empty table gives an empty one; input columns that share a name with an added one are replaced.
 """
 
 from __future__ import annotations
@@ -368,30 +368,56 @@ def links(docs: DataFrame, signed: DataFrame, text: Column, threshold: float) ->
     return good.union(_rest(needed, open_, threshold))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, text: str = "text") -> DataFrame:
-    """``docs`` with ``class_id`` (the class's least doc_id), ``n_links`` (verified links of the document's words to
-    other words) and ``is_first`` (is this the document that stays)."""
-    docs = docs.drop(*[c for c in ADDED if c in docs.columns])
+def _numbered(docs: DataFrame, text: str) -> tuple[DataFrame, bool]:
+    """Add __doc and __node, the number of a doc_id with a text: the doc_id itself unless one has several texts.
+
+    Numbers are in the order of doc_ids.  The flag says whether doc_ids repeat."""
     known = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    plain = known.select(F.col("__doc").alias("doc"), F.col(text).alias("text"))
-    signed = cut(plain.mapInArrow(_sign(bands, rows), "doc bigint, key binary, bands array<bigint>"), "signed")
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    marks = known.select("__doc", mark.alias("m")).groupBy("__doc").agg(F.min("m").alias("x"), F.max("m").alias("y"), F.count("*").alias("n"))
+    repeated = marks.filter("n > 1").agg(F.count("*").alias("n"), F.count_if(F.col("x") != F.col("y")).alias("several")).first()
+    if not repeated["several"]:
+        return known.withColumn("__node", F.col("__doc")), bool(repeated["n"])
+    known = known.withColumn("__mark", mark)
+    numbers = known.select("__doc", "__mark").distinct().orderBy("__doc", "__mark")
+    numbers = cut(numbers.withColumn("__node", F.monotonically_increasing_id()), "numbers")
+    return cut(known.join(numbers, ["__doc", "__mark"]).drop("__mark"), "numbered"), True
+
+
+def _classed(docs: DataFrame, threshold: float, bands: int, rows: int, text: str) -> tuple[DataFrame, bool]:
+    """``classes`` with __node; do doc_ids repeat?"""
+    docs = docs.drop(*[c for c in ADDED if c in docs.columns])
+    known, repeated = _numbered(docs, text)
+    plain = known.select(F.col("__node").alias("doc"), F.col(text).alias("text"))
+    once = plain.dropDuplicates(["doc"]) if repeated else plain
+    signed = cut(once.mapInArrow(_sign(bands, rows), "doc bigint, key binary, bands array<bigint>"), "signed")
     alike = signed.groupBy("key").agg(F.min("doc").alias("node"), F.min_by("bands", "doc").alias("bands"))
     alike = cut(alike, "alike")
-    found = cut(links(plain, alike.filter("bands[0] <> 0").select("node", "bands"), F.col("text"), threshold), "found")
+    found = cut(links(once, alike.filter("bands[0] <> 0").select("node", "bands"), F.col("text"), threshold), "found")
     roots = components(found)
     both = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node")))
     facts = alike.select("key", "node").join(roots, "node", "left").join(both.groupBy("node").agg(F.count("*").alias("n_links")), "node", "left")
-    facts = facts.select("key", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    facts = facts.select("key", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     member = signed.select("doc", "key", F.col("doc").alias("node"))
-    member = salted(member, facts, "key").select(F.col("doc").alias("__doc"), "class_id", "n_links").groupBy("__doc")
-    member = member.agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
-    out = known.join(member, "__doc").withColumn("is_first", F.col("class_id") == F.col("__doc"))
+    member = salted(member, facts, "key").select(F.col("doc").alias("__node"), "root", "n_links")
+    out = known.join(member, "__node").withColumn("is_first", F.col("root") == F.col("__node"))
+    if repeated:
+        ids = known.select(F.col("__node").alias("root"), F.col("__doc").alias("class_id")).distinct()
+        out = out.join(ids.join(member.select("root").distinct(), "root", "left_semi"), "root")
+    else:
+        out = out.withColumn("class_id", F.col("root"))
     real = F.when(F.col("class_id") != NULL_ID, F.col("class_id"))
-    return out.withColumn("class_id", real).select(*docs.columns, *ADDED)
+    return out.withColumn("class_id", real).select(*docs.columns, *ADDED, "__node"), repeated
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, text: str = "text") -> DataFrame:
+    """``docs`` with ``class_id`` (the class's least doc_id), ``n_links`` (verified links of the document's words to
+    other words; pairs already in one class are not tested) and ``is_first`` (is this the document that stays)."""
+    return _classed(docs, threshold, bands, rows, text)[0].drop("__node")
 
 
-def keep(docs: DataFrame, **options) -> DataFrame:
+def keep(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, text: str = "text") -> DataFrame:
     """One document of each class, the one with the least doc_id, with the columns of the input."""
-    out = classes(docs, **options).filter("is_first").select(*docs.columns)
-    twice = docs.groupBy("doc_id").count().filter("count > 1").head(1)
-    return out.dropDuplicates(["doc_id"]) if twice else out
+    out, repeated = _classed(docs, threshold, bands, rows, text)
+    out = out.filter("is_first")
+    return (out.dropDuplicates(["__node"]) if repeated else out).select(*docs.columns)
