@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from veilspark.llm import components, neardup, suffixes
@@ -107,7 +108,7 @@ def found_classes(df):
 
 
 def test_near_duplicates_match_brute_force_on_a_table(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{small}/../sf0.01/documents.parquet").select("doc_id", "text")
     assert found_classes(neardup.classes(docs)) == brute_classes([tuple(r) for r in docs.collect()])
 
 
@@ -139,7 +140,9 @@ def test_links_of_pairs_that_share_hot_buckets_only(spark):
     rows = [(i, " ".join(template + [f"o{i}x{k}" for k in range(26)])) for i in range(30)]
     rows += [(i, " ".join(template + [f"b{k}" for k in range(6)] + [f"o{i}x{k}" for k in range(20)])) for i in (100, 101)]
     assert probability_jaccard(weights(rows[-1][1]), weights(rows[-2][1])) >= 0.8 > probability_jaccard(weights(rows[-1][1]), weights(rows[0][1]))
-    signed = spark.createDataFrame([(i, [1, 2, 3] if i < 100 else [1, 1000 + i, 2000 + i]) for i, _ in rows], "node bigint, bands array<bigint>")
+    whole = next(neardup._sign(25, 5)(iter([pa.RecordBatch.from_pydict({"doc": [i for i, _ in rows], "text": [t for _, t in rows]})])))
+    signs = dict(zip(whole.column("doc").to_pylist(), whole.column("sign").to_pylist()))
+    signed = spark.createDataFrame([(i, [1, 2, 3] if i < 100 else [1, 1000 + i, 2000 + i], signs[i]) for i, _ in rows], "node bigint, bands array<bigint>, sign binary")
     docs = spark.createDataFrame(rows, "doc bigint, text string")
     found = neardup.links(docs, signed, docs["text"], 0.8).collect()
     assert {(r.a, r.b) for r in found} == {(101, 100)}
@@ -186,8 +189,8 @@ def test_near_duplicates_keep_different_texts_of_one_doc_id(spark):
 def test_signatures_estimate_probability_jaccard():
     import numpy as np
 
-    a = {i: 1 + i % 4 for i in range(200)}
-    b = {i: 1 + (i + i // 50) % 4 for i in range(40, 240)}
+    a = Counter({i: 1 + i % 4 for i in range(200)})
+    b = Counter({i: 1 + (i + i // 50) % 4 for i in range(40, 240)})
     name = lambda i: np.uint64(i * 2654435761 + 12345)
     owner = np.array([0] * len(a) + [1] * len(b))
     hashes = np.array([name(i) for i in (*a, *b)])
@@ -198,6 +201,27 @@ def test_signatures_estimate_probability_jaccard():
     assert neardup.probability_jaccard(part(a), part(b)) == pytest.approx(exact)
 
 
+@pytest.mark.parametrize("prints", [0, 1024])
+def test_near_copies_beside_the_threshold_match_brute_force(spark, prints, monkeypatch):
+    """A ring of copies of one text, each with a tenth of its words changed; small quotas and blocks make for many rounds."""
+    import random
+
+    monkeypatch.setattr(neardup, "QUOTA", 1)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "SPREAD", 4)
+    monkeypatch.setattr(neardup, "PRINTS", prints)
+    draw, words = random.Random(5), 60
+    base = [f"w{draw.randrange(10**6)}" for _ in range(words)]
+    rows = []
+    for i in range(50):
+        text = list(base)
+        for k in draw.sample(range(words), 1):
+            text[k] = f"n{draw.randrange(10**6)}"
+        rows.append((i, " ".join(text + ["end", "end"] * (i % 3))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert found_classes(neardup.classes(docs)) == brute_classes(rows)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (95, 100), (7, 7)]
     out = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}

@@ -28,14 +28,17 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.components import components
 from veilspark.llm.rolling import mix, prefix_sums, range_hash
-from veilspark.llm.store import cut, parallelism, release
+from veilspark.llm.store import cut, parallelism
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 STEP = 1 << 18
 SLOTS = 1 << 20
-BLOCK, BLOCK_BYTES = 2048, 8 << 20
+BLOCK = 2048
+QUOTA = 16  # likeliest partners of a text in a block that are verified in the first round
+PRINTS = 1024  # distinct shingles of a text that travel as two bytes each
+SPREAD = 1024  # pairs of one lead in a task
 NULL_ID = -(1 << 63)
 ADDED = ("class_id", "n_links", "is_first")
 
@@ -129,8 +132,9 @@ def _sign(bands: int, rows: int):
                     out = mix(out * _U(3) + signature[:, r::rows] + np.arange(bands, dtype=_U))
                 flat = pa.array(np.where(n[:, None] > 0, out, _U(0)).view(np.int64).reshape(-1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), flat)
+                signs = pa.array([x.tobytes() for x in (signature & _U(255)).astype(np.uint8)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(texts)), pa.array([k.tobytes() for k in key], pa.binary()), lists], names=["doc", "key", "bands"]
+                    [ids.slice(at, len(texts)), pa.array([k.tobytes() for k in key], pa.binary()), lists, signs], names=["doc", "key", "bands", "sign"]
                 )
 
     return run
@@ -173,19 +177,29 @@ def _verify(threshold: float):
     return run
 
 
-def salted(large: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int = 8) -> DataFrame:
-    """Join on ``key`` with each key of ``large`` dealt over ``salts`` tasks; ``small`` has a row per key."""
+def salted(large: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join on ``key`` with each key of ``large`` dealt over several tasks; ``small`` has a row per key."""
+    salts = max(8, parallelism(large.sparkSession) // 8)
     large = large.withColumn("__salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int"))
     small = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return large.join(small, [key, "__salt"], how).drop("__salt")
 
 
 def _candidates(members: DataFrame, rank: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each bucket's best connected member with all of its members, each pair once."""
-    order = F.struct(F.col("degree").alias("d"), (-F.col("node")).alias("n"))
-    best = members.join(rank, "node").groupBy("bucket").agg(F.max_by("node", order).alias("b"))
-    pairs = salted(members, best, "bucket").filter("node <> b")
-    return pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+    """Each bucket's best connected member ``lead`` with all of its members ``node``, each pair once; no lead has more than ``n``."""
+    order = F.struct(F.col("degree").alias("d"), (-F.col("node")).alias("m"))
+    best = members.join(rank, "node").groupBy("bucket").agg(F.max_by(F.struct(F.col("node").alias("lead"), F.col("degree").alias("n")), order).alias("b"))
+    return salted(members, best, "bucket").select("node", "b.lead", "b.n").filter("node <> lead").distinct()
+
+
+def _judged(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """``pairs`` (node, lead, n) verified over their whole texts; a lead with many pairs is dealt over several tasks."""
+    shares = F.ceil(F.col("n") / SPREAD).cast("int")
+    leads = pairs.select("lead", "n").distinct().join(texts.select(F.col("node").alias("lead"), F.col("text").alias("tb")), "lead")
+    leads = leads.select("lead", "tb", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    met = pairs.join(texts.select("node", F.col("text").alias("ta")), "node").withColumn("share", F.pmod(F.xxhash64("node"), shares).cast("int"))
+    met = met.join(leads, ["lead", "share"]).select("node", "lead", "ta", "tb")
+    return met.mapInArrow(_verify(threshold), "a bigint, b bigint, linked boolean").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "linked")
 
 
 def _prefixes(threshold: float, counts: np.ndarray):
@@ -194,8 +208,8 @@ def _prefixes(threshold: float, counts: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, roots = (batch.column(i).to_numpy() for i in (0, 1))
-            for at, texts in _grouped(batch.column(2).to_pylist()):
+            nodes = batch.column(0).to_numpy()
+            for at, texts in _grouped(batch.column(1).to_pylist()):
                 _, owner, hashes, _ = shingles(texts)
                 o, h, w = weighted(owner, hashes)
                 order = np.lexsort((h, counts[h % _U(len(counts))], o))
@@ -205,10 +219,8 @@ def _prefixes(threshold: float, counts: np.ndarray):
                 left = (sums[edge[1:]][o] - sums[:-1]) / (sums[edge[1:]] - sums[edge[:-1]])[o]
                 prev = np.where(np.r_[True, o[1:] != o[:-1]][: len(o)], _U(0), np.r_[_U(0), h[:-1]][: len(o)])
                 at_ = np.flatnonzero(left >= low - 1e-9)
-                size = np.array([len(t) for t in texts])
-                own = o[at_] + at
-                columns = nodes[own], roots[own], h[at_].view(np.int64), prev[at_].view(np.int64), left[at_] >= high - 1e-9, size[o[at_]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "root", "e", "prev", "nine", "size"])
+                columns = nodes[o[at_] + at], h[at_].view(np.int64), prev[at_].view(np.int64), left[at_] >= high - 1e-9, left[at_]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "e", "prev", "nine", "share"])
 
     return run
 
@@ -224,74 +236,95 @@ def _count(slots: int):
     return run
 
 
-def _compare_block(rows: dict[str, list], threshold: float) -> list[tuple[int, int]]:
-    """Links between members with other roots; those that would join what is joined in this block are left out."""
-    parts = []
-    for _, texts in _grouped(rows["text"]):
-        _, owner, hashes, _ = shingles(texts)
-        o, h, w = weighted(owner, hashes)
-        edge = np.searchsorted(o, np.arange(len(texts) + 1))
-        parts += [(h[x:y], w[x:y]) for x, y in zip(edge[:-1], edge[1:])]
-    node, root, prev = (np.array(rows[c]) for c in ("node", "root", "prev"))
+def least_equal(m: int, threshold: float) -> int:
+    """So many of ``m`` components agree at the threshold but for one pair in 300,000 (4.5 standard deviations)."""
+    return int(m * threshold - 4.5 * (m * threshold * (1 - threshold)) ** 0.5)
+
+
+def _sketch(most: int):
+    """Per text its distinct shingles' last two bytes and, unless all are one, weights; null beyond ``most``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in _grouped(batch.column(1).to_pylist()):
+                _, owner, hashes, _ = shingles(texts)
+                o, h, w = weighted(owner, hashes)
+                edge = np.searchsorted(o, np.arange(len(texts) + 1))
+                prints, weights = [], []
+                for i, j in zip(edge[:-1], edge[1:]):
+                    fits = j - i <= most and w[i:j].max(initial=0) < 256
+                    prints.append((h[i:j] & _U(0xFFFF)).astype(np.uint16).tobytes() if fits else None)
+                    weights.append(w[i:j].astype(np.uint8).tobytes() if fits and w[i:j].max(initial=0) > 1 else None)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(prints, pa.binary()), pa.array(weights, pa.binary())], names=["node", "prints", "weights"])
+
+    return run
+
+
+def _compare_block(rows: dict[str, list], threshold: float, quota: int) -> list[np.ndarray]:
+    """Members with other roots that may be linked: node, lead, and whether node has more than ``quota``."""
+    node, root, prev, share = (np.array(rows[c]) for c in ("node", "root", "prev", "share"))
     nine, left, right = (np.array(rows[c], bool) for c in ("nine", "left", "right"))
-    names, ids = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
-    edges = np.cumsum([0, *(len(h) for h, _ in parts)])
-    total = np.array([w.sum() for _, w in parts])
-    mass = np.concatenate([w / w.sum() for _, w in parts])
+    signs = np.frombuffer(b"".join(rows["sign"]), np.uint8).reshape(len(node), -1)
+    least = least_equal(signs.shape[1], threshold)
+    known = np.array([p is not None for p in rows["prints"]])
+    size = np.array([len(p) // 2 if p else 0 for p in rows["prints"]])
+    begin = np.cumsum(size) - size
+    prints = np.frombuffer(b"".join(p or b"" for p in rows["prints"]), np.uint16)
+    weight = np.frombuffer(b"".join(w or b"\1" * n for w, n in zip(rows["weights"], size)), np.uint8).astype(float)
+    mass = weight / np.repeat(np.add.reduceat(weight, begin[size > 0]), size[size > 0]) if len(weight) else weight
+    dense = np.zeros(1 << 16)
     r = np.flatnonzero(right)
-    at = np.concatenate([np.arange(edges[k], edges[k + 1]) for k in r]) if len(r) else np.zeros(0, int)
-    starts = np.r_[0, np.cumsum(edges[r + 1] - edges[r])[:-1]] if len(r) else r
-    right_ids, right_mass = ids[at], mass[at]
-    dense = np.zeros(len(names))
     out = []
     for k in np.flatnonzero(left & nine):
         # Two that both have the shingle in the short prefix meet once; equal ``prev`` means that they meet there.
         may = (root[r] != root[k]) & ((prev[r] != prev[k]) | (prev[k] == 0)) & (~nine[r] | (node[r] < node[k]))
-        if not may.any():
-            continue
-        mine = slice(edges[k], edges[k + 1])
-        dense[ids[mine]] = mass[mine]
-        got = dense[right_ids]
-        sa, sb = np.add.reduceat(got, starts), np.add.reduceat(right_mass * (got > 0), starts)
-        dense[ids[mine]] = 0
-        with np.errstate(divide="ignore"):
-            near = may & (1 / sa + 1 / sb <= 1 + 1 / threshold + 1e-9)
-        for j in r[near]:
-            if root[j] != root[k] and probability_jaccard(parts[k], parts[j]) >= threshold - 1e-12:
-                out.append((max(int(node[k]), int(node[j])), min(int(node[k]), int(node[j]))))
-                root[root == root[j]] = root[k]
+        j = r[may & (1 / share[r] + 1 / share[k] <= 1 + 1 / threshold + 1e-9)]
+        exact = j[known[j] & known[k]]
+        rough = j[~(known[j] & known[k])]
+        likely = (signs[rough] == signs[k]).sum(axis=1) / signs.shape[1]
+        j, likely = rough[likely >= least / signs.shape[1]], likely[likely >= least / signs.shape[1]]
+        if len(exact):
+            mine = slice(begin[k], begin[k] + size[k])
+            np.add.at(dense, prints[mine], mass[mine])
+            n = size[exact]
+            at = np.repeat(begin[exact] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            got, first = dense[prints[at]], np.cumsum(n) - n
+            with np.errstate(divide="ignore"):
+                bound = 1 / (1 / np.add.reduceat(got, first) + 1 / np.add.reduceat(mass[at] * (got > 0), first) - 1)
+            dense[prints[mine]] = 0
+            j, likely = np.r_[j, exact[bound >= threshold - 1e-9]], np.r_[likely, bound[bound >= threshold - 1e-9]]
+        if len(j):
+            more = len(j) > quota
+            j = j[np.argsort(-likely, kind="stable")[:quota]]
+            out.append(np.array([np.full(len(j), node[k]), node[j], np.full(len(j), more)]))
     return out
 
 
-def _compare(threshold: float):
-    names = ("node", "root", "prev", "nine", "left", "right", "text")
+def _compare(threshold: float, quota: int):
+    names = ("node", "root", "prev", "nine", "share", "left", "right", "sign", "prints", "weights")
+
+    def found(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        if len(held["node"]) > 1 and (pairs := _compare_block(held, threshold, quota)):
+            node, lead, more = np.concatenate(pairs, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(lead), pa.array(more.astype(bool))], names=["node", "lead", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {n: [] for n in names}
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("e", "i", "j"))))
-            columns = [batch.column(n).to_pylist() for n in names]
-            links_ = []
-            for key, *values in zip(keys, *columns):
+            for key, *values in zip(keys, *(batch.column(n).to_pylist() for n in names)):
                 if key != now:
-                    links_ += _compare_block(held, threshold) if len(held["node"]) > 1 else []
+                    yield from found(held)
                     now, held = key, {n: [] for n in names}
                 for n, v in zip(names, values):
                     held[n].append(v)
-            if links_:
-                yield _pairs_batch(links_)
-        if len(held["node"]) > 1 and (links_ := _compare_block(held, threshold)):
-            yield _pairs_batch(links_)
+        yield from found(held)
 
     return run
 
 
-def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
-
-
-def _met(rows: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
-    """The members of each block pair (e, i, j), in order: ``left`` ones are compared with ``right`` ones."""
+def _met(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The members of each block pair (e, i, j): ``left`` ones are compared with ``right`` ones."""
     met = salted(rows, groups, "e")
     own = F.xxhash64("node", F.lit(1))
     met = met.withColumn("bi", F.pmod(own, "nb9")).withColumn("bj", F.pmod(own, "nb"))
@@ -299,14 +332,12 @@ def _met(rows: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
     across = F.transform(F.sequence(F.lit(0), F.col("nb9") - 1), lambda i: pair(i, F.col("bj")))
     along = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: pair(F.col("bi"), j))
     met = met.withColumn("at", F.explode(F.when(F.col("nine"), F.array_union(across, along)).otherwise(across)))
-    met = met.select("node", "root", "e", "prev", "nine", "at.i", "at.j", (F.col("nine") & (F.col("at.i") == F.col("bi"))).alias("left"), (F.col("at.j") == F.col("bj")).alias("right"))
-    met = met.join(texts.select("node", "text"), "node")
-    # The number is given because the work grows with the square of a block, not with its bytes.
-    return met.repartition(parallelism(texts.sparkSession), "e", "i", "j").sortWithinPartitions("e", "i", "j")
+    sides = (F.col("nine") & (F.col("at.i") == F.col("bi"))).alias("left"), (F.col("at.j") == F.col("bj")).alias("right")
+    return met.select("node", "e", "prev", "nine", "share", "at.i", "at.j", *sides)
 
 
-def _rest(needed: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """All links (a, b) that join other roots among ``nodes`` (node, root), without candidates by chance.
+def _rest(needed: DataFrame, nodes: DataFrame, signed: DataFrame, good: DataFrame, threshold: float) -> DataFrame:
+    """``good`` with all links that join other roots among ``nodes`` (node, root), without candidates by chance.
 
     With s_a and s_b the shares of the texts' weight on shared shingles, the probability Jaccard is at most
     1 / (1 / s_a + 1 / s_b - 1).  So at a threshold t both shares are at least t and the larger one at least
@@ -314,58 +345,57 @@ def _rest(needed: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     shares at and behind it: it is in the short prefix (2 t / (1 + t)) of one and in the long one (t) of the other.
     The order takes rare shingles first (by counts of hash slots; any order gives the same links), so that
     frequent passages bring few texts together.  Texts that share the shingle before as well meet there already.
-    What meets is compared in blocks inside tasks, which give links only.
+
+    What meets is compared in blocks inside tasks by these shares, over two bytes of every shingle; a text of
+    more than ``PRINTS`` distinct ones is compared by signatures (``least_equal``).  What may be linked is verified.  Where a text has more of that than a quota, the likeliest go first and the rest goes on to another
+    round, under the roots that are then joined and a larger quota, until nothing is left.
     """
-    spark = needed.sparkSession
-    texts = needed.join(nodes, needed["doc"] == nodes["node"]).select("node", "root", "text")
-    texts = cut(texts, "open")
+    texts = cut(needed.join(nodes.select("node"), "node"), "open")
     counted = texts.select("text").mapInArrow(_count(SLOTS), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SLOTS, np.int64)
     counts[counted["slot"].to_numpy()] = counted["n"].to_numpy()
-    rows = texts.mapInArrow(_prefixes(threshold, counts), "node bigint, root bigint, e bigint, prev bigint, nine boolean, size bigint")
-    rows = cut(rows, "prefixes")
-    groups = rows.groupBy("e").agg(
-        F.count("*").alias("n"), F.count_if(F.col("nine")).alias("n9"), F.sum("size").alias("bytes"), F.sum(F.when(F.col("nine"), F.col("size"))).alias("bytes9"),
-        (F.min("root") != F.max("root")).alias("apart"), ((F.min("prev") != F.max("prev")) | (F.count_if(F.col("prev") == 0) > 0)).alias("new"),
-    )
-    blocks = lambda n, size: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(size) / BLOCK_BYTES)).cast("int")
-    groups = groups.filter("n > 1 and n9 > 0 and apart and new").select("e", "bytes", "bytes9", blocks("n", "bytes").alias("nb"), blocks("n9", "bytes9").alias("nb9"))
-    groups = cut(groups, "groups")
-    sent = groups.agg(F.sum(F.col("bytes") * F.col("nb9") + F.col("bytes9") * F.col("nb"))).first()[0] or 0
-    # In slices of twice the open texts (64 MB at least), one after the other, so that the disk does not hold all at once.
-    slices = max(1, -(-sent // max(1 << 26, 2 * (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0))))
-    out = texts.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    for k in range(slices):
-        now = groups.filter(F.pmod(F.xxhash64("e"), F.lit(slices)) == k).select("e", "nb", "nb9")
-        out = out.union(cut(_met(rows, now, texts).mapInArrow(_compare(threshold), "a bigint, b bigint").distinct(), "rest"))
-        release(spark)
-    return out
+    rows = cut(texts.mapInArrow(_prefixes(threshold, counts), "node bigint, e bigint, prev bigint, nine boolean, share double"), "prefixes")
+    new = (F.min("prev") != F.max("prev")) | (F.count_if(F.col("prev") == 0) > 0)
+    groups = rows.groupBy("e").agg(F.count("*").alias("n"), F.count_if(F.col("nine")).alias("n9"), new.alias("new"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    groups = groups.filter("n > 1 and n9 > 0 and new").select("e", blocks("n").alias("nb"), blocks("n9").alias("nb9"))
+    met = cut(_met(rows, groups), "met")
+    shown = signed.join(texts, "node", "left_semi").select("node", "sign")
+    shown = cut(shown.join(texts.select("node", "text").mapInArrow(_sketch(PRINTS), "node bigint, prints binary, weights binary"), "node"), "shown")
+    quota, tested = QUOTA, None
+    while True:
+        now = nodes.join(shown, "node")
+        # The number is given because the work grows with the square of a block, not with its bytes.
+        now = met.join(now, "node").repartition(parallelism(met.sparkSession), "e", "i", "j").sortWithinPartitions("e", "i", "j")
+        near = now.mapInArrow(_compare(threshold, quota), "node bigint, lead bigint, more boolean")
+        near = near.groupBy("node", "lead").agg(F.max("more").alias("more"))
+        near = cut(near if tested is None else near.join(tested.select("node", "lead", F.lit(True).alias("old")), ["node", "lead"], "left"), "near")
+        fresh = near if tested is None else near.filter("old is null")
+        of = fresh.groupBy("lead").agg(F.count("*").alias("n"))
+        good = good.union(cut(_judged(salted(fresh.select("node", "lead"), of, "lead"), texts, threshold).filter("linked").select("a", "b"), "rest"))
+        if not near.filter("more").head(1):
+            return good
+        tested = fresh.select("node", "lead") if tested is None else tested.union(fresh.select("node", "lead"))
+        nodes = nodes.select("node").join(components(good), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        quota *= 8
 
 
 def links(docs: DataFrame, signed: DataFrame, text: Column, threshold: float) -> DataFrame:
-    """Verified links (a, b) between representatives; ``docs`` (doc, text), ``signed`` (node, bands)."""
+    """Verified links (a, b) between representatives; ``docs`` (doc, text), ``signed`` (node, bands, sign)."""
     spark = docs.sparkSession
     rows = signed.select("node", F.explode("bands").alias("bucket")).distinct()
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = cut(salted(rows, shared, "bucket"), "members")
     rank = cut(members.groupBy("node").agg(F.sum("size").alias("degree")), "rank")
     members = members.select("node", "bucket")
-    needed = docs.join(rank.select(F.col("node").alias("doc")), "doc", "left_semi").select("doc", text.alias("text"))
-    needed = cut(needed, "texts")
-    release(spark)
+    needed = cut(docs.join(rank.select(F.col("node").alias("doc")), "doc", "left_semi").select(F.col("doc").alias("node"), text.alias("text")), "texts")
     pairs = cut(_candidates(members, rank), "pairs")
-    pairs_text = pairs.join(needed.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
-    pairs_text = pairs_text.join(needed.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
-    judged = cut(pairs_text.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a bigint, b bigint, linked boolean"), "judged")
-    good = judged.filter("linked").select("a", "b")
+    good = cut(_judged(pairs, needed, threshold).filter("linked").select("a", "b").distinct(), "judged")
     # Linked documents go on under their component's root; buckets within one component have nothing left to test.
     rooted = members.join(components(good), "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
     open_ = cut(salted(rooted, apart, "bucket").select("node", "root").distinct(), "unsettled")
-    release(spark)
-    if not open_.head(1):
-        return good
-    return good.union(_rest(needed, open_, threshold))
+    return _rest(needed, open_, signed, good, threshold).distinct() if open_.head(1) else good
 
 
 def _numbered(docs: DataFrame, text: str) -> tuple[DataFrame, bool]:
@@ -390,10 +420,10 @@ def _classed(docs: DataFrame, threshold: float, bands: int, rows: int, text: str
     known, repeated = _numbered(docs, text)
     plain = known.select(F.col("__node").alias("doc"), F.col(text).alias("text"))
     once = plain.dropDuplicates(["doc"]) if repeated else plain
-    signed = cut(once.mapInArrow(_sign(bands, rows), "doc bigint, key binary, bands array<bigint>"), "signed")
-    alike = signed.groupBy("key").agg(F.min("doc").alias("node"), F.min_by("bands", "doc").alias("bands"))
-    alike = cut(alike, "alike")
-    found = cut(links(once, alike.filter("bands[0] <> 0").select("node", "bands"), F.col("text"), threshold), "found")
+    signed = cut(once.mapInArrow(_sign(bands, rows), "doc bigint, key binary, bands array<bigint>, sign binary"), "signed")
+    alike = signed.groupBy("key").agg(F.min_by(F.struct("doc", "bands", "sign"), "doc").alias("one"))
+    alike = cut(alike.select("key", F.col("one.doc").alias("node"), "one.bands", "one.sign"), "alike")
+    found = cut(links(once, alike.filter("bands[0] <> 0").select("node", "bands", "sign"), F.col("text"), threshold), "found")
     roots = components(found)
     both = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node")))
     facts = alike.select("key", "node").join(roots, "node", "left").join(both.groupBy("node").agg(F.count("*").alias("n_links")), "node", "left")
