@@ -94,7 +94,6 @@ def check_packing(rows, got, length=2048):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     ids = defaultdict(Counter)
     for doc_id, text in rows:
         x = [*t.encode(text or "", add_special_tokens=False).ids, 0]
@@ -117,6 +116,19 @@ def check_packing(rows, got, length=2048):
     return len(places), sum(r.length for r in got)
 
 
+def test_packing_of_added_tokens_long_words_and_clashing_columns(spark):
+    strange = ["a  <|endoftext|>  b<|im_end|>", "<|endoftext|>", " <|endoftext|>\n\n x", "no" * 40_000, " y" + "z" * 200 + " y", "it's we'll\u00a0 x\x1c y  z", " \u3000 a \t b", "e\u0301 \U0001f600 \u0120x", " ", ""]
+    rows = [(i, t, "x") for i, t in enumerate(strange * 2)] + [(None, "null id", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, piece string")
+    check_packing([(i, t) for i, t, _ in rows], packing.pack(docs, tokenizer_path()).collect())
+
+
+def test_packing_merges_no_more_than_a_task_holds(spark):
+    docs = spark.createDataFrame([(i, " word" * 1200) for i in range(60)], "doc_id bigint, text string").coalesce(1)
+    used, _ = check_packing([tuple(r) for r in docs.collect()], packing.pack(docs, tokenizer_path(), group_items=16).collect())
+    assert used == 60
+
+
 def test_packing(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     used, total = check_packing([tuple(r) for r in docs.collect()], packing.pack(docs.repartition(6), tokenizer_path()).collect())

@@ -32,11 +32,15 @@ from veilspark.llm.store import cut, parallelism
 LENGTH = 2048
 END_ID = 0
 NEARLY_FULL = 8  # bins with at most so much space left are final
-CACHE = 400_000  # pieces of text whose ids a worker process remembers; then the cache is begun anew and takes over what is still met
+CACHE = 500_000  # pieces of text whose ids a worker process remembers; then the cache is begun anew and takes over what is still met
+LONG = 64  # characters of a piece that is remembered
+JOINED = 500  # pieces encoded as one text
 CHARS = 1 << 18  # texts tokenised at once
 
 # White space as the tokeniser's pattern has it; Python's own class also holds the separators 28 to 31.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{_WS}]", c))
+SPACE = "\u0120"  # fixed value: how the vocabulary spells a space
 #: The tokeniser never joins anything across these cuts, so equal pieces have equal ids in every text.
 PIECES = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
@@ -53,22 +57,47 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        names = (self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size()))
+        self.opens = np.array([bool(n) and n.startswith(SPACE) for n in names])
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fresh(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Pieces that begin with a space are encoded joined and parted where a token begins with one; in order, so that neighbours meet equal merges."""
+        spaced = [p for p in pieces if p[0] == " " and len(p) > 1 and p[1] not in WHITE]
+        single = [p for p in pieces if p[0] != " " or len(p) == 1 or p[1] in WHITE]
+        runs = [spaced[i : i + JOINED] for i in range(0, len(spaced), JOINED)]
+        for run, ids in zip(runs, self._encoded(["".join(r) for r in runs]), strict=True):
+            starts = np.flatnonzero(self.opens[np.frombuffer(ids, "<u4")])
+            if len(starts) != len(run):  # should a token ever hold such a space inside
+                single += run
+                continue
+            edges = (starts * 4).tolist()
+            yield from zip(run, (ids[x:y] for x, y in zip(edges, [*edges[1:], len(ids)], strict=True)), strict=True)
+        yield from zip(single, self._encoded(single), strict=True)
+
     def of(self, texts: list[str]) -> list[bytes]:
-        pieces = [PIECES.findall(t) for t in texts]
+        # Texts that hold an added token's string go as they are: it has an id of its own, and cuts text around it.
+        whole = {i: t for i, t in enumerate(texts) if any(x in t for x in self.added)}
+        pieces = [PIECES.findall(t) if i not in whole else [] for i, t in enumerate(texts)]
         missing = set().union(*pieces).difference(self.cache)
         if len(self.cache) + len(missing) > CACHE:
             self.old, self.cache = self.cache, {}
             missing = set().union(*pieces)
         known = missing & self.old.keys()
         self.cache.update((p, self.old[p]) for p in known)
-        fresh = list(missing - known)
-        for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.cache[p] = array("I", e.ids).tobytes()
-        return [b"".join(map(self.cache.__getitem__, p)) for p in pieces]
+        self.cache.update(self._fresh(sorted(missing - known)))
+        out = [b"".join(map(self.cache.__getitem__, p)) for p in pieces]
+        for p in missing:
+            if len(p) > LONG:  # entries are bounded, so the cache is too
+                del self.cache[p]
+        for i, ids in zip(whole, self._encoded(list(whole.values())), strict=True):
+            out[i] = ids
+        return out
 
 
 _IDS: dict[str, Ids] = {}  # one for all tasks of a worker process, so that its cache stays warm
@@ -179,7 +208,7 @@ def _merge(length: int):
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, fan_in: int = 8, group_items: int = 100_000) -> DataFrame:
     """``docs`` (doc_id, text) to one row per piece with its sequence and offset."""
     spark = docs.sparkSession
-    # Content decides the partition, not the reader's splits; ids and numbers move, so the local round runs before any shuffle.
+    # The local round packs what the reader's splits hold: texts are not shuffled.
     bins = cut(_tokenised(docs, tokenizer_path, length), "bins-0")
     finished, level, groups = [bins.filter("done")], bins.filter("not done"), None
     for step in range(1, 64):
@@ -190,8 +219,9 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, fan_in: int
         fewer = max(-(-groups // fan_in), -(-state["n"] // group_items))
         if step > 1 and fewer >= groups:
             break
-        fewer = min(fewer, groups)
-        merged = level.withColumn("grp", F.pmod("grp", F.lit(fewer))).repartition(min(fewer, parallelism(spark)), "grp")
+        # Where a split left more bins than a task should hold, they are dealt by their first item.
+        first = F.xxhash64(F.col("items")[0]["doc_id"], F.col("items")[0]["piece"])
+        merged = level.withColumn("grp", F.pmod(F.col("grp") if fewer <= groups else first, F.lit(fewer))).repartition(min(fewer, parallelism(spark)), "grp")
         merged = cut(merged.groupBy("grp").applyInArrow(_merge(length), _BINS), f"bins-{step}")
         finished.append(merged.filter("done"))
         level = merged.filter("not done")
