@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import io
 import math
 import struct
 import zlib
@@ -57,6 +58,8 @@ def test_netpbm_and_bmp():
     assert (media.decode(b"P6 # note\n7 5\n255\n" + image.tobytes()) == image).all()
     assert (media.decode(b"P3\n7 5\n255\n" + b" ".join(str(x).encode() for x in image.ravel())) == image).all()
     assert (media.decode(b"P5 7 5 255\n" + image[:, :, 0].tobytes())[:, :, 0] == image[:, :, 0]).all()
+    assert (media.decode(b"P6\n7 5\n65535\n" + (image.astype(">u2") * 257).tobytes()) == image).all()
+    assert media.decode(b"P2\n2 1\n15\n0 15\n")[:, :, 0].tolist() == [[0, 255]]
     assert media.decode(b"P1\n3 2\n1 0 1\n0 1 0\n")[:, :, 0].tolist() == [[0, 255, 0], [255, 0, 255]]
     assert media.decode(b"P4\n3 2\n" + bytes([0b10100000, 0b01000000]))[:, :, 0].tolist() == [[0, 255, 0], [255, 0, 255]]
     stride = b"\0" * (-21 % 4)
@@ -72,6 +75,25 @@ def test_area_resize_is_the_mean_of_covered_pixels():
     assert np.allclose(media.resize(image, 5, 3).mean(axis=(0, 1)), image.mean(axis=(0, 1)))
 
 
+def brute_features(payload, width=64):
+    """Tile and difference hash by summing every sample's share in every cell."""
+
+    def shrunk(image, height, width):
+        def shares(n, m):
+            out = np.zeros((m, n))
+            for i in range(m):
+                for j in range(n):
+                    out[i, j] = max(0.0, min((i + 1) * n / m, j + 1) - max(i * n / m, j)) * m / n
+            return out
+
+        return np.einsum("ia,jb,abc->ijc", shares(image.shape[0], height), shares(image.shape[1], width), image.astype(float))
+
+    image = np.frombuffer(payload, np.uint8).reshape(-1, width, 3)
+    grey = np.round(shrunk(image.mean(axis=2, keepdims=True), 8, 9)[:, :, 0], 6)
+    bits = "".join("1" if grey[i, j + 1] > grey[i, j] else "0" for i in range(8) for j in range(8))
+    return np.clip(np.rint(shrunk(image, 32, 32)), 0, 255).astype(int), f"{int(bits, 2):016x}"
+
+
 def test_media_columns(spark):
     texts = [None, "", "a", "é" * 96, "x" * 193, "y" * 300_000, "a"]
     rows = [(i, t, "old") for i, t in enumerate(texts)]
@@ -83,7 +105,8 @@ def test_media_columns(spark):
         r, form = out[i], b"P6\n64 %d\n255\n" % (len(payload) // 192) + payload
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
         assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-16:]), len(form), hashlib.sha256(form).hexdigest())
-        assert len(r.feature) == 16 and bytes(r.tile)[:6] == b"\x93NUMPY"
+        tile, bits = brute_features(payload)
+        assert r.feature == bits and np.abs(np.load(io.BytesIO(r.tile)).astype(int) - tile).max() <= 1
     assert out[2].feature == out[6].feature
     odd = media.features(spark.createDataFrame([(b"BMx",), (None,)], "media binary")).collect()
     assert all(r.feature is None for r in odd)
@@ -167,6 +190,47 @@ def test_mixing_whole_budget(spark):
     assert abs(a[0] - 0.5) < 1e-6
 
 
+def test_mixing_matches_brute_force_with_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    names = ("whole", "all", "end", "blocks", "__x", "key", "n", "left", "rest", "epoch")
+    rows = [(i if i % 50 else None, "w " * (1 + i * 7 % 13), "hot" if i % 4 else f"s{i % 3}", *"abcdefghij") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, " + ", ".join(f"{n} string" for n in names)).repartition(3)
+    out = mixing.mix(docs, repetition=None, entropy=0.9, budget=9000, block_docs=32)
+    assert out.columns == [*[c for c in docs.columns if c != "epoch"], *mixing.ADDED]
+    got = Counter((r.source, r.doc_id) for r in out.collect())
+    # The plan by itself: tokens to the power a, normalised, a bisected to the entropy.
+    tokens = Counter()
+    for _, t, s, *_ in rows:
+        tokens[s] += len(t.split())
+    total = sum(tokens.values())
+
+    def weights(a):
+        z = sum((t / total) ** a for t in tokens.values())
+        return {s: (t / total) ** a / z for s, t in tokens.items()}
+
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if -sum(w * math.log(w) for w in weights(mid).values()) >= 0.9 else (low, mid)
+    hashed = lambda *c: F.xxhash64(F.lit(17), *c)
+    expected = Counter()
+    for s, t in tokens.items():
+        goal = round(weights(low)[s] * 9000)
+        whole, rest = divmod(goal, t)
+        mine = docs.filter(F.col("source") == s)
+        blocks = -(-sum(r[2] == s for r in rows) // 32)
+        mine = mine.select("doc_id", F.regexp_count("text", F.lit(mixing.WORDS)).alias("size"), F.pmod(hashed("doc_id"), F.lit(blocks)).cast("int").alias("b"))
+        mine = mine.withColumn("bk", hashed(F.lit(s), F.lit(whole), "b")).withColumn("dk", hashed(F.lit(whole), "doc_id"))
+        last, used = None, 0
+        for r in sorted(mine.collect(), key=lambda r: (r.bk, r.b, r.dk, r.doc_id is not None, r.doc_id or 0)):
+            # Rows with one doc_id are chosen together.
+            taken = used < rest or r.doc_id == last and expected[s, r.doc_id] > whole
+            expected[s, r.doc_id] += whole + taken
+            used, last = used + r.size, r.doc_id
+    assert sum(abs(got[k] - expected[k]) for k in got.keys() | expected.keys() if k[1] is not None) <= len(tokens)  # rounding of a goal
+
+
 def test_mixing_given_budget_and_entropy(spark):
     rows = [(i, "w " * 10, "abc"[0 if i < 900 else 1 if i < 990 else 2]) for i in range(1000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")

@@ -53,7 +53,8 @@ def _segments(turns: Column, trained: str) -> Column:
         )
         return F.concat(F.array(head), F.flatten(texts), F.array(piece(F.lit(END), F.lit(False))))
 
-    return F.flatten(F.transform(first, lambda i, k: block(i, k, first)))
+    # ``first`` is bound by an array of one, or each block would work it out anew.
+    return F.get(F.transform(F.array(first), lambda starts: F.flatten(F.transform(starts, lambda i, k: block(i, k, starts)))), F.lit(0))
 
 
 def format_conversations(rows: DataFrame, trained: str = "assistant") -> DataFrame:

@@ -51,7 +51,7 @@ def _netpbm_fields(data: bytes, want: int) -> tuple[list[int], int]:
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """P2, P3, P5 and P6 with up to 255 as greatest sample, P1 and P4 as 0 and 255; height x width x channels."""
+    """P1 to P6, samples of one or two bytes scaled to 0 to 255; height x width x channels. P7 is not read."""
     kind = data[:2]
     if kind in (b"P1", b"P4"):
         (w, h), at = _netpbm_fields(data, 2)
@@ -63,12 +63,14 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     if kind not in (b"P2", b"P3", b"P5", b"P6"):
         raise ValueError("not a Netpbm image")
     (w, h, top), at = _netpbm_fields(data, 3)
-    if not 0 < top < 256:
-        raise ValueError("only samples of one byte")
+    if not 0 < top < 1 << 16:
+        raise ValueError("no such sample")
     c = 3 if kind in (b"P3", b"P6") else 1
     if kind in (b"P5", b"P6"):
-        return np.frombuffer(data, np.uint8, h * w * c, at).reshape(h, w, c)
-    return np.array(data[at:].split()[: h * w * c], np.uint8).reshape(h, w, c)
+        image = np.frombuffer(data, np.uint8 if top < 256 else ">u2", h * w * c, at).reshape(h, w, c)
+    else:
+        image = np.array(data[at:].split()[: h * w * c], np.int64).reshape(h, w, c)
+    return image.astype(np.uint8, copy=False) if top == 255 else np.rint(image * (255 / top)).astype(np.uint8)
 
 
 def decode_bmp(data: bytes) -> np.ndarray:

@@ -107,7 +107,7 @@ def mix(
     plan = cut(plan, "mix-plan")
     block = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.col("blocks")).cast("int")
     block_key = lambda epoch: F.xxhash64(F.lit(seed), F.col("__source"), epoch, F.col("block"))
-    doc_key = lambda epoch: F.xxhash64(F.lit(seed), epoch, F.col("doc_id"))
+    doc_key = lambda epoch: F.xxhash64(F.lit(seed), epoch, F.col("doc_id").cast("long"))
     plan = plan.withColumnRenamed("source", "__source")
 
     placed = narrow.withColumnRenamed("source", "__source").join(plan, "__source").withColumn("block", block)
@@ -124,10 +124,14 @@ def mix(
         blocks.join(ends, ["__source", "block"], "left").select("__source", "block", "whole", ((F.col("left") >= F.col("n")) & (F.col("left") > 0)).alias("all"), "end"), "mix-choice"
     )
 
-    rows = d.withColumn("__source", source).join(plan.select("__source", "blocks"), "__source").withColumn("block", block)
-    rows = rows.join(choice, ["__source", "block"])
-    extra = F.col("all") | F.coalesce(F.struct(doc_key(F.col("whole")).alias("key"), "doc_id") <= F.col("end"), F.lit(False))
-    copies = F.col("whole") + F.when(extra, 1).otherwise(0)
+    # Names of this operator's own get a prefix here, so that columns of the input may be called anything else.
+    dealt = plan.select("__source", F.col("blocks").alias("__blocks"))
+    chosen = choice.select("__source", "block", *[F.col(c).alias(f"__{c}") for c in ("whole", "all", "end")])
+    rows = d.withColumn("__source", source).join(dealt, "__source")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.col("__blocks")).cast("int"))
+    rows = rows.join(chosen, ["__source", "block"])
+    extra = F.col("__all") | F.coalesce(F.struct(doc_key(F.col("__whole")).alias("key"), F.col("doc_id").cast("long").alias("doc_id")) <= F.col("__end"), F.lit(False))
+    copies = F.col("__whole") + F.when(extra, 1).otherwise(0)
     rows = rows.withColumn("epoch", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
     rows = rows.withColumns({"block_key": block_key(F.col("epoch")), "doc_key": doc_key(F.col("epoch"))})
     return rows.select(*d.columns, *ADDED)

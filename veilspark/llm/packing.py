@@ -32,7 +32,7 @@ from veilspark.llm.store import cut, parallelism
 LENGTH = 2048
 END_ID = 0
 NEARLY_FULL = 8  # bins with at most so much space left are final
-CACHE = 500_000  # pieces of text whose ids a worker process remembers; then the cache is begun anew and takes over what is still met
+CACHE = 900_000  # pieces of text whose ids a worker process remembers; then the cache is begun anew and takes over what is still met
 LONG = 64  # characters of a piece that is remembered
 JOINED = 500  # pieces encoded as one text
 CHARS = 1 << 18  # texts tokenised at once

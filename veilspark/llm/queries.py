@@ -55,13 +55,14 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)]
-    return chat.digests(chat.format_conversations(rows.union(spark.createDataFrame(extra, rows.schema))))
+    role = F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant"))
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    return chat.digests(chat.format_conversations(rows.union(extra)))
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.encode_text(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile")
     return media.features(stored).select(*columns)
 
 

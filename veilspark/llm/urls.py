@@ -113,8 +113,8 @@ def filter_urls(
     per_page = p.select("page_id", "host").join(seen, "page_id", "left")
     hosts = per_page.groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"))
     rated = host_reputation(hosts, z, suffixes)
-    rated = rated.select("host", F.col("n").alias("n_outcomes"), "bad_bound", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    p = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+    rated = rated.select("host", F.col("n").alias("n_outcomes"), "bad_bound", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    p = p.withColumn("__salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
     name, by_rule = matching_rule(rules, F.col("host"), F.col("path"))
     by_host = F.when(F.col("bad_bound") > max_bad, F.lit("block")).otherwise(F.lit("allow"))
-    return p.join(rated, ["host", "salt"], "left").drop("salt").withColumns({"rule": name, "verdict": F.coalesce(by_rule, by_host)})
+    return p.join(rated, ["host", "__salt"], "left").drop("__salt").withColumns({"rule": name, "verdict": F.coalesce(by_rule, by_host)})
