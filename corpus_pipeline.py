@@ -28,7 +28,9 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, repetition=2.0).select(*docs.columns)
+    mixed = mixing.mix(docs, repetition=2.0)
+    # Rows are written pass by pass and in each pass in the order of its blocks, so that what is packed follows the permutation.
+    return mixed.orderBy("epoch", "block_key", "doc_key").select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
