@@ -7,15 +7,17 @@ all patterns are put in order of priority, length and start and taken greedily u
 before.  Offsets count code points.
 
 Texts with characters that compatibility normalisation changes, zero-width characters or the marks
-themselves go through an Arrow function instead: it detects on a normalised copy and maps offsets back.
-The plan sends it null for all other rows.
+themselves, and texts over ``LONG`` characters, whose matches the expression's folds would copy too often, go
+through an Arrow function instead: it detects on a normalised copy and maps offsets back.  The plan sends it
+null for all other rows.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Sequence
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,8 +32,21 @@ SPAN = "start int, end int, type string, value string"
 _SPANS = "array<struct<start:int,end:int,type:string,value:string>>"
 _CANDIDATES = "array<struct<rank:int,size:int,start:int,ord:int,end:int,type:string,value:string>>"
 ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
-#: Characters that normalisation leaves alone: ASCII and the letters and signs of Latin-1 and Latin Extended-A that have no compatibility form.
-PLAIN = r"^[\x00-\x7f\u00a1-\u00a7\u00a9\u00ab\u00ac\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e]*$"
+LONG = 1 << 17
+
+
+def _changed() -> str:
+    """A character class of what detection does not see as it stands: changed by normalisation, zero-width, or a mark."""
+    odd = [i for i in range(0x80, 0x30000) if not 0xD800 <= i < 0xE000 and unicodedata.normalize("NFKC", chr(i)) != chr(i)]
+    odd = sorted({*odd, *map(ord, ZERO_WIDTH + OPEN + CLOSE)})
+    firsts = [x for x, before in zip(odd, [None, *odd]) if before is None or x != before + 1]
+    lasts = [x for x, after in zip(odd, [*odd[1:], None]) if after is None or x != after - 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(firsts, lasts))
+
+
+#: Ordinary text of any script has none; ASCII is passed over before the class is looked at.
+CHANGED = f"(?=[^\x00-\x7f])[{_changed()}]"
+_CHANGED = re.compile(CHANGED)
 
 #: Detectors added by name: text -> list of (start, end, type, value).
 DETECTORS: dict[str, Callable[[str], list[tuple[int, int, str, str]]]] = {}
@@ -89,6 +104,8 @@ def resolve(found: Column) -> Column:
 
 def normalised(text: str) -> tuple[str, list[int]]:
     """Zero-width characters dropped, each code point normalised by itself; where each character came from."""
+    if not _CHANGED.search(text):
+        return text, list(range(len(text) + 1))
     out, origin = [], []
     for i, c in enumerate(text):
         if c not in ZERO_WIDTH:
@@ -98,50 +115,109 @@ def normalised(text: str) -> tuple[str, list[int]]:
     return "".join(out), [*origin, len(text)]
 
 
-def py_detect(text: str, catalog: Catalog, sets: Sequence[str], detectors: Sequence[Callable] = ()) -> list[tuple[int, int, str, str]]:
+def _matches(pattern: Pattern, text: str, strict: bool) -> Iterator[re.Match]:
+    """Valid matches; a rejected one is consumed or, if ``strict``, tried with earlier ends and then behind its first character."""
+    regex, at = re.compile(pattern.marked()), 0
+    valid = lambda m: bool(m[2]) and (pattern.check is None or CHECKS[pattern.check][1](m[2]))
+    while m := regex.search(text, at):
+        good = valid(m)
+        if strict and not good:
+            for end in range(m.end() - 1, m.start(), -1):
+                if not re.match("[A-Za-z0-9_]", text[end]) and (shorter := regex.match(text, m.start(), end)) and shorter.end() == end and valid(shorter):
+                    m, good = shorter, True
+                    break
+        if good:
+            yield m
+        at = m.start() + 1 if (strict and not good) or m.end() == m.start() else m.end()
+
+
+def py_detect(text: str, catalog: Catalog, sets: Sequence[str], detectors: Sequence[Callable] = (), strict: bool = False) -> list[tuple[int, int, str, str]]:
     """The same detection in Python, with normalisation; the twin that tests hold the expression against."""
     plain, origin = normalised(text)
     found = []
     for ordinal, p in catalog.active(tuple(sets)):
-        for m in re.finditer(p.marked(), plain):
-            if m[2] and (p.check is None or CHECKS[p.check][1](m[2])):
-                found.append((-catalog.priority(p.type), m.start(2) - m.end(2), m.start(2), ordinal, m.end(2), p.type))
+        if p.needs and not any(x in plain for x in p.needs):
+            continue
+        for m in _matches(p, plain, strict):
+            found.append((-catalog.priority(p.type), m.start(2) - m.end(2), m.start(2), ordinal, m.end(2), p.type))
     for more in detectors:
         found += [(-catalog.priority(t), a - b, a, len(catalog.patterns), b, t) for a, b, t, _ in more(plain) if a < b]
-    taken: list[tuple] = []
+    taken: list[tuple[int, int, str]] = []  # by start and free of overlaps, so only the neighbours can clash
     for c in sorted(found):
-        if all(c[4] <= t[2] or t[4] <= c[2] for t in taken):
-            taken.append(c)
-    spans = sorted((origin[c[2]], origin[c[4]], c[5]) for c in taken)
+        at = bisect_left(taken, (c[2], c[4]))
+        if (at == 0 or taken[at - 1][1] <= c[2]) and (at == len(taken) or c[4] <= taken[at][0]):
+            insort(taken, (c[2], c[4], c[5]))
+    spans = [(origin[a], origin[b], t) for a, b, t in taken]
     return [(a, b, t, text[a:b]) for a, b, t in spans]
 
 
+def _native(t: Column, sets: tuple[str, ...], catalog: Catalog, active: Column | None) -> Column:
+    """Spans of a text that needs no normalisation."""
+
+    def scans(digit: Column) -> list[Column]:
+        gate = lambda p: None if active is None else F.arrays_overlap(F.array(*map(F.lit, p.sets)), active)
+        return [candidates(t, digit, p, i, catalog.priority(p.type), gate(p)) for i, p in catalog.active(sets)]
+
+    found = bind(t.rlike("[0-9]"), lambda digit: F.flatten(F.array(*scans(digit))))
+    return bind(found, resolve) if catalog.active(sets) else F.array().cast(_SPANS)
+
+
+def _plain(t: Column) -> Column:
+    return (F.length(t) <= LONG) & ~(t.rlike("[^\\x00-\\x7f]") & t.rlike(CHANGED))
+
+
+def _allowed(sets: tuple[str, ...], given: Sequence[str] | None) -> list[str]:
+    return list(sets) if given is None else [x for x in sets if x in set(given)]
+
+
 def spans(
-    text: Column, sets: Sequence[str] = SETS, catalog: Catalog | None = None, detectors: Sequence[str] = (), active: Column | None = None
+    text: Column, sets: Sequence[str] = SETS, catalog: Catalog | None = None, detectors: Sequence[str] = (), active: Column | None = None, strict: bool = False
 ) -> Column:
     """Entities of a text: array of start, end, type and value. ``active`` narrows ``sets`` row by row, before overlaps are
-    resolved. ``detectors`` names registered ones, which send every row to Python."""
+    resolved. ``detectors`` names registered ones; they, and ``strict`` (a match that its validator rejects
+    hides no shorter or later one), send every row to Python."""
     catalog, sets = catalog or Catalog(), tuple(sets)
     t = F.coalesce(text, F.lit(""))
     plugged = [DETECTORS[name] for name in detectors]  # the workers do not have this process's registry
 
     def twin(texts: pd.Series, given: pd.Series) -> pd.Series:
-        allowed = [sets if g is None else [x for x in sets if x in set(g)] for g in given]
-        return pd.Series([None if x is None else py_detect(x, catalog, a, plugged) for x, a in zip(texts, allowed, strict=True)])
+        rows = zip(texts, given, strict=True)
+        return pd.Series([None if x is None else py_detect(x, catalog, _allowed(sets, g), plugged, strict) for x, g in rows])
 
     arrow = F.pandas_udf(twin, _SPANS)
     given = F.lit(None).cast("array<string>") if active is None else active
-    if detectors:
+    if detectors or strict:
         return arrow(t, given)
-    plain = t.rlike(PLAIN)
+    plain = _plain(t)
+    return F.coalesce(arrow(F.when(~plain, t), given), F.when(plain, _native(t, sets, catalog, active)))
 
-    def scans(digit: Column) -> list[Column]:
-        gate = lambda p: None if active is None else F.arrays_overlap(F.array(*map(F.lit, p.sets)), active)
-        return [candidates(t, digit, p, i, catalog.priority(p.type), gate(p)) for i, p in catalog.active(sets)]
 
-    found = bind(t.rlike("[0-9]"), lambda digit: F.flatten(F.array(*scans(digit))))
-    native = bind(found, resolve) if catalog.active(sets) else F.array().cast(_SPANS)
-    return F.coalesce(arrow(F.when(~plain, t), given), F.when(plain, native))
+def field_spans(texts: Column, sets: Sequence[str] = SETS, catalog: Catalog | None = None, detectors: Sequence[str] = (), active: Column | None = None) -> Column:
+    """Entities of several texts of a row (array of string): struct of ``error`` and ``spans``, an array for each text.
+    A detector that raises gives the error's name and no spans."""
+    catalog, sets = catalog or Catalog(), tuple(sets)
+    plugged = [DETECTORS[name] for name in detectors]
+
+    def twin(lists: pd.Series, given: pd.Series) -> pd.DataFrame:
+        rows = []
+        for each, g in zip(lists, given, strict=True):
+            try:
+                names = ("start", "end", "type", "value")
+                found = None if each is None else [[dict(zip(names, s)) for s in py_detect(x or "", catalog, _allowed(sets, g), plugged)] for x in each]
+                rows.append((None, found))
+            except Exception as e:  # whatever a detector raises must not let a text through
+                rows.append((type(e).__name__, []))
+        return pd.DataFrame(rows, columns=["error", "spans"])
+
+    twin.__annotations__ = {"lists": pd.Series, "given": pd.Series, "return": pd.DataFrame}
+    arrow = F.pandas_udf(twin, f"struct<error:string,spans:array<{_SPANS}>>")
+    given = F.lit(None).cast("array<string>") if active is None else active
+    if detectors:
+        return arrow(texts, given)
+    plain = F.forall(texts, lambda t: _plain(F.coalesce(t, F.lit(""))))
+    native = F.transform(texts, lambda t: _native(F.coalesce(t, F.lit("")), sets, catalog, active))
+    sent = arrow(F.when(~plain, texts), given)
+    return F.struct(sent["error"].alias("error"), F.coalesce(F.when(plain, native), sent["spans"]).alias("spans"))
 
 
 def detect(df: DataFrame, text: str = "text", sets: Sequence[str] = SETS, **options) -> DataFrame:

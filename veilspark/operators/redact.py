@@ -18,14 +18,23 @@ PLACEHOLDER = "<[A-Z][A-Z0-9_]*>"
 FORMING = "^<[A-Z0-9_]*$"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def replaced(text: Column, spans: Column, token: Callable[[Column], Column]) -> Column:
-    """The text with every span replaced by its token: gaps and tokens from left to right."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda acc, s: F.struct(
-        F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), token(s)).alias("out"), s["end"].alias("at")
-    )
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    """The text with every span replaced by its token: each token behind the gap before it, then what is left."""
+    before = lambda i: F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)
+    pieces = F.transform(spans, lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), token(s)))
+    last = F.get(spans, F.size(spans) - 1)["end"]
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), F.substring(text, last + 1, F.length(text)))).otherwise(text)
+
+
+def replaced_by(text: Column, spans: Column, tokens: Column) -> Column:
+    """The text with every span replaced by what the map (value to token) says. Maps and spans are bound before the fold:
+    Spark would work out a column that a lambda names anew for each element."""
+    return bound(F.struct(spans.alias("s"), tokens.alias("t")), lambda b: replaced(text, b["s"], lambda s: F.element_at(b["t"], s["value"])))
 
 
 def strip_token(kind: Column) -> Column:
@@ -41,26 +50,47 @@ def nonce(request: Column, run_secret: str) -> Column:
     return F.upper(F.substring(hmac_sha256(run_secret, request.cast("string")), 1, 6))
 
 
-def first_types(spans: Column) -> Column:
-    """Distinct (type, value) of one field in the order in which tokens are minted, from right to left; a value met
-    twice keeps the type it was met with first."""
-    back = F.reverse(spans)
-    values = F.transform(back, lambda s: s["value"])
-    return F.filter(back, lambda s, i: F.array_position(values, s["value"]) == i + 1)
+def in_mint_order(fields: Column) -> Column:
+    """Spans of a request's fields (array of arrays) in the order in which tokens are minted: fields in order, and from
+    right to left within one."""
+    return F.flatten(F.transform(fields, F.reverse))
+
+
+def token_map(minted: Column, token: Callable[[Column, Column, Column], Column]) -> Column:
+    """Value to token, for spans in mint order. ``token`` takes type, value and number, counted for each type from 1;
+    a value met twice keeps the type it was met with first.
+
+    Keys are texts (type, NUL, value) because Spark tells texts apart by hash but structs one by one."""
+    mark = "\0"
+    keys = F.array_distinct(F.transform(minted, lambda s: F.concat(s["type"], F.lit(mark), s["value"])))
+    kind = lambda k: F.substring_index(k, mark, 1)
+    value = lambda k: F.substring(k, F.instr(k, mark) + 1, F.length(k))
+
+    def firsts(ks: Column) -> Column:
+        values = F.transform(ks, value)
+        several = F.size(F.array_distinct(values)) < F.size(ks)
+        return F.when(several, F.filter(ks, lambda k, i: F.array_position(values, value(k)) == i + 1)).otherwise(ks)
+
+    def entries(ks: Column) -> Column:
+        kinds = F.array_distinct(F.transform(ks, kind))
+        return F.flatten(F.transform(kinds, lambda t: F.transform(F.filter(ks, lambda k: kind(k) == t), lambda k, i: F.struct(value(k), token(t, value(k), i + 1)))))
+
+    return F.map_from_entries(bound(keys, lambda ks: bound(firsts(ks), entries)))
+
+
+def counter_token(kind: Column, number: Column, request_nonce: Column) -> Column:
+    return F.concat(F.lit("<"), kind, F.lit("_"), request_nonce, F.lit("_"), number.cast("string"), F.lit(">"))
 
 
 def vault(spans: Column, request_nonce: Column) -> Column:
-    """Value to token of a one-field request, counting each type from 1 in the order of minting."""
-    firsts = first_types(spans)
-    number = lambda s, i: F.size(F.filter(F.slice(firsts, F.lit(1), i + 1), lambda x: x["type"] == s["type"]))
-    token = lambda s, i: F.concat(F.lit("<"), s["type"], F.lit("_"), request_nonce, F.lit("_"), number(s, i).cast("string"), F.lit(">"))
-    return F.map_from_entries(F.transform(firsts, lambda s, i: F.struct(s["value"], token(s, i))))
+    """Value to token of a one-field request."""
+    return token_map(F.reverse(spans), lambda kind, _, n: counter_token(kind, n, request_nonce))
 
 
 def strip(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """Add ``redacted``: labels, which cannot be undone. A value keeps the label of the type it was minted with."""
-    names = F.map_from_entries(F.transform(first_types(F.col(spans)), lambda s: F.struct(s["value"], strip_token(s["type"]))))
-    return df.withColumn("__names", names).withColumn("redacted", replaced(F.col(text), F.col(spans), lambda s: F.element_at("__names", s["value"]))).drop("__names")
+    names = token_map(F.reverse(F.col(spans)), lambda kind, *_: strip_token(kind))
+    return df.withColumn("redacted", replaced_by(F.col(text), F.col(spans), names))
 
 
 def pseudonymise(df: DataFrame, secret: str, text: str = "text", spans: str = "spans") -> DataFrame:
@@ -73,7 +103,7 @@ def pseudonymise(df: DataFrame, secret: str, text: str = "text", spans: str = "s
 def tokenise(df: DataFrame, request: str, run_secret: str, text: str = "text", spans: str = "spans") -> DataFrame:
     """Add ``redacted`` and ``vault`` (value to token); one row is one request."""
     df = df.withColumn("vault", vault(F.col(spans), nonce(F.col(request), run_secret)))
-    return df.withColumn("redacted", replaced(F.col(text), F.col(spans), lambda s: F.element_at("vault", s["value"])))
+    return df.withColumn("redacted", replaced_by(F.col(text), F.col(spans), F.col("vault")))
 
 
 def minted(df: DataFrame, request: str, field_order: str, spans: str = "spans") -> DataFrame:
@@ -116,6 +146,12 @@ def summary_header(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_distinct(types), lambda t: F.concat(t, F.lit(":"), F.size(F.filter(types, lambda x: x == t)).cast("string"))), ",")
 
 
+def response_headers(spans: Column, mode: Column) -> Column:
+    """What a reply says about its request: number of entities, types if there are any, and mode."""
+    every = F.create_map(F.lit("X-Redacted"), F.size(spans).cast("string"), F.lit("X-Redacted-Types"), summary_header(spans), F.lit("X-Redact-Mode"), mode)
+    return F.map_filter(every, lambda _, v: v != "")
+
+
 def pseudonym_collisions(df: DataFrame, secret: str, spans: str = "spans") -> DataFrame:
     """Tokens that more than one value maps to: type, token, values."""
     each = df.select(F.explode(spans).alias("s")).select("s.type", "s.value").distinct()
