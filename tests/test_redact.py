@@ -91,6 +91,82 @@ def test_bodies_end_to_end(spark):
     assert out == {"content": "to a@b.co", "tool_calls": token}
 
 
+def test_rows_with_null_and_repeated_ids_failing_detectors_and_deep_bodies(spark):
+    deep = json.dumps({"messages": [{"role": "u", "tool_calls": [{"function": {"arguments": "[" * 20 + '"a@b.co"' + "]" * 20}}]}]})
+    text = lambda t: json.dumps({"messages": [{"content": t}]})
+    raw = [(None, text("a@b.co")), (None, text("c@d.co")), ("x", text("a@b.co x@y.zz a@b.co")), ("x", text("10.0.0.1")), ("fail", text("force-detector-failure")), ("deep", deep), ("none", None), ("list", "[]")]
+    df = spark.createDataFrame([(i, 1, "/v1/messages", {}, b, "m") for i, b in raw], "request_id string, ts bigint, path string, headers map<string,string>, body string, model string")
+    shaped = requests.shape(df, spark.createDataFrame([], io.POLICY))
+    detect.register_detector("failing", detect.failing)
+    got = redaction.redact_rows(shaped, SECRET, detectors=("failing",), strict=True).collect()
+    out = {r.body: (r.outcome, r.error, r.total) for r in got}
+    assert [out[b][0] for _, b in raw] == ["redacted"] * 4 + ["fail-closed"] * 4
+    assert [out[b][1] for _, b in raw[4:]] == ["RuntimeError", "TooDeep", "no body", "TypeError"] and out[raw[2][1]][2] == 3
+    assert all("@" not in r.body_out and "10.0.0.1" not in r.body_out for r in got if r.outcome == "redacted")
+    assert next(r for r in got if r.body == raw[2][1]).headers_out == {"X-Redacted": "3", "X-Redacted-Types": "EMAIL:3", "X-Redact-Mode": "reversible"}
+    weak = redaction.redact_rows(shaped.withColumn("consistent_pseudonyms", F.lit(True)), SECRET).filter("request_id = 'x'").collect()
+    assert {(r.outcome, r.error) for r in weak} == {("fail-closed", "weak secret")}
+    strong = redaction.redact_rows(shaped.withColumn("consistent_pseudonyms", F.lit(True)), SECRET, secret=SECRET).filter("request_id = 'x'").collect()
+    assert {r.outcome for r in strong} == {"redacted"}
+    plan = redaction.redact_rows(shaped.drop("rejected").withColumn("rejected", F.lit(None).cast("string")), SECRET)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == shaped._jdf.queryExecution().executedPlan().toString().count("Exchange")  # those of the policies only
+    assert requests.Settings.from_env({"DEFAULT_MODE": "strip", "ACTIVE_SETS": "pii, zzz", "REDACT_SYSTEM": "false", "FAIL_MODE": "what"}) == requests.Settings(default_mode="strip", active_sets=("pii",), redact_system=False)
+    assert spark.range(1).select(digests.now_ms() > 1_600_000_000_000).first()[0]
+
+
+def test_registered_dialect_and_stream():
+    bodies.register_dialect("plain", lambda body, system, strict: [(body, "prompt", False)], lambda body: [(body, "answer", False)])
+    fields, _ = bodies.request_fields({"prompt": "a@b.co"}, bodies.REQUESTS["plain"], True, False)
+    assert [h[k] for h, k, _ in fields] == ["a@b.co"]
+    replies.register_stream("plain", lambda j: replies.Event(text=j.get("t"), stops=bool(j.get("end")), ends=bool(j.get("end"))), lambda text, _: f'data: {json.dumps({"t": text})}\n\n')
+    reply = replies.Reply("plain", {"<A_1>": "Ann"})
+    assert reply.frame('data: {"t": "hi <A"}') == ['data: {"t": "hi "}\n\n'] and reply.frame('data: {"end": 1}') == ['data: {"t": "Ann"}\n\n', 'data: {"end": 1}'] and reply.stopped
+
+
+def test_stream_lets_go_of_ended_replies_and_passes_on_what_waits(spark, tmp_path):
+    """``b`` never gets its second frame: after the timeout its third goes on, and the tail it held."""
+    piece = lambda x: f'data: {json.dumps({"choices": [{"index": 0, "delta": {"content": x}}]})}\n\n'
+    tokens = json.dumps({"<A_1>": "Ann"})
+    rows = [("a", "openai", 0, piece("<A_1> ok"), tokens), ("a", "openai", 1, "data: [DONE]\n\n", tokens), ("b", "openai", 0, piece("to "), tokens), ("b", "openai", 2, piece("<A_1"), tokens)]
+    frames = spark.createDataFrame(rows, "request_id string, provider string, seq bigint, frame string, tokens string")
+    frames.coalesce(1).write.json(f"file://{tmp_path}/in")
+    out = replies.restore_stream(spark.readStream.schema(frames.schema).json(f"file://{tmp_path}/in"), timeout=1000)
+    query = out.writeStream.format("memory").queryName("restored_waiting").outputMode("append").trigger(processingTime="1 second").option("checkpointLocation", f"file://{tmp_path}/state").start()
+    try:
+        for _ in range(30):
+            got = spark.table("restored_waiting").collect()
+            if len(got) >= 4:
+                break
+            query.awaitTermination(1)
+        kept = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    finally:
+        query.stop()
+    text = lambda r: "".join(replies.parse_delta("openai", x.frame.split("data:")[-1].strip())[0] for x in sorted((x for x in got if x.request_id == r), key=lambda x: (x.seq, x.part)))
+    assert text("a") == "Ann ok" and text("b") == "to Ann" and kept == 0
+
+
+def test_audit_command_and_policies_that_stay(spark, tmp_path, capsys):
+    at = lambda n: f"file://{tmp_path}/{n}"
+    chained = audit.chain(records(spark), "tenant")
+    io.append_audit(chained, at("good"))
+    io.append_audit(chained.withColumn("total", F.col("total") + 1), at("bad"))
+    assert audit.main([at("good")]) == 0 and audit.main([at("bad"), "tenant"]) == 1
+    assert "hash mismatch" in capsys.readouterr().out
+    current = spark.createDataFrame([("t", "strip", ["pii"], None, True, None, None)], io.POLICY)
+    (tmp_path / "policy").mkdir()
+    (tmp_path / "policy/x.json").write_text('{"tenant":"u","mode":"off"}\n{nonsense\n')
+    assert [r.tenant for r in io.read_policies(spark, at("policy"), current).collect()] == ["t"]
+    assert [r.tenant for r in io.read_policies(spark, at("absent"), current).collect()] == ["t"]
+
+
+def test_every_type_of_the_catalog_occurs_in_the_example_texts(spark, small):
+    from veilspark.functions.patterns import PATTERNS, SECRETS
+    from veilspark.plans import catalog
+
+    found = {r.type for r in catalog.entity_types(spark, f"{small}/../sf0.01").select("type").distinct().collect()}
+    assert found == {p.type for p in PATTERNS + SECRETS}
+
+
 def test_restorer_does_not_depend_on_chunks():
     tokens = {"<EMAIL_7F3A2B_1>": "a@b.co", "<SSN_7F3A2B_1>": "1"}
     text = "x <EMAIL_7F3A2B_1> a < b <EMAIL_9> <<EMAIL_7F3A2B_1> <SSN_7F3A2B_1>"

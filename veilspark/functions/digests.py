@@ -47,6 +47,11 @@ def canonical_json(fields: dict[str, Column], maps: Sequence[str] = ()) -> Colum
     return F.to_json(F.struct(*ordered), {"ignoreNullFields": "false"})
 
 
+def now_ms() -> Column:
+    """Milliseconds since 1970; one value for a whole query, so a task that is run again gives the same."""
+    return F.unix_millis(F.current_timestamp())
+
+
 def bare_path(path: Column) -> Column:
     return F.split_part(path, F.lit("?"), F.lit(1))
 

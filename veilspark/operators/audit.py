@@ -1,16 +1,20 @@
 """Audit records of counts, chained by hashes, and their verification.
 
 A chain is a sequential fold, so there is one chain per key (tenant and day, say) and chains are built in
-parallel; ``applyInPandas`` receives one chain's rows, which hold counts only.  Verification needs no fold:
-every record is checked against the one before it by a window per chain.
+parallel: partitions are sorted by key and number, and one pass over each carries the last hash along, so no
+chain has to fit in memory.  Verification needs no fold: every record is checked against the one before it.
+
+    python -m veilspark.operators.audit PATH [KEY]     verifies audit lines; ends with 1 if a chain is broken
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import sys
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +22,7 @@ from pyspark.sql.window import Window
 from veilspark.functions.digests import canonical_json
 
 GENESIS = "0"
+_HOLE = "~"
 FIELDS = ("ts", "tenant", "provider", "model", "mode", "entity_counts", "sets", "total")
 # The names of the fields in the hashed JSON.
 JSON_NAMES = {"entity_counts": "entityCounts", "prev_hash": "prevHash"}
@@ -30,23 +35,26 @@ def link_hash(prev: Column) -> Column:
 
 
 def chain(records: DataFrame, key: str, seq: str = "seq", heads: DataFrame | None = None) -> DataFrame:
-    """Add ``prev_hash`` and ``hash``; ``heads`` (key, head) continues chains that exist."""
-    rows = records.withColumn("__json", canonical_json({JSON_NAMES.get(c, c): F.col(c) for c in FIELDS}, maps=("entityCounts",)))
+    """Add ``prev_hash`` and ``hash``; ``heads`` (key, head) continues chains that exist. A null key is a chain of its own."""
+    rows = records.withColumn("__json", canonical_json({JSON_NAMES.get(c, c): F.col(c) for c in FIELDS} | {"prevHash": F.lit(_HOLE)}, maps=("entityCounts",)))
     rows = rows.join(heads, key, "left") if heads is not None else rows.withColumn("head", F.lit(None).cast("string"))
-    narrow = rows.select(key, seq, "__json", "head")
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(seq)
-        prev, prevs, hashes = part["head"].iloc[0] or GENESIS, [], []
-        for text in part["__json"]:
-            whole = json.dumps(dict(sorted((json.loads(text) | {"prevHash": prev}).items())), separators=(",", ":"), ensure_ascii=False)
-            prevs.append(prev)
-            prev = hashlib.sha256((prev + whole).encode()).hexdigest()
-            hashes.append(prev)
-        return part[[key, seq]].assign(prev_hash=prevs, hash=hashes)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, prev = object(), GENESIS
+        for batch in batches:
+            prevs, hashes = [], []
+            for k, text, head in zip(*(batch.column(n).to_pylist() for n in (key, "__json", "head")), strict=True):
+                if k != now:
+                    now, prev = k, head or GENESIS
+                prevs.append(prev)
+                # The field stands once, under its name; a value that looks like it has its quotes escaped.
+                prev = hashlib.sha256((prev + text.replace(f'"prevHash":"{_HOLE}"', f'"prevHash":"{prev}"', 1)).encode()).hexdigest()
+                hashes.append(prev)
+            kept = [n for n in batch.schema.names if n not in ("__json", "head")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], names=[*kept, "prev_hash", "hash"])
 
-    schema = f"{key} {dict(narrow.dtypes)[key]}, {seq} {dict(narrow.dtypes)[seq]}, prev_hash string, hash string"
-    return records.join(narrow.groupBy(key).applyInPandas(fold, schema), [key, seq])
+    ordered = rows.repartition(key).sortWithinPartitions(key, seq)
+    return ordered.mapInArrow(fold, records.schema.add("prev_hash", "string").add("hash", "string"))
 
 
 def heads(chained: DataFrame, key: str, seq: str = "seq") -> DataFrame:
@@ -68,3 +76,23 @@ def verify(chained: DataFrame, key: str, seq: str = "seq") -> DataFrame:
         F.count("*").alias("records"), (F.count_if(broken) == 0).alias("ok"), F.min(F.when(broken, F.col("__i"))).alias("broken_at"),
         F.min_by(F.col("__why"), F.when(broken, F.col("__i"))).alias("reason"),
     )
+
+
+def main(arguments: Sequence[str]) -> int:
+    """Verify the audit lines of a path, by tenant or by another column."""
+    from pyspark.sql import SparkSession
+
+    from veilspark.sources import io
+
+    spark = SparkSession.builder.appName("audit").getOrCreate()
+    broken = verify(io.read_audit(spark, arguments[0]), arguments[1] if len(arguments) > 1 else "tenant").filter("not ok")
+    worst = broken.orderBy("broken_at").limit(20).collect()  # a report of the first few
+    for r in worst:
+        print(f"{r[0]}: {r['reason']} at {r['broken_at']} of {r['records']}")
+    if not worst:
+        print("ok")
+    return int(bool(worst))
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv[1:]))

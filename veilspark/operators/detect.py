@@ -52,6 +52,13 @@ _CHANGED = re.compile(CHANGED)
 DETECTORS: dict[str, Callable[[str], list[tuple[int, int, str, str]]]] = {}
 
 
+def failing(text: str) -> list[tuple[int, int, str, str]]:
+    """For tests of the error policy: a detector that fails on texts that ask for it."""
+    if "force-detector-failure" in text:
+        raise RuntimeError("forced")
+    return []
+
+
 def register_detector(name: str, detect: Callable[[str], list[tuple[int, int, str, str]]]) -> None:
     DETECTORS[name] = detect
 

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import checks, digests
 from veilspark.operators import audit, detect, metrics, redact, requests
 from veilspark.plans import redaction, sql
 from veilspark.sources import io
-from veilspark.sources.shared import cut
 from veilspark.streaming import replies
 
 SECRET = "a secret of the examples only"
@@ -92,58 +91,103 @@ def restore_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", back.eqNullSafe(F.col("text")).alias("same"), F.size("spans").cast("long").alias("n_spans"))
 
 
+OPENAI = (
+    '{"model":"m","tools":[{"function":{"description":$phone$,"parameters":{"x":[$address$]}}}],"messages":[{"role":"system","content":$system$},'
+    '{"role":"user","name":$mail$,"content":[{"type":"text","text":$content$},{"type":"image_url","text":"i@i.example.org"}]},'
+    '{"role":"assistant","tool_calls":[{"function":{"arguments":$arguments$}}]}]}'
+)
+ANTHROPIC = (
+    '{"model":"m","system":[{"type":"text","text":$system$}],"tools":[{"description":$phone$,"input_schema":{"x":[$address$]}}],"messages":[{"role":"user","content":['
+    '{"type":"tool_result","content":[{"type":"text","text":$content$}]},{"type":"tool_use","input":{"card":$card$,"id":$plain$,"to":$mail$}}]}]}'
+)
+
+
+def _filled(template: str, values: dict[str, Column]) -> Column:
+    """A template with every ``$name$`` replaced by a column."""
+    return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(template.split("$"))])
+
+
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a request in one of the two dialects."""
+    """Each document as a request: nested bodies in two dialects, every third one to be stripped, every tenth without system text."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    message = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
-    body = F.to_json(F.struct(F.lit("m").alias("model"), message.alias("messages")))
-    path = F.when(F.col("doc_id") % 2 == 0, F.lit("/v1/chat/completions")).otherwise(F.lit("/v1/messages"))
-    return d.select(
-        F.col("doc_id").cast("string").alias("request_id"), F.lit(0).cast("long").alias("ts"), path.alias("path"),
-        F.create_map(F.lit("X-Tenant"), F.concat(F.lit("t"), (F.col("doc_id") % 10).cast("string"))).alias("headers"), body.alias("body"), F.lit("m").alias("model"),
-    )
+    d = d.select("doc_id", *[F.expr(x).alias(n) for n, x in sql.FIELDS.items()])
+    quoted = {n: F.regexp_extract(F.to_json(F.array(n)), r"(?s)^\[(.*)\]$", 1) for n in sql.FIELDS} | {n: F.col(n) for n in ("card", "plain")}
+    arguments = _filled('{"card":$card$,"id":$plain$,"to":$mail$}', quoted)
+    quoted["arguments"] = F.regexp_extract(F.to_json(F.array(arguments)), r"(?s)^\[(.*)\]$", 1)
+    openai, anthropic = _filled(OPENAI, quoted), _filled(ANTHROPIC, quoted)
+    even = F.col("doc_id") % 2 == 0
+    path = F.when(even, F.lit("/v1/chat/completions")).otherwise(F.lit("/v1/messages"))
+    headers = F.create_map(F.lit("X-Tenant"), F.concat(F.lit("t"), (F.col("doc_id") % 10).cast("string")), F.lit("X-Redact-Mode"), F.when(F.col("doc_id") % 3 == 0, F.lit("strip")).otherwise(F.lit("")))
+    return d.select(F.col("doc_id").cast("string").alias("request_id"), F.lit(0).cast("long").alias("ts"), path.alias("path"), headers.alias("headers"), F.when(even, openai).otherwise(anthropic).alias("body"), F.lit("m").alias("model"))
 
 
-def _no_policies(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], io.POLICY)
+def _redacted_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tenants = table(spark, sf_dir, "documents").select((F.col("doc_id") % 10).alias("n")).distinct()
+    values = {"tenant": F.concat(F.lit("t"), F.col("n").cast("string")), "redact_system": F.col("n") != 9}
+    kinds = {f.split()[0]: f.split()[1] for f in io.POLICY.split(", ")}
+    policies = tenants.select(*[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])
+    return redaction.redact_rows(requests.shape(_bodies(spark, sf_dir), policies), RUN)
 
 
-def _redacted_bodies(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """What is read several times is written to the shared folder; it holds values and goes with the application's folder."""
-    shaped = requests.shape(_bodies(spark, sf_dir), _no_policies(spark))
-    return redaction.redact_bodies(shaped, RUN, checkpoint=lambda df: cut(df, "fields"))
+def _content(body: str) -> Column:
+    even = F.get_json_object(body, "$.messages[1].content[0].text")
+    return F.coalesce(even, F.get_json_object(body, "$.messages[0].content[0].content[0].text"))
 
 
 def body_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _redacted_bodies(spark, sf_dir)["data"]
-    content = F.get_json_object("body_out", "$.messages[0].content")
-    return out.select("request_id", "outcome", "total", content.alias("content"))
+    """Every field of the redacted bodies, one row each."""
+    out = _redacted_bodies(spark, sf_dir)
+    get = lambda path: F.get_json_object("body_out", path)
+    arguments = get("$.messages[2].tool_calls[0].function.arguments")
+    fields = {
+        "phone": F.coalesce(get("$.tools[0].function.description"), get("$.tools[0].description")), "address": F.coalesce(get("$.tools[0].function.parameters.x[0]"), get("$.tools[0].input_schema.x[0]")),
+        "system": F.when(F.col("provider") == "openai", get("$.messages[0].content")).otherwise(get("$.system[0].text")), "content": _content("body_out"), "name": get("$.messages[1].name"),
+        "card": F.coalesce(F.get_json_object(arguments, "$.card"), get("$.messages[0].content[1].input.card")), "plain": F.coalesce(F.get_json_object(arguments, "$.id"), get("$.messages[0].content[1].input.id")),
+        "mail": F.coalesce(F.get_json_object(arguments, "$.to"), get("$.messages[0].content[1].input.to")), "picture": get("$.messages[1].content[1].text"),
+    }
+    each = F.array(*[F.struct(F.lit(n).alias("field"), v.alias("text")) for n, v in fields.items()])
+    out = out.select("request_id", "outcome", F.col("total").cast("long").alias("total"), F.col("headers_out")["X-Redact-Mode"].alias("mode"), F.explode(each).alias("f"))
+    return out.select("request_id", "outcome", "total", "mode", "f.field", "f.text").filter("text is not null")
 
 
 def body_restoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Redacted bodies turned into replies that repeat them, and restored."""
-    made = _redacted_bodies(spark, sf_dir)
-    content = F.get_json_object("body_out", "$.messages[0].content")
-    openai = F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")))
-    anthropic = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), content.alias("text"))).alias("content")))
-    given = made["data"].select("request_id", "provider", F.when(F.col("provider") == "openai", openai).otherwise(anthropic).alias("body"))
-    out = redaction.restore_bodies(given, made["vault"])
+    """Redacted bodies turned into replies that repeat their document, and restored; stripped ones stay as they are."""
+    made = _redacted_bodies(spark, sf_dir).withColumn("content", _content("body_out"))
+    openai = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("content")).alias("message"))).alias("choices")))
+    anthropic = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"))).alias("content")))
+    given = made.select("request_id", "provider", F.when(F.col("provider") == "openai", openai).otherwise(anthropic).alias("body"), "tokens", "content")
+    out = redaction.restore_rows(given)
     text = F.coalesce(F.get_json_object("body_out", "$.choices[0].message.content"), F.get_json_object("body_out", "$.content[0].text"))
-    return out.select("request_id", F.sha2(text, 256).alias("text_sha256"))
+    return out.select("request_id", F.sha2("content", 256).alias("redacted_sha256"), F.sha2(text, 256).alias("text_sha256"))
 
 
 def streamed_restoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Redacted documents as replies in pieces of 97 characters, restored frame by frame and put together."""
+    """Redacted documents as replies in pieces of 97 characters in two dialects, restored frame by frame and put together.
+    One dialect has a block of thinking, which goes through as it is, before the text, and ends its block."""
     d = redact.tokenise(documents(spark, sf_dir), "doc_id", RUN).withColumn("request_id", F.col("doc_id").cast("string"))
+    d = d.withColumn("redacted", F.coalesce("redacted", F.lit("")))
     n = F.ceil(F.length("redacted") / 97).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(F.col("redacted"), i * 97 + 1, F.lit(97)))
-    pieces = d.select("request_id", F.posexplode(cut).alias("seq", "piece"))
-    frame = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("piece").alias("content")).alias("delta"))).alias("choices"))), F.lit("\n\n"))
-    frames = pieces.select("request_id", F.lit("openai").alias("provider"), F.col("seq").cast("long").alias("seq"), frame.alias("frame"))
-    out = replies.restore_frames(frames, d.select("request_id", redact.flipped(F.col("vault")).alias("tokens")))
-    text = F.get_json_object(F.regexp_replace("frame", "^data: ", ""), "$.choices[0].delta.content")
-    parts = out.select("request_id", F.struct("seq", "part", text.alias("text")).alias("p")).groupBy("request_id").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    return parts.select("request_id", F.sha2(F.array_join(F.transform("ps", lambda p: F.coalesce(p["text"], F.lit(""))), ""), 256).alias("text_sha256"))
+    pieces = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(F.col("redacted"), i * 97 + 1, F.lit(97)))
+    framed = lambda j: F.concat(F.lit("data: "), F.to_json(j), F.lit("\n\n"))
+    openai = F.transform(pieces, lambda x: framed(F.struct(F.array(F.struct(F.struct(x.alias("content")).alias("delta"))).alias("choices"))))
+    block = lambda i, kind, text: framed(F.struct(F.lit("content_block_delta").alias("type"), F.lit(i).alias("index"), F.struct(F.lit(f"{kind}_delta").alias("type"), text.alias(kind)).alias("delta")))
+    stop = framed(F.struct(F.lit("content_block_stop").alias("type"), F.lit(1).alias("index")))
+    anthropic = F.concat(F.array(F.lit("event: ping\n\n"), block(0, "thinking", F.substring("redacted", 1, 200))), F.transform(pieces, lambda x: block(1, "text", x)), F.array(stop))
+    even = F.col("doc_id") % 2 == 0
+    frames = d.select("request_id", F.when(even, F.lit("openai")).otherwise(F.lit("anthropic")).alias("provider"), F.posexplode(F.when(even, F.concat(openai, F.array(F.lit("data: [DONE]\n\n")))).otherwise(anthropic)).alias("seq", "frame"))
+    out = replies.restore_frames(frames.withColumn("seq", F.col("seq").cast("long")), d.select("request_id", redact.flipped(F.col("vault")).alias("tokens")))
+    data = io.frame_data("frame")
+    text = F.coalesce(F.get_json_object(data, "$.choices[0].delta.content"), F.get_json_object(data, "$.delta.text"), F.lit(""))
+    parts = out.select("request_id", F.struct("seq", "part", text.alias("text"), F.coalesce(F.get_json_object(data, "$.delta.thinking"), F.lit("")).alias("thought")).alias("p"))
+    parts = parts.groupBy("request_id").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    joined = lambda name: F.sha2(F.array_join(F.transform("ps", lambda p: p[name]), ""), 256)
+    return parts.select("request_id", joined("text").alias("text_sha256"), joined("thought").alias("thought_sha256"))
+
+
+def entity_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts made from the orders in which every type of the catalog occurs, some with zero-width and full-width characters."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(sql.order_text("sha2({v}, 256)")).alias("text"))
+    return _exploded(detect.detect(o), "o_orderkey")
 
 
 def check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,6 +275,11 @@ def audit_first_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.chain(_audit_records(spark, sf_dir), "tenant").filter("prev_hash = '0'").select("tenant", "seq", "hash")
 
 
+def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records of every tenant's chain."""
+    return audit.chain(_audit_records(spark, sf_dir), "tenant").select("tenant", "seq", "prev_hash", "hash")
+
+
 def audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains per tenant in which some records were edited afterwards."""
     chained = audit.chain(_audit_records(spark, sf_dir), "tenant")
@@ -238,6 +287,10 @@ def audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.verify(edited, "tenant").withColumn("broken_at", F.col("broken_at").cast("long"))
 
 
+def metrics_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.shares(metrics.by_mode(_outcomes(spark, sf_dir)), "mode").withColumn("share", F.round("share", 6))
+
+
 def reply_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     body = F.concat(F.lit("event: x\ndata: "), "role", F.lit("\n\ndata:  "), F.regexp_replace("text", "\n", " "), F.lit("\n\n: ping\n\ndata: [DONE]"))
@@ -252,11 +305,11 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     plain = (
         entity_spans, entity_spans_pages, entity_tally, candidate_counts, tally_by_set, strip_redaction, pseudonym_redaction, pseudonym_collisions, minted_tokens, summary_headers, restore_round_trip,
-        body_redaction, body_restoring, streamed_restoring, check_digits, request_shaping, policy_merge, audit_first_links, audit_verify, reply_frames, event_windows,
+        body_redaction, body_restoring, streamed_restoring, check_digits, request_shaping, policy_merge, audit_first_links, audit_chain, audit_verify, entity_types, metrics_shares, reply_frames, event_windows,
     )
     numbers = {"metrics_" + f.__name__: _metric(f) for f in (metrics.totals, metrics.by_mode, metrics.dominant_mode, metrics.by_type, metrics.by_set, metrics.bypasses, metrics.latency)}
     return {f.__name__: f for f in plain} | numbers
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.oracles(SECRET)
+    return sql.oracles(SECRET, RUN)

@@ -118,7 +118,73 @@ _AUDIT_JSON = (
 )
 
 
-def oracles(secret: str) -> dict[str, str]:
+#: Fields of the example bodies, in words that Spark and DuckDB share; ``content`` is the document.
+FIELDS = {
+    "phone": "'call 212-555-' || lpad(cast(doc_id % 10000 as string), 4, '0')",
+    "address": "'at ' || cast(doc_id % 900 + 1 as string) || ' Oak Street, host 10.0.' || cast(doc_id % 256 as string) || '.7'",
+    "system": "'to s' || cast(doc_id % 50 as string) || '@example.org, copy u' || cast(doc_id % 40 as string) || '@example.org'",
+    "content": "text",
+    "card": "cast(4012888888880000 + doc_id * 7 as string)",
+    "plain": "cast(1200 + doc_id % 900 as string)",
+    "mail": "'u' || cast(doc_id % 40 as string) || '@example.org'",
+}
+#: Where a field stands in the order of fields, in either dialect; a field that a dialect lacks has no place in it.
+PLACES = {"phone": (1, 2), "address": (2, 3), "system": (3, 1), "content": (4, 4), "name": (5, None), "card": (6, 6), "plain": (7, 7), "mail": (8, 8)}
+_D = "d as (select doc_id, doc_id % 2 = 0 as even, doc_id % 10 <> 9 as sys, case when doc_id % 3 = 0 then 'strip' else 'reversible' end as mode, {fields} from (select doc_id, coalesce(text, '') as text from documents))"
+
+
+def _fields() -> str:
+    """CTEs d and f (doc_id, slot, field, numeric, text)."""
+    rows = []
+    for field, (even, odd) in PLACES.items():
+        where = " and ".join(["sys" if field == "system" else "true", "even" if odd is None else "true"])
+        source = "mail" if field == "name" else field
+        rows.append(f"select doc_id, case when even then {even} else {odd or 'null'} end as slot, '{field}' as field, {field in ('card', 'plain')} as numeric, {source} as text from d where {where}")
+    return _D.format(fields=", ".join(f"{x} as {n}" for n, x in FIELDS.items())) + ", f as (" + " union all ".join(rows) + ")"
+
+
+def _requests_redacted(run_secret: str) -> str:
+    """CTEs over d (doc_id, mode) and f: sp, one row per entity; red (doc_id, field, raw, text), every field with tokens."""
+    return f"""
+src as (select doc_id * 16 + slot as id, text from f), {spans("src")},
+sp as (select doc_id, slot, text, s, e, t, v from f join spans on spans.id = doc_id * 16 + slot where not numeric or (t in ('CREDIT_CARD', 'IBAN', 'US_ROUTING') and s = 0 and e = length(text))),
+firsts as (select * from sp qualify row_number() over (partition by doc_id, v order by slot, s desc) = 1),
+toks as (
+  select doc_id, v, case when mode = 'strip' then '[' || t || ']'
+    else '<' || t || '_' || upper(substr({hmac(run_secret, "doc_id::varchar")}, 1, 6)) || '_' || row_number() over (partition by doc_id, t order by slot, s desc) || '>' end as tok
+  from firsts join d using (doc_id)),
+parts as (select doc_id, slot, text, s, e, tok, coalesce(lag(e) over (partition by doc_id, slot order by s), 0) as prev from sp join toks using (doc_id, v)),
+heads as (select doc_id, slot, string_agg(substr(text, prev + 1, s - prev) || tok, '' order by s) as head, max(e) as last from parts group by doc_id, slot),
+red as (select doc_id, field, f.text as raw, case when head is null then f.text else head || substr(f.text, last + 1) end as text from f left join heads using (doc_id, slot))"""
+
+
+_WIDE, _ZERO_WIDTH = "\uff10\uff11\uff12\uff13\uff14\uff15\uff16\uff17\uff18\uff19", "\u200b"
+#: Texts of orders: {k} is the order's key, {n} sixteen digits made of it, {h} its hash in hex.
+ORDER_TEXTS = (
+    "'ping user' || {k} || '@acme.example now'", "'call 555-' || substr({n}, 14, 3) || '-' || substr({n}, 10, 4)", "'ring +44 20 ' || substr({n}, 9, 4) || ' ' || substr({n}, 13, 4) || ' please'",
+    "'ssn ' || substr({n}, 14, 3) || '-' || substr({n}, 12, 2) || '-' || substr({n}, 10, 4)", "'host 10.' || cast(o_orderkey % 300 as string) || '.1.' || cast(o_orderkey % 7 as string)",
+    "'nic 00:1A:' || upper(substr({h}, 1, 2)) || ':' || upper(substr({h}, 3, 2)) || ':' || substr({h}, 5, 2) || ':' || substr({h}, 7, 2)", "'card ' || {n}",
+    "'card ' || substr({n}, 1, 4) || ' ' || substr({n}, 5, 4) || '.' || substr({n}, 9, 4) || '-' || substr({n}, 13, 4) || ' today'", "'iban DE' || substr({n}, 15, 2) || {n} || '00'",
+    "'aba ' || substr({n}, 8, 9)", "'addr 2001:db8::' || substr({h}, 1, 4) || ' up'", "'addr 2001:db8:0:1:' || substr({h}, 1, 4) || ':' || substr({h}, 5, 4) || ':' || substr({h}, 9, 4) || ':1 up'",
+    "{k} || ' Main Street, Springfield MRN ' || {k} || '77 2024-' || cast(o_orderkey % 15 as string) || '-15'", "'dob ' || cast(o_orderkey % 14 as string) || '/' || cast(o_orderkey % 33 as string) || '/1990 MRN: ' || {k} || '123'",
+    "'sk-ant-' || substr({h}, 1, 30)", "'id AKIA' || upper(substr({h}, 1, 16)) || ' end'", "'sk_live_' || substr({h}, 1, 24)", "'npm_' || substr({h}, 1, 36)",
+    "'https://hooks.slack.com/services/T' || {k} || '/B' || {k} || '/' || substr({h}, 1, 24)", "'SG.' || substr({h}, 1, 22) || '.' || substr({h}, 1, 43)", "'github_pat_' || {h} || substr({h}, 1, 18)",
+    "'ghp_' || substr({h}, 1, 36)", "'eyJ' || substr({h}, 1, 12) || '.eyJ' || substr({h}, 13, 20) || '.' || substr({h}, 33, 20)", "'key sk-proj-' || substr({h}, 1, 40)", "'AIza' || substr({h}, 1, 35)",
+    "'xoxb-' || substr({h}, 1, 24)", "'Bearer ' || substr({h}, 1, 32) || '=='", "'-----BEGIN RSA PRIVATE KEY-----' || chr(10) || {h} || chr(10) || '-----END RSA PRIVATE KEY-----'",
+    f"'mail user{_ZERO_WIDTH}' || {{k}} || '@acme.example now'", f"'card ' || translate({{n}}, '0123456789', '{_WIDE}')", f"'host 10.1.' || cast(o_orderkey % 200 as string) || '.4{_ZERO_WIDTH}'",
+    "'pay ' || {n} || ' ' || substr({n}, 7, 3) || '-555-0132 ' || {n} || ' the quick brown fox'",
+)
+
+
+def order_text(hash_: str) -> str:
+    """The text of an order, in words that Spark and DuckDB share; ``hash_`` is how the dialect hashes {v}."""
+    key = "cast(o_orderkey as string)"
+    values = {"k": key, "n": "('4' || lpad(cast(o_orderkey * 7919 as string), 15, '0128888'))", "h": hash_.format(v=key)}
+    return f"case o_orderkey % {len(ORDER_TEXTS)} " + " ".join(f"when {i} then {t.format(**values)}" for i, t in enumerate(ORDER_TEXTS)) + " end"
+
+
+def oracles(secret: str, run_secret: str) -> dict[str, str]:
+    bodies = f"with {_fields()}, {_requests_redacted(run_secret)}"
     pages = "pages_ as (select page_id as id, coalesce(html, '') as text from pages)"
     gated = {n: spans("docs", (n,), f"{n}_") for n in ("pii", "phi", "pci", "secrets")}
     number = "lpad(o_orderkey::varchar, {n}, '0')"
@@ -140,8 +206,25 @@ def oracles(secret: str) -> dict[str, str]:
             select id as doc_id, string_agg(t || ':' || n, ',' order by first) as header from g group by id""",
         "restore_round_trip": f"""with {DOCS}, {spans("docs")}, g as (select id, count(*) as n from spans group by id)
             select docs.id as doc_id, true as same, coalesce(g.n, 0)::bigint as n_spans from docs left join g on g.id = docs.id""",
-        "body_restoring": "select doc_id::varchar as request_id, sha256(coalesce(text, '')) as text_sha256 from documents",
-        "streamed_restoring": "select doc_id::varchar as request_id, sha256(coalesce(text, '')) as text_sha256 from documents",
+        "body_redaction": f"""{bodies}, n as (select doc_id, count(*) as total from sp group by doc_id),
+            every as (select doc_id, field, text from red union all select doc_id, 'system', system from d where not sys union all select doc_id, 'picture', 'i@i.example.org' from d where even)
+            select doc_id::varchar as request_id, 'redacted' as outcome, coalesce(total, 0)::bigint as total, mode, field, text from every join d using (doc_id) left join n using (doc_id)""",
+        "body_restoring": f"""{bodies} select doc_id::varchar as request_id, sha256(text) as redacted_sha256, sha256(case when mode = 'strip' then text else raw end) as text_sha256
+            from red join d using (doc_id) where field = 'content'""",
+        "streamed_restoring": f"""with d as (select doc_id, 'reversible' as mode from documents), f as (select doc_id, 1 as slot, 'content' as field, false as numeric, coalesce(text, '') as text from documents),
+            {_requests_redacted(run_secret)}
+            select doc_id::varchar as request_id, sha256(raw) as text_sha256, sha256(case when doc_id % 2 = 0 then '' else substr(text, 1, 200) end) as thought_sha256 from red""",
+        "entity_types": f"""with o as (select o_orderkey, {order_text("sha256({v})")} as raw from orders),
+            p as (select *, nullif(strpos(raw, '{_ZERO_WIDTH}'), 0) - 1 as gap, replace(translate(raw, '{_WIDE}', '0123456789'), '{_ZERO_WIDTH}', '') as text from o),
+            src as (select o_orderkey as id, text from p), {spans("src")},
+            m as (select o_orderkey, raw, t, s + coalesce(s >= gap, false)::int as a, e + coalesce(e >= gap, false)::int as b from spans join p on p.o_orderkey = id)
+            select o_orderkey, a as start_at, b as end_at, t as type, substr(raw, a + 1, b - a) as value from m""",
+        "audit_chain": f"""with recursive o as (select *, row_number() over (partition by o_custkey order by o_orderkey) as k from orders),
+            c as (select o_custkey, k, o_orderkey, '0' as prev, sha256('0' || {_AUDIT_JSON}) as hash from o where k = 1
+              union all select o.o_custkey, o.k, o.o_orderkey, c.hash, sha256(c.hash || {_AUDIT_JSON.replace('"prevHash":"0"', """"prevHash":"' || c.hash || '\"""").replace("o_orderkey", "o.o_orderkey").replace("o_custkey", "o.o_custkey").replace("o_orderpriority", "o.o_orderpriority")})
+                from c join o on o.o_custkey = c.o_custkey and o.k = c.k + 1)
+            select 't' || o_custkey as tenant, o_orderkey as seq, prev as prev_hash, hash from c""",
+        "metrics_shares": _OUTCOMES + "select mode, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from outcomes group by mode",
         "check_digits": f"""select o_orderkey, {check("luhn", f"('4000-0' || {number.format(n=11)})")} as luhn,
             {check("iban", f"('DE' || lpad((o_orderkey % 97)::varchar, 2, '0') || {number.format(n=18)})")} as iban, {check("aba_routing", nine)} as aba,
             {check("ssn", f"(substr({nine}, 7, 3) || '-' || substr({nine}, 5, 2) || '-' || substr({nine}, 6, 4))")} as ssn,

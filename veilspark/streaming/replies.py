@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,78 +50,110 @@ class Restorer:
         return self._known(text)
 
 
-def text_frame(provider: str, text: str, block: int = 0) -> str:
-    if provider == "anthropic":
-        delta = {"type": "content_block_delta", "index": block, "delta": {"type": "text_delta", "text": text}}
-        return f"event: content_block_delta\ndata: {json.dumps(delta, ensure_ascii=False, separators=(',', ':'))}\n\n"
-    return f"data: {json.dumps({'choices': [{'index': 0, 'delta': {'content': text}}]}, ensure_ascii=False, separators=(',', ':'))}\n\n"
+def _dumps(value: object) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
-def parse_delta(provider: str, data: str) -> tuple[str, bool]:
-    """Text of a frame's data, and whether it ends the reply."""
-    if data == "[DONE]":
-        return "", True
+def _object(data: str) -> dict:
     try:
         j = json.loads(data)
     except ValueError:
-        return "", False
-    if provider == "anthropic":
-        delta = j.get("delta") or {}
-        return (delta.get("text") or "", False) if j.get("type") == "content_block_delta" and delta.get("type") == "text_delta" else ("", j.get("type") == "message_stop")
-    choice = (j.get("choices") or [{}])[0]
-    return (choice.get("delta") or {}).get("content") or "", choice.get("finish_reason") is not None
+        return {}
+    return j if isinstance(j, dict) else {}
+
+
+@dataclass(frozen=True)
+class Event:
+    """What a frame means for the text: a piece of it (``text``), the end of a block (``ends``) or of the reply (``stops``)."""
+
+    text: str | None = None
+    block: int | None = None
+    ends: bool = False
+    stops: bool = False
+
+
+def openai_event(j: dict) -> Event:
+    choices = j.get("choices")
+    choice = choices[0] if isinstance(choices, list) and choices and isinstance(choices[0], dict) else {}
+    content = (choice.get("delta") or {}).get("content")
+    over = choice.get("finish_reason") is not None
+    return Event(text=content) if isinstance(content, str) and content else Event(ends=over)
+
+
+def openai_frame(text: str, _: int = 0) -> str:
+    return f"data: {_dumps({'choices': [{'index': 0, 'delta': {'content': text}}]})}\n\n"
+
+
+def anthropic_event(j: dict) -> Event:
+    kind, delta = j.get("type"), j.get("delta") or {}
+    if kind == "content_block_delta" and delta.get("type") == "text_delta":
+        return Event(text=delta.get("text") or "", block=j.get("index"))
+    return Event(block=j.get("index"), ends=kind == "content_block_stop", stops=kind == "message_stop")
+
+
+def anthropic_frame(text: str, block: int = 0) -> str:
+    delta = {"type": "content_block_delta", "index": block, "delta": {"type": "text_delta", "text": text}}
+    return f"event: content_block_delta\ndata: {_dumps(delta)}\n\n"
+
+
+#: Dialects of event streams: what a frame's JSON means, and the frame of a piece of text. ``register_stream`` adds one.
+STREAMS: dict[str, tuple[Callable[[dict], Event], Callable[[str, int], str]]] = {
+    "openai": (openai_event, openai_frame), "anthropic": (anthropic_event, anthropic_frame),
+}
+
+
+def register_stream(name: str, event: Callable[[dict], Event], frame: Callable[[str, int], str]) -> None:
+    STREAMS[name] = event, frame
+
+
+def event_of(provider: str, data: str, streams: dict | None = None) -> Event:
+    return Event(ends=True, stops=True) if data == "[DONE]" else (streams or STREAMS)[provider][0](_object(data))
+
+
+def parse_delta(provider: str, data: str) -> tuple[str, bool]:
+    """Text of a frame's data, and whether it ends the reply."""
+    e = event_of(provider, data)
+    return e.text or "", e.stops or (e.ends and provider == "openai")
 
 
 class Reply:
     """One reply: frames in, frames out."""
 
-    def __init__(self, provider: str, tokens: dict[str, str], tail: str = "", block: int = 0):
-        self.provider, self.block, self.text = provider, block, Restorer(tokens, tail)
+    def __init__(self, provider: str, tokens: dict[str, str], tail: str = "", block: int = 0, streams: dict | None = None):
+        self.provider, self.block, self.text, self.stopped = provider, block, Restorer(tokens, tail), False
+        self.streams = streams or STREAMS
 
-    def _emit(self, text: str, block: int | None = None) -> list[str]:
-        return [text_frame(self.provider, text, self.block if block is None else block)] if text else []
+    def _emit(self, text: str, block: int) -> list[str]:
+        return [self.streams[self.provider][1](text, block)] if text else []
 
     def frame(self, frame: str) -> list[str]:
+        """A piece of text goes on as far as it is settled; what was held goes before the frame that ends it; others as they are."""
         line = next((x for x in frame.split("\n") if x.startswith("data:")), "")
         data = line[5:].strip()
         if not data:
             return [frame]
-        if data == "[DONE]":
-            return [*self.end(), frame]
-        try:
-            j = json.loads(data)
-        except ValueError:
-            return [frame]
-        j = j if isinstance(j, dict) else {}
-        return self._anthropic(j, frame) if self.provider == "anthropic" else self._openai(j, frame)
-
-    def _anthropic(self, j: dict, frame: str) -> list[str]:
-        if j.get("type") == "content_block_delta" and (j.get("delta") or {}).get("type") == "text_delta":
-            self.block = j.get("index", self.block)
-            return self._emit(self.text.push(j["delta"].get("text") or ""))
-        if j.get("type") == "content_block_stop":
-            return [*self._emit(self.text.end(), j.get("index", self.block)), frame]
-        return [frame]
-
-    def _openai(self, j: dict, frame: str) -> list[str]:
-        choice = next(iter(j.get("choices") or ()), None) or {}
-        content = (choice.get("delta") or {}).get("content")
-        if isinstance(content, str) and content:
-            return self._emit(self.text.push(content))
-        return [*self.end(), frame] if choice.get("finish_reason") is not None else [frame]
+        event = event_of(self.provider, data, self.streams)
+        self.stopped |= event.stops
+        block = self.block if event.block is None else event.block
+        if event.text is not None:
+            self.block = block
+            return self._emit(self.text.push(event.text), block)
+        return [*self._emit(self.text.end(), block), frame] if event.ends else [frame]
 
     def end(self) -> list[str]:
-        return self._emit(self.text.end())
+        return self._emit(self.text.end(), self.block)
 
 
 def restore_frames(frames: DataFrame, vaults: DataFrame) -> DataFrame:
     """``frames`` (request_id, provider, seq, frame) and ``vaults`` (request_id, tokens: token to value) to restored frames.
     A reply is one group and has to fit in a task, as it had to fit in a connection."""
 
+    streams = dict(STREAMS)
+
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("seq")
         tokens = part["tokens"].iloc[0]
-        reply = Reply(part["provider"].iloc[0], dict(tokens) if tokens is not None else {})
+        reply = Reply(part["provider"].iloc[0], dict(tokens) if tokens is not None else {}, streams=streams)
         rows = [(part["request_id"].iloc[0], int(s), k, f) for s, frame in zip(part["seq"], part["frame"], strict=True) for k, f in enumerate(reply.frame(frame))]
         rows += [(part["request_id"].iloc[0], int(part["seq"].iloc[-1]), 1000 + k, f) for k, f in enumerate(reply.end())]
         return pd.DataFrame(rows, columns=["request_id", "seq", "part", "frame"])
@@ -128,34 +161,41 @@ def restore_frames(frames: DataFrame, vaults: DataFrame) -> DataFrame:
     return frames.join(vaults, "request_id", "left").groupBy("request_id").applyInPandas(run, OUT)
 
 
-def restore_stream(frames: DataFrame, timeout: str | None = "10 minutes") -> DataFrame:
+def restore_stream(frames: DataFrame, timeout: int | None = 600_000) -> DataFrame:
     """Streaming ``frames`` (request_id, provider, seq, frame, tokens as JSON; seq from 0 without gaps) to restored frames.
-    A reply ends with its stop frame, or after ``timeout`` without frames, when the held tail is emitted."""
+    A reply ends with its stop frame, when its state is let go; or after ``timeout`` milliseconds without frames, when frames that wait for
+    one that never came go on in their order, with the held tail behind them. Frames behind the end are left out."""
+    streams = dict(STREAMS)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = dict(zip(STATE_NAMES, state.get, strict=True)) if state.exists else {"tail": "", "block": 0, "next": 0, "early": "{}", "tokens": "{}", "provider": "openai", "last": -1}
-        if state.hasTimedOut:
-            reply = Reply(held["provider"], json.loads(held["tokens"]), held["tail"], held["block"])
-            rows = [(key[0], held["last"], 1000 + k, f) for k, f in enumerate(reply.end())]
-            state.remove()
-            yield pd.DataFrame(rows, columns=["request_id", "seq", "part", "frame"])
-            return
         early = {int(k): v for k, v in json.loads(held["early"]).items()}
-        for part in parts:
-            held["provider"] = part["provider"].iloc[0]
-            tokens = [t for t in part["tokens"] if t]
-            held["tokens"] = tokens[0] if tokens else held["tokens"]
-            early |= {int(s): f for s, f in zip(part["seq"], part["frame"], strict=True) if s >= held["next"]}
-        reply = Reply(held["provider"], json.loads(held["tokens"]), held["tail"], held["block"])
+        if not state.hasTimedOut:
+            for part in parts:
+                held["provider"] = part["provider"].iloc[0]
+                tokens = [t for t in part["tokens"] if t]
+                held["tokens"] = tokens[0] if tokens else held["tokens"]
+                early |= {int(s): f for s, f in zip(part["seq"], part["frame"], strict=True) if s >= held["next"]}
+        reply = Reply(held["provider"], json.loads(held["tokens"]), held["tail"], held["block"], streams)
         rows = []
-        while held["next"] in early:
-            held["last"] = held["next"]
-            rows += [(key[0], held["next"], k, f) for k, f in enumerate(reply.frame(early.pop(held["next"])))]
-            held["next"] += 1
-        held |= {"tail": reply.text.tail, "block": reply.block, "early": json.dumps({str(k): v for k, v in early.items()})}
-        state.update(tuple(held[n] for n in STATE_NAMES))
-        if timeout:
-            state.setTimeoutDuration(timeout)
+
+        def pass_on(seq: int) -> None:
+            held["last"], held["next"] = seq, seq + 1
+            rows.extend((key[0], seq, k, f) for k, f in enumerate(reply.frame(early.pop(seq))))
+
+        while held["next"] in early and not reply.stopped:
+            pass_on(held["next"])
+        if state.hasTimedOut:
+            for seq in sorted(early):
+                pass_on(seq)
+        if state.hasTimedOut or reply.stopped:
+            rows += [(key[0], held["last"], 1000 + k, f) for k, f in enumerate(reply.end())]
+            state.remove()
+        else:
+            held |= {"tail": reply.text.tail, "block": reply.block, "early": json.dumps({str(k): v for k, v in early.items()})}
+            state.update(tuple(held[n] for n in STATE_NAMES))
+            if timeout:
+                state.setTimeoutDuration(timeout)
         yield pd.DataFrame(rows, columns=["request_id", "seq", "part", "frame"])
 
     kind = GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout
