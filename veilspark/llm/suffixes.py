@@ -4,18 +4,20 @@ A window is a string of ``size`` bytes; it is a repeat if the same bytes start e
 or earlier in the same one.  Every byte under a repeat is removed.  Sorting the suffix at every byte would
 ship a hundred times the input, so windows are taken in rounds:
 
-1. Each window names its anchor: the place of the smallest hash among its inner strings of ``k`` bytes.  Equal
-   windows name the same place, and neighbouring windows mostly share one, so a run of windows with one
-   anchor travels as one record: hash of the anchor string, hash of the bytes that the run spans, place.
-   Equal records are equal in all their windows.  A record whose anchor string occurs nowhere else has no
-   repeats.  What is left, records with an equal anchor and other bytes around it, goes to the next round.
-2. The same with a longer anchor string, over the bytes of those runs only.
+1. Each window names one suffix inside it, at a token's start: of the tokens that begin behind the window's first
+   byte and have ``k`` bytes before its end, the one with the smallest hash of these bytes (of all places, where
+   no token begins).  Equal windows name the same one, and neighbouring windows mostly share one, so a run of
+   windows travels as one suffix: its leading 16 bytes, the hash of its ``k`` bytes, the hash of all bytes that
+   the run spans (the suffix extended to both sides), and its place.  Equal records are equal in all their
+   windows.  A suffix whose ``k`` bytes occur nowhere else has no repeats.  What is left, suffixes with equal
+   ``k`` bytes and other bytes around them, goes to the next round.
+2. The same with more bytes, over those runs only.
 3. In the last round each remaining window is a suffix, cut at ``size`` bytes, and is shipped whole.
 
-In every round sampled splitters range-partition the records (in the last round by the leading bytes of the
-suffixes), buckets sort locally by multikey quicksort, and equal neighbours are found.  Splitters are whole
-keys, so equal records meet in one bucket; an anchor that may go on beyond a bucket's boundary is kept for the
-next round, which decides it.  Each task combines what it has seen before the shuffle, so of a string with any
+In every round splitters, sampled from the suffixes themselves, range-partition them by their leading tokens,
+buckets sort locally by multikey quicksort, and equal neighbours are found.  Splitters are whole
+keys, so equal records meet in one bucket; suffixes are compared with the splitters at both ends of their bucket,
+and what goes on beyond one is kept for the next round, which decides it.  Each task combines what it has seen before the shuffle, so of a string with any
 number of copies one record per task travels.
 
 Defined results: a null text is empty; texts under ``size`` bytes are left alone; rows that repeat both doc_id
@@ -43,12 +45,14 @@ ROUNDS = (50, 84)  # lengths of the anchor strings
 STEP = 1 << 18  # bytes hashed at once: what fits a core's cache
 BUFFER = 1 << 20  # records that a task combines before they are shipped
 BUCKET = 1 << 21  # records in a bucket, about
-SAMPLE = 50_000  # records sampled for the splitters, about
+SAMPLE = 50_000  # records sampled for the splitters, about; more where there are more buckets
 SUB = 1 << 40  # texts of one doc_id are told apart above this bit of the place
 NULL_ID = -(1 << 63)
 ADDED = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
 _U = np.uint64
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FOUND = "doc bigint, place bigint, windows int, open boolean"
 
 
@@ -80,25 +84,31 @@ def _layout(part: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def anchored_runs(part: tuple, k: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: anchor hash, hash of the run's bytes, document, place, windows."""
+    """Runs of windows that name one suffix: its leading bytes in two words, its hash, hash of the run's bytes, document,
+    place, windows."""
     joined, starts, segment, place = _layout(part)
     sums = prefix_sums(joined)
     inner = np.arange(len(joined) - k + 1)
     hashes = range_hash(sums, inner, inner + k)
-    low = _U(4 * STEP - 1)
-    # The least hash of each window and its leftmost place, by doubling; the place stands in the low bits.
-    best, span, want = (hashes & ~low) | inner.astype(_U), 1, SIZE - k + 1
+    low, high = _U(4 * STEP - 1), _U(1 << 63)
+    space = _IS_SPACE[joined]
+    token = np.r_[False, space[:-1] & ~space[1:]][: len(inner)]
+    # The least hash of each window and its leftmost place, by doubling; the place stands in the low bits, and the highest
+    # one tells places without a token's start, which come last. A window's first byte is left out: what stands before it
+    # is not the window's.
+    best, span, want = (hashes & ~low & ~high) | np.where(token, _U(0), high) | inner.astype(_U), 1, SIZE - k
     while span * 2 <= want:
         best = np.minimum(best[:-span], best[span:])
         span *= 2
     if span < want:
         best = np.minimum(best[: len(best) - (want - span)], best[want - span :])
-    anchor = (best[starts] & low).astype(np.int64)
+    anchor = (best[starts + 1] & low).astype(np.int64)
     first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])])
     last = np.r_[first[1:], len(anchor)] - 1
     begin, end = starts[first], starts[last] + SIZE
     run = range_hash(sums, begin, end) ^ mix((anchor[first] - begin).astype(_U))
-    return hashes[anchor[first]], run, np.array(part[0], np.int64)[segment[first]], place[first], (last - first + 1).astype(np.int32)
+    lead = np.lib.stride_tricks.sliding_window_view(joined, 16)[anchor[first]].copy().view(">u8").astype(_U)
+    return lead[:, 0], lead[:, 1], hashes[anchor[first]], run, np.array(part[0], np.int64)[segment[first]], place[first], (last - first + 1).astype(np.int32)
 
 
 def suffix_words(part: tuple) -> tuple[np.ndarray, ...]:
@@ -116,10 +126,10 @@ def _records(k: int | None, part: tuple) -> tuple[np.ndarray, ...]:
 
 
 def _ordered(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Columns in the order of key words, document and place; where the first word, and the whole key, begin anew."""
+    """Columns in the order of key words, document and place; where the key without its last word, and the whole key, begin anew."""
     sign = _U(1 << 63)
     order, news = multikey_order([*columns[:-3], columns[-3].view(_U) ^ sign, columns[-2].view(_U)])
-    return [c[order] for c in columns], news[0], news[len(columns) - 4]
+    return [c[order] for c in columns], news[len(columns) - 5], news[len(columns) - 4]
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
@@ -142,10 +152,10 @@ def _bucket_of(keys: list[np.ndarray], splitters: np.ndarray) -> np.ndarray:
         return np.zeros(len(keys[0]), np.int64)
     first = splitters[:, 0]
     low, high = np.searchsorted(first, keys[0], "left"), np.searchsorted(first, keys[0], "right")
-    for i in np.flatnonzero(low < high):  # rows that share their first word with a splitter
-        row = tuple(int(k[i]) for k in keys)
-        while low[i] < high[i] and tuple(map(int, splitters[low[i]])) <= row:
-            low[i] += 1
+    shared = np.flatnonzero(low < high)  # rows that share their first word with a splitter are compared by whole keys, as bytes
+    whole = lambda words: np.ascontiguousarray(words.astype(">u8")).view(f"S{8 * len(keys)}")[:, 0]
+    if len(shared):
+        low[shared] = np.searchsorted(whole(splitters), whole(np.stack([k[shared] for k in keys], axis=1)), "right")
     return low
 
 
@@ -205,8 +215,8 @@ def _resolve(k: int | None, splitters: np.ndarray):
             if k is not None:
                 group = np.cumsum(new_first) - 1
                 several = np.bincount(group, weights=new)[group] > 1
-                for edge in splitters[max(bucket - 1, 0) : bucket + 1, 0]:  # the anchor may go on in the next bucket
-                    several |= columns[0] == edge
+                for edge in splitters[max(bucket - 1, 0) : bucket + 1]:  # these suffixes may go on in the next bucket
+                    several |= np.logical_and.reduce([c == e for c, e in zip(columns, edge[:-1])])
                 yield _found([c[new & several] for c in columns], True)
 
     return run
@@ -232,9 +242,9 @@ def _round(segments: DataFrame, k: int | None, n_bytes: int, name: str) -> DataF
     density = 1.0 if k is None else 2 / (SIZE - k + 2)
     n_buckets = max(parallelism(spark), int(n_bytes * density / BUCKET))
     share = max(1, n_bytes // (64 << 20))
-    every = max(1, int(n_bytes / share * density / SAMPLE))
+    every = max(1, int(n_bytes / share * density / max(SAMPLE, 4 * n_buckets)))
     sample = segments.filter(F.pmod(F.xxhash64("doc"), F.lit(share)) == 0).mapInArrow(_sampled(k, every), "key binary")
-    keys = sorted(bytes(r["key"]) for r in sample.collect())  # bounded: about SAMPLE keys
+    keys = sorted(bytes(r["key"]) for r in sample.collect())  # about SAMPLE keys, or four for each of many buckets
     picked = sorted({keys[len(keys) * i // n_buckets] for i in range(1, n_buckets)}) if keys else []
     splitters = np.array([np.frombuffer(p, ">u8") for p in picked], _U) if picked else np.zeros((0, 1), _U)
     shipped = segments.mapInArrow(_ship(k, splitters, n_buckets), "bucket int, seen boolean, n bigint, data binary")
