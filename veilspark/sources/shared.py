@@ -1,12 +1,16 @@
 """Tables written to the folder that the driver and all executors share, to cut lineage.
 
 A cluster names the folder in ``spark.checkpoint.dir``.  Where that is unset (local tests) a temporary
-folder is made once per application; a cluster without the setting is refused, because a machine-local
-folder would be invisible to the other executors.
+folder is made once per application and goes with the driver's process; a cluster without the setting is
+refused, because a machine-local folder would be invisible to the other executors.  Tables stay until the
+application's folder is deleted: results that are not computed yet read them.
 """
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -20,9 +24,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="spark-")
+            atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+        base = _LOCAL[app]
     if "://" not in base and not base.startswith("file:"):
         base = "file://" + base if base.startswith("/") else base
     return f"{base.rstrip('/')}/{app}/{name}-{uuid.uuid4().hex}"
