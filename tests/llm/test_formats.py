@@ -146,6 +146,14 @@ def test_packing_of_added_tokens_long_words_and_clashing_columns(spark):
     check_packing([(i, t) for i, t, _ in rows], packing.pack(docs, tokenizer_path()).collect())
 
 
+def test_packing_pieces_have_the_tokenisers_ids():
+    ids, random = packing.Ids(tokenizer_path()), np.random.default_rng(3)
+    assert ids.merge
+    alphabets = ["ab", "aeinorst", "0123456789.,", "'sdmtlrve aeiou", "A\u0130\u00e9\u00b2\u00aa\u00ad\x1c\x85 \t\n", "".join(map(chr, range(1, 0x250)))]
+    texts = ["".join(random.choice(list(a), random.integers(1, 400))) for a in alphabets for _ in range(100)]
+    assert ids.of(texts) == ids.of(texts) == ids._encoded(texts)
+
+
 def test_packing_merges_no_more_than_a_task_holds(spark):
     docs = spark.createDataFrame([(i, " word" * 1200) for i in range(60)], "doc_id bigint, text string").coalesce(1)
     used, _ = check_packing([tuple(r) for r in docs.collect()], packing.pack(docs, tokenizer_path(), group_items=16).collect())

@@ -6,6 +6,9 @@ of the round before; so the tree's root sees what is left of all partitions.  A
 its items number less than ``group_items``, so no task holds an unbounded group: where nothing fits together,
 the tree ends with several roots.
 
+Ids are the tokeniser's own.  Pieces of common Latin characters that no cache holds are merged by ``tiktoken``
+from the same vocabulary, where the tokeniser's file is one for which both must agree (``_merger``).
+
 Pieces in a bin carry their numbers only, never texts or ids; texts are not shuffled.
 
 Defined results: a null text is an empty one, so it is the end token alone; repeated rows are packed one by
@@ -14,13 +17,14 @@ one; an empty table gives no pieces; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
 import zlib
 from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +48,45 @@ SPACE = "\u0120"  # fixed value: how the vocabulary spells a space
 #: The tokeniser never joins anything across these cuts, so equal pieces have equal ids in every text.
 PIECES = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
+#: Pieces of these characters only are alike letters, numbers or neither in every version of Unicode.
+LATIN = re.compile("[\\x00-\\u024f]+")
+#: Fixed value: how byte-level tokenisers part a text before they merge.
+BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 _BINS = "grp bigint, done boolean, used int, items array<struct<doc_id:bigint,piece:int,start:bigint,length:int,ids_crc32:bigint>>"
 
 
+def _merger(path: str, tokenizer) -> Callable[[str], list[int]] | None:
+    """The vocabulary in ``tiktoken``, which merges the pair whose union has the least id instead of following a list of merges.
+
+    Both agree where merges are listed by the id of what they make and every entry is what its own characters
+    merge to: inside the place of an entry that is made last, the steps before are then those of the entry alone,
+    so that the pair left over is the listed one.  Where the file is not such a one: None.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        described = json.load(f)
+    model, before = described["model"], described["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    plain &= before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and not described["normalizer"]
+    if not plain:
+        return None
+    special = {t["content"] for t in described["added_tokens"]}
+    vocabulary = {t: i for t, i in model["vocab"].items() if t not in special}
+    made = [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", ""), -1) for m in model["merges"]]
+    if any(x >= y for x, y in zip(made, made[1:], strict=False)) or any([x.id for x in tokenizer.model.tokenize(t)] != [i] for t, i in vocabulary.items()):
+        return None
+    shown = [b for b in range(256) if chr(b).isprintable() and b != 32]  # a byte is spelt as itself, or else by the next character from 256 on
+    bytes_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    if any(c not in bytes_of for t in vocabulary for c in t):
+        return None
+    ranks = {bytes(bytes_of[c] for c in t): i for t, i in vocabulary.items()}
+    if any(bytes([b]) not in ranks for b in range(256)):
+        return None
+    return tiktoken.Encoding("vocabulary", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class Ids:
     """Token ids as little-endian bytes, through a bounded cache of pieces."""
 
@@ -60,41 +100,52 @@ class Ids:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         names = (self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size()))
         self.opens = np.array([bool(n) and n.startswith(SPACE) for n in names])
+        self.merge = _merger(path, self.tokenizer)
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fresh(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Pieces that begin with a space are encoded joined and parted where a token begins with one; in order, so that neighbours meet equal merges."""
+    def _merged(self, texts: list[str]) -> list[bytes]:
+        return [array("I", self.merge(t)).tobytes() for t in texts]
+
+    def _fresh(self, pieces: set[str]) -> Iterator[tuple[str, bytes]]:
+        latin = list(filter(LATIN.fullmatch, pieces)) if self.merge else []
+        yield from self._joined(latin, self._merged)
+        yield from self._joined(sorted(pieces.difference(latin)), self._encoded)  # in order, so that neighbours meet equal merges
+
+    def _joined(self, pieces: list[str], encode: Callable[[list[str]], list[bytes]]) -> Iterator[tuple[str, bytes]]:
+        """Pieces that begin with a space are encoded joined and parted where a token begins with one."""
         spaced = [p for p in pieces if p[0] == " " and len(p) > 1 and p[1] not in WHITE]
         single = [p for p in pieces if p[0] != " " or len(p) == 1 or p[1] in WHITE]
         runs = [spaced[i : i + JOINED] for i in range(0, len(spaced), JOINED)]
-        for run, ids in zip(runs, self._encoded(["".join(r) for r in runs]), strict=True):
+        for run, ids in zip(runs, encode(["".join(r) for r in runs]), strict=True):
             starts = np.flatnonzero(self.opens[np.frombuffer(ids, "<u4")])
             if len(starts) != len(run):  # should a token ever hold such a space inside
                 single += run
                 continue
             edges = (starts * 4).tolist()
             yield from zip(run, (ids[x:y] for x, y in zip(edges, [*edges[1:], len(ids)], strict=True)), strict=True)
-        yield from zip(single, self._encoded(single), strict=True)
+        yield from zip(single, encode(single), strict=True)
 
     def of(self, texts: list[str]) -> list[bytes]:
         # Texts that hold an added token's string go as they are: it has an id of its own, and cuts text around it.
         whole = {i: t for i, t in enumerate(texts) if any(x in t for x in self.added)}
         pieces = [PIECES.findall(t) if i not in whole else [] for i, t in enumerate(texts)]
-        missing = set().union(*pieces).difference(self.cache)
-        if len(self.cache) + len(missing) > CACHE:
+        found = [list(map(self.cache.get, p)) for p in pieces]
+        gaps = [[i for i, x in enumerate(f) if x is None] for f in found]
+        missing = {p[i] for p, gap in zip(pieces, gaps, strict=True) for i in gap}
+        new = {p: self.old[p] for p in missing if p in self.old}
+        new.update(self._fresh(missing.difference(new)))
+        for p, f, gap in zip(pieces, found, gaps, strict=True):
+            for i in gap:
+                f[i] = new[p[i]]
+        out = [b"".join(f) for f in found]
+        short = {p: x for p, x in new.items() if len(p) <= LONG}  # entries are bounded, so the cache is too
+        if len(self.cache) + len(short) > CACHE:
             self.old, self.cache = self.cache, {}
-            missing = set().union(*pieces)
-        known = missing & self.old.keys()
-        self.cache.update((p, self.old[p]) for p in known)
-        self.cache.update(self._fresh(sorted(missing - known)))
-        out = [b"".join(map(self.cache.__getitem__, p)) for p in pieces]
-        for p in missing:
-            if len(p) > LONG:  # entries are bounded, so the cache is too
-                del self.cache[p]
+        self.cache.update(short)
         for i, ids in zip(whole, self._encoded(list(whole.values())), strict=True):
             out[i] = ids
         return out
