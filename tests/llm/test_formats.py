@@ -53,6 +53,29 @@ def test_warc_round_trip(spark):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_warc_deals_one_key_over_shards(spark):
+    rows = [(None, "n", f"null {i % 150} " * 40) for i in range(300)] + [(2**60 + 1, "k", f"one {i} " * 40) for i in range(300)]
+    rows += [(2**60 + i, "u", f"one {i} " * 40) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    uri = shared_dir(spark, "t")
+    manifest = warc.write_warc(pages, uri, shard_bytes=20_000).collect()
+    shards = Counter()
+    for m in manifest:
+        shards[m.shard] += m.n_records
+    assert sum(shards.values()) == len(rows) and len(shards) > 5 and max(shards.values()) < len(rows) / 4
+    back = warc.read_warc(spark, uri, with_payload=False)
+    assert Counter((r.key, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back.collect()) == brute_warc(rows)
+
+
+def test_warc_splitters_part_keys_and_digests():
+    random = np.random.default_rng(2)
+    keys, digests = random.integers(-3, 4, 500), np.array(["%02x" % d for d in random.integers(0, 40, 500)], object)
+    split = sorted({(int(k), d) for k, d in zip(keys[:30], digests[:30])} | {(9, "aa"), (9, "ab")})
+    got = warc.shards_of(keys, digests, split).tolist()
+    assert got == [sum(s <= (k, d) for s in split) for k, d in zip(keys.tolist(), digests)]
+    assert warc.shards_of(keys, digests, []).tolist() == [0] * 500
+
+
 def test_netpbm_and_bmp():
     image = np.arange(5 * 7 * 3, dtype=np.uint8).reshape(5, 7, 3)
     assert (media.decode(b"P6 # note\n7 5\n255\n" + image.tobytes()) == image).all()

@@ -1,7 +1,8 @@
 """A deterministic sharded WARC writer, and its reader.
 
-Records are range-sorted by key: splitters come from a sample chosen by a hash of the key, so the same table
-gives the same shards in any run.  A shard rolls to a new file once the compressed size is reached.  Headers,
+Records are range-sorted by key and payload digest, so that many payloads under one key, or under none, are dealt
+over shards too: splitters come from a sample chosen by a hash of both, so the same table gives the same shards
+in any run.  A shard rolls to a new file once the compressed size is reached.  Headers,
 record ids and digests are derived from the content alone.  Files are written under temporary names and then
 renamed; the manifest of files is a table that is renamed last, and readers open only what it lists.  A task
 that runs twice writes the same bytes.
@@ -35,7 +36,9 @@ from veilspark.llm.store import cut, shared_dir
 
 DATE = "2020-01-01T00:00:00Z"  # given, not taken from the clock, so that files are reproducible
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc:record")
-SAMPLE = 20_000  # keys sampled for the splitters, about
+SAMPLE = 20_000  # keys and digests sampled for the splitters, about, or
+PER_SHARD = 8  # so many for each shard, if that is more
+NO_KEY = -(1 << 63)  # stands for a null key, which sorts first
 MANIFEST = "file string, shard int, seq int, n_records bigint, n_bytes bigint, sha256 string"
 
 
@@ -122,20 +125,31 @@ def _writer(uri: str, roll_bytes: int):
     return run
 
 
-def _splitters(narrow: DataFrame, shard_bytes: int) -> list[int]:
-    """Keys that begin a shard, from a sample of bounded size that depends on the keys alone."""
+def _splitters(narrow: DataFrame, shard_bytes: int) -> list[tuple[int, str]]:
+    """Keys and digests that begin a shard, from a sample in proportion to the shards that depends on both alone."""
     total = narrow.agg(F.count("*").alias("n"), F.sum("size").alias("b")).first()
     shards = math.ceil((total["b"] or 0) / shard_bytes)
     if shards < 2:
         return []
-    every = max(1, total["n"] // SAMPLE)
-    sample = narrow.filter(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).filter("key is not null")
-    rows = sample.groupBy("key").agg(F.sum("size").alias("b")).orderBy("key").collect()
+    every = max(1, total["n"] // max(SAMPLE, PER_SHARD * shards))
+    sample = narrow.filter(F.pmod(F.xxhash64("key", "digest"), F.lit(every)) == 0)
+    rows = sample.groupBy(F.coalesce("key", F.lit(NO_KEY)).alias("key"), "digest").agg(F.sum("size").alias("b")).orderBy("key", "digest").collect()
     if not rows:
         return []
     ends = np.cumsum([r["b"] + 1 for r in rows])
     at = np.searchsorted(ends, ends[-1] * np.arange(1, shards) / shards)
-    return sorted({rows[i]["key"] for i in at})
+    return sorted({(rows[i]["key"], rows[i]["digest"]) for i in at})
+
+
+def shards_of(keys: np.ndarray, digests: np.ndarray, split: list[tuple[int, str]]) -> np.ndarray:
+    """How many of the splitters are at or before each key and digest."""
+    by_key, by_digest = np.array([k for k, _ in split], np.int64), np.array([d for _, d in split], object)
+    shard, end = np.searchsorted(by_key, keys, side="left"), np.searchsorted(by_key, keys, side="right")
+    for key in np.unique(keys[shard < end]):  # the keys inside which a shard begins
+        here = np.flatnonzero(keys == key)
+        among = by_digest[shard[here[0]] : end[here[0]]]
+        shard[here] += np.searchsorted(among, digests[here], side="right")
+    return shard.astype(np.int32)
 
 
 def write_warc(
@@ -147,11 +161,11 @@ def write_warc(
     p = pages.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     p = p.withColumn("digest", F.sha1("payload"))
     narrow = cut(p.select("key", "digest", F.octet_length("payload").alias("size")), "payloads")
-    split = np.array(_splitters(narrow, shard_bytes), np.int64)
+    split = _splitters(narrow, shard_bytes)
 
     @F.pandas_udf("int")
-    def shard_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(split, keys.fillna(np.iinfo(np.int64).min).to_numpy(np.int64), side="right").astype(np.int32))
+    def shard_of(keys: pd.Series, digests: pd.Series) -> pd.Series:
+        return pd.Series(shards_of(keys.to_numpy(np.int64), digests.to_numpy(object), split))
 
     copies = narrow.filter(F.col("size") >= revisit_bytes).groupBy("digest").agg(F.max("key").alias("leader"), F.count("*").alias("copies"))
     copies = copies.filter("copies > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -159,7 +173,7 @@ def write_warc(
     # Payloads are shuffled once; what is known of their copies goes to the same place as rows that sort just before them.
     none = F.lit(None).cast("string")
     rows = p.select("key", "digest", "url", "payload", F.lit(None).cast("bigint").alias("leader"))
-    rows = rows.union(marks.select("key", "digest", none, none, "leader")).select(shard_of("key").alias("shard"), "*")
+    rows = rows.union(marks.select("key", "digest", none, none, "leader")).select(shard_of(F.coalesce("key", F.lit(NO_KEY)), "digest").alias("shard"), "*")
     dealt = rows.repartitionById(len(split) + 1, F.col("shard"))
     dealt = dealt.sortWithinPartitions("shard", "key", "digest", F.col("payload").isNotNull(), "url")
     done = dealt.mapInArrow(_writer(uri + "/records", roll_bytes), MANIFEST)
