@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import chat, lm, media, mixing, neardup, packing, quality, suffixes, urls, warc
+from veilspark.llm import chat, interactions, lm, media, mixing, neardup, packing, pieces, quality, suffixes, urls, warc
 
 RULES = (
     ("block", "com", "/en/"),
@@ -29,6 +29,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are taken as outcomes of the pages with the same number: bad is low quality or toxic."""
     labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
@@ -79,8 +85,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(*columns)
 
 
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return interactions.audit(documents, _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces_path()
+    return pieces.digests(pieces.decode(pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text"), model))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_url_filter, op2_suffix_dedup, op3_warc, op4_lm_scoring, op5_near_dedup, op6_chat_format, op7_media_columns, op8_packing, op9_mixing, op10_quality_rules)
+    ops = (op1_url_filter, op2_suffix_dedup, op3_warc, op4_lm_scoring, op5_near_dedup, op6_chat_format, op7_media_columns, op8_packing, op9_mixing, op10_quality_rules, op12_filter_interactions, op13_pieces)
     return {f.__name__: f for f in ops}
 
 
@@ -140,6 +156,36 @@ select page_id, strlen(html)::bigint as payload_bytes,
 from g
 """
 
+OP12_SQL = r"""
+with k as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels where doc_id is not null group by doc_id),
+d as (
+  select d.doc_id, coalesce(d.source, '') as part, coalesce(d.text, '') as text, coalesce(k.good, 0) as good, coalesce(k.toxic, 0) as toxic,
+    list_filter(string_split_regex(coalesce(d.text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words
+  from documents d left join k on k.doc_id = d.doc_id),
+m as (
+  select part, good, toxic,
+    (len(words) < 50)::int + 2 * (100 * list_unique(words) < 65 * len(words))::int
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::int + 8 * regexp_matches(text, '[#$%&*|]')::int
+    + 16 * coalesce(doc_id > min(doc_id) over (partition by text), false)::int as mask
+  from d),
+c as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from m group by part, mask),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as f, unnest([1, 2, 4, 8, 16]) as bit),
+o as (
+  select a.f || b.f || c.f || d.f || e.f as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+  from l a, l b, l c, l d, l e where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s as (select filter_order, bits[step] as bit, step, list_sum(bits[1:step - 1]) as before from (select *, unnest(range(1, 6)) as step from o)),
+r as (
+  select part, filter_order, step, bit, sum(n) filter (mask & (coalesce(before, 0)::int | bit) = 0) as kept,
+    sum(n) filter (mask & bit > 0 and mask & coalesce(before, 0)::int = 0) as removed, sum(n) filter (mask & bit > 0 and mask & coalesce(before, 0)::int > 0) as redundant,
+    sum(n) filter (mask = bit) as unique_fails, sum(good) filter (mask & bit > 0 and mask & coalesce(before, 0)::int = 0) as good_lost,
+    sum(toxic) filter (mask & bit > 0 and mask & coalesce(before, 0)::int = 0) as toxic_lost
+  from c, s group by part, filter_order, step, bit)
+select part, filter_order, step::int as step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant,
+  coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+  (sum(coalesce(removed, 0)) over (partition by part, bit))::bigint as shapley
+from r
+"""
+
 
 def _concentration(name: str, children: str, parent: str) -> str:
     return f"""
@@ -180,4 +226,4 @@ select page_id, host, path, rule, coalesce(by_rule, by_host) as verdict from j
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _op1_sql(), "op3_warc": OP3_SQL, "op6_chat_format": OP6_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op1_url_filter": _op1_sql(), "op3_warc": OP3_SQL, "op6_chat_format": OP6_SQL, "op10_quality_rules": OP10_SQL, "op12_filter_interactions": OP12_SQL}
