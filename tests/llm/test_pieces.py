@@ -67,7 +67,9 @@ ROWS = [(1, "hello world"), (2, None), (3, ""), (3, "hello world"), (None, "  tw
 
 def test_round_trip_with_odd_rows(spark, model):
     docs = spark.createDataFrame([(i, t, 0, "x") for i, t in ROWS], "doc_id bigint, text string, ids int, decoded string").repartition(3)
+    at_once = pieces.encode(docs, pieces_path(), carry=("doc_id", "text"), decoded=True)
     out = pieces.decode(pieces.encode(docs, pieces_path()), pieces_path())
+    assert sorted(map(str, at_once.collect())) == sorted(map(str, out.collect()))
     assert out.columns == ["doc_id", "text", "ids", "decoded"]
     got = sorted(((r.doc_id or -1, r.text or "", list(r.ids), r.decoded) for r in out.collect()))
     want = sorted((i or -1, t or "", ids := model.library.encode(t or "", add_eos=True), model.library.decode(ids)) for i, t in ROWS)

@@ -18,20 +18,21 @@ place, so nothing is shuffled and a lost executor costs its own rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-REMEMBERED = 250_000  # parts a generation holds
+REMEMBERED = 120_000  # parts a generation holds
 SHORT = 48  # characters of a part that is remembered
-_PAIRS = 1 << 19  # neighbours whose compatibility is remembered
-_BATCH = 4 << 20  # characters a decoding call is given
+_PAIRS = 1 << 18  # neighbours whose compatibility is remembered
+_BATCH = 1 << 20  # characters of texts, or ids, that are worked on at a time
 
 
 class Model:
@@ -156,23 +157,46 @@ def memory(path: str) -> Remembered:
     return Remembered(loaded(path))
 
 
-def _added(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
+def _ranges(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts or lists have about ``_BATCH`` bytes or ids in all, so that large batches are worked off in parts."""
+    sizes = (pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column)).fill_null(0)
+    start = total = 0
+    for n, size in enumerate(sizes.to_pylist(), 1):
+        total += size
+        if total >= _BATCH or n == len(sizes):
+            yield start, n
+            start, total = n, 0
 
 
-def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """Add ``ids``: the whole text's ids, the end id last. ``model`` is the path of the model file on every worker."""
+def _lists(rows: list[bytes]) -> pa.ListArray:
+    offsets = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(rows))]))
+
+
+def _texts(library, lists: list[list[int]]) -> pa.Array:
+    return pa.array(library.decode(lists, num_threads=1) if lists else [], pa.string())
+
+
+def encode(docs: DataFrame, model: str, text: str = "text", carry: Sequence[str] | None = None, decoded: bool = False) -> DataFrame:
+    """Add ``ids``: the whole text's ids, the end id last; and ``decoded``, their text, if it is asked for.  ``model`` is the
+    path of the model file on every worker; ``carry`` names the columns that go along (else all)."""
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.StringType())] if decoded else [])]
+    names = [c for c in (docs.columns if carry is None else carry) if c not in {f.name for f in added}]
+    out = T.StructType([*(docs.schema[c] for c in names), *added])
+    given = docs.select(*names, docs[text].alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = memory(model)
         for batch in batches:
-            rows = [known.encode(t or "") for t in batch.column(text).to_pylist()]
-            offsets = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
-            values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(rows))])
-            yield _added(batch, "ids", pa.ListArray.from_arrays(pa.array(offsets), values))
+            for start, end in _ranges(batch.column("__text")):
+                part = batch.slice(start, end - start)
+                rows = [known.encode(t or "") for t in part.column("__text").to_pylist()]
+                columns = [*(part.column(c) for c in names), _lists(rows)]
+                if decoded:
+                    columns.append(_texts(known.model.library, [np.frombuffer(r, np.int32).tolist() for r in rows]))
+                yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
-    rest = docs.drop("ids")
-    return rest.mapInArrow(run, T.StructType([*rest.schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return given.mapInArrow(run, out)
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
@@ -181,15 +205,10 @@ def decode(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = loaded(model).library
         for batch in batches:
-            out, some, size = [], [], 0
-            for each in batch.column(ids):
-                some.append(each.values.to_numpy(zero_copy_only=False).tolist() if each.is_valid else [])
-                size += len(some[-1])
-                if size >= _BATCH:
-                    out += library.decode(some, num_threads=1)
-                    some, size = [], 0
-            out += library.decode(some, num_threads=1) if some else []
-            yield _added(batch, "decoded", pa.array(out, pa.string()))
+            for start, end in _ranges(batch.column(ids)):
+                part = batch.slice(start, end - start)
+                texts = _texts(library, [x or [] for x in part.column(ids).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, "decoded"])
 
     rest = rows.drop("decoded")
     return rest.mapInArrow(run, T.StructType([*rest.schema, T.StructField("decoded", T.StringType())]))

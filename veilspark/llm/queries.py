@@ -91,8 +91,7 @@ def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = pieces_path()
-    return pieces.digests(pieces.decode(pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text"), model))
+    return pieces.digests(pieces.encode(_table(spark, sf_dir, "documents"), pieces_path(), carry=("doc_id",), decoded=True))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
