@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import chat, interactions, lm, media, mixing, neardup, packing, pieces, quality, suffixes, urls, warc
+from veilspark.llm import chat, interactions, lm, media, mixing, neardup, packing, pieces, prefixes, quality, suffixes, urls, warc
 
 RULES = (
     ("block", "com", "/en/"),
@@ -85,6 +85,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(*columns)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return interactions.audit(documents, _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
@@ -95,7 +99,7 @@ def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_url_filter, op2_suffix_dedup, op3_warc, op4_lm_scoring, op5_near_dedup, op6_chat_format, op7_media_columns, op8_packing, op9_mixing, op10_quality_rules, op12_filter_interactions, op13_pieces)
+    ops = (op1_url_filter, op2_suffix_dedup, op3_warc, op4_lm_scoring, op5_near_dedup, op6_chat_format, op7_media_columns, op8_packing, op9_mixing, op10_quality_rules, op11_prefix_trie, op12_filter_interactions, op13_pieces)
     return {f.__name__: f for f in ops}
 
 
@@ -155,6 +159,31 @@ select page_id, strlen(html)::bigint as payload_bytes,
 from g
 """
 
+OP11_SQL = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+i as (
+  select conv_id, turn, substr(sha256(strlen(role) || ':' || role || text), 1, 32) as id, len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) as words from t),
+own as (select conv_id, list({'id': id, 'words': words} order by turn nulls first, id) as turns from i group by conv_id),
+h as (
+  select conv_id, turns, xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(conv_id::varchar, ''), lambda c: [ord(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, b: case when b >= 0 then xor(a, b) else xor(a >> 1, 3988292384 * (a & 1)) end), 4294967295) % 4 as h
+  from own),
+r as (
+  select h.conv_id, list_concat(coalesce(own.turns[1:h.h], []), h.turns[h.h + 1:]) as turns from h left join own on own.conv_id = h.conv_id - h.conv_id % 20),
+p as (select conv_id, turns, len(turns) as size, unnest(range(0, len(turns) + 1)) as depth from r),
+m as (select conv_id, depth, size, array_to_string(list_transform(turns[1:depth], lambda x: x.id), '') as path, coalesce(turns[depth].words, 0) as words from p),
+n as (
+  select path, depth, min(conv_id) as conv_id, count(*) as n_convs, max(words) as words, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (depth = size), '')) as ends_sha256
+  from m group by path, depth),
+c as (select substr(path, 1, 32 * (depth - 1)::int) as path, count(*) as n_children from n where depth > 0 group by 1),
+k as (select n.*, coalesce(c.n_children, 0) as n_children from n left join c using (path)),
+a as (
+  select substr(path, 1, 32 * up::int) as path, sum((n_children = 0)::int) as n_leaves, sum((n_convs - 1) * words) as saved_tokens
+  from (select *, unnest(range(0, depth + 1)) as up from k) group by 1)
+select k.conv_id, k.depth::bigint as depth, u.conv_id as parent_conv_id, k.n_convs, k.n_children, a.n_leaves::bigint as n_leaves, a.saved_tokens::bigint as saved_tokens, k.ends_sha256
+from k join a using (path) left join k u on k.depth > 0 and u.path = substr(k.path, 1, 32 * (k.depth - 1)::int)
+"""
+
 OP12_SQL = r"""
 with k as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels where doc_id is not null group by doc_id),
 d as (
@@ -225,4 +254,4 @@ select page_id, host, path, rule, coalesce(by_rule, by_host) as verdict from j
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _op1_sql(), "op3_warc": OP3_SQL, "op6_chat_format": OP6_SQL, "op10_quality_rules": OP10_SQL, "op12_filter_interactions": OP12_SQL}
+    return {"op1_url_filter": _op1_sql(), "op3_warc": OP3_SQL, "op6_chat_format": OP6_SQL, "op10_quality_rules": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_filter_interactions": OP12_SQL}
