@@ -6,9 +6,9 @@ piece that an Aho-Corasick automaton finds at a position and that is compatible
 none is, the position is marked in a bitfield as failed for good, and the piece before it gives way to a shorter
 one.  Every position is tried once, so time and memory are linear in the text, white space or not.
 
-No piece has the space mark behind another character (checked at loading), and characters that no longer piece
-holds never merge.  Texts are cut at both, and what stands between is encoded once and remembered by the worker,
-in two generations of ``REMEMBERED`` parts.  Normalisation and decoding are the library's own.
+No piece has the space mark behind another character (checked at loading), characters that no longer piece holds
+never merge, and neither do a letter and a sign that no piece has behind one.  Texts are cut at all three, and what
+stands between is encoded once and remembered by the worker, in two generations of ``REMEMBERED`` parts.  Normalisation and decoding are the library's own.
 
 Defined results: a null or empty text has the end id only; rows that repeat are encoded one by one; an empty table
 gives an empty table; columns of the input that share a name with an added one are replaced.  Rows are mapped in
@@ -18,8 +18,10 @@ place, so nothing is shuffled and a lost executor costs its own rows.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-REMEMBERED = 120_000  # parts a generation holds
+REMEMBERED = 300_000  # parts a generation holds
 SHORT = 48  # characters of a part that is remembered
+_LETTERS = "A-Za-zÀ-ɏ"
+_LETTER = re.compile(f"[{_LETTERS}]")
 _PAIRS = 1 << 18  # neighbours whose compatibility is remembered
 _BATCH = 1 << 20  # characters of texts, or ids, that are worked on at a time
 
@@ -63,7 +67,10 @@ class Model:
         self.automaton.make_automaton()
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined)
-        self.parts = re.compile(f"[{alone}]|{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" if alone else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
+        behind = {b for p in self.ids for a, b in pairwise(p) if _LETTER.match(a)}
+        signs = "".join(re.escape(c) for c in string.punctuation if c not in behind)
+        word = f"{SPACE}*+[{_LETTERS}]++(?=[{signs}])|" if signs else ""
+        self.parts = re.compile((f"[{alone}]|" if alone else "") + word + f"{SPACE}++[^{SPACE}{alone}]*+|[^{SPACE}{alone}]++").findall
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -80,40 +87,55 @@ class Model:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
     def compatible(self, before: str, piece: str) -> bool:
-        """Do the two stay as they are when they are merged again; ``before`` is empty at a text's start."""
-        key = before, piece
-        known = self.pairs.get(key)
-        if known is None:
-            known = self.merged(before + piece) == ([before, piece] if before else [piece])
-            if len(self.pairs) >= _PAIRS:
-                self.pairs.clear()
-            self.pairs[key] = known
-        return known
+        """Do the two stay as they are when they are merged again; ``before`` is empty at a text's start. ``pairs`` remembers."""
+        fits = self.merged(before + piece) == ([before, piece] if before else [piece])
+        if len(self.pairs) >= _PAIRS:
+            self.pairs.clear()
+        self.pairs[before, piece] = fits
+        return fits
 
     def ends(self, text: str, at: int) -> list[int]:
         """Where pieces that begin at a position end, the longest last. A single character always is a piece."""
         found = [last + 1 for last, size in self.automaton.iter(text, at, min(len(text), at + self.longest)) if last + 1 - size == at]
         return found if found and found[0] == at + 1 else [at + 1, *found]
 
+    def all_ends(self, text: str) -> list[list[int]]:
+        """``ends`` of every position of a short text, in one pass of the automaton."""
+        found = [[i] for i in range(1, len(text) + 1)]
+        for last, size in self.automaton.iter(text):
+            if size > 1:
+                found[last + 1 - size].append(last + 1)
+        return found
+
     def split(self, text: str) -> list[str]:
         """The pieces of a text."""
-        failed = bytearray(len(text) // 8 + 1)
-        starts, choices = [], []  # of the pieces taken; their ends that are left to try
-        at, left = 0, self.ends(text, 0) if text else []
-        while at < len(text):
-            before = text[starts[-1] : at] if starts else ""
+        n, pairs = len(text), self.pairs
+        known = self.all_ends(text) if n <= SHORT else None
+        failed = bytearray(n // 8 + 1)
+        starts, choices, pieces = [], [], []  # of the pieces taken; their ends that are left to try
+        at, before = 0, ""
+        left = (known[0] if known else self.ends(text, 0)) if n else []
+        while at < n:
             while left:
                 end = left.pop()
-                if not failed[end >> 3] >> (end & 7) & 1 and self.compatible(before, text[at:end]):
+                if failed[end >> 3] >> (end & 7) & 1:
+                    continue
+                piece = text[at:end]
+                fits = pairs.get((before, piece))
+                if fits or (fits is None and self.compatible(before, piece)):
                     starts.append(at)
                     choices.append(left)
-                    at = end
-                    left = self.ends(text, at) if at < len(text) else []
+                    pieces.append(piece)
+                    at, before = end, piece
+                    if at < n:
+                        left = known[at] if known else self.ends(text, at)
                     break
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 at, left = starts.pop(), choices.pop()
-        return [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
+                pieces.pop()
+                before = pieces[-1] if pieces else ""
+        return pieces
 
     def numbers(self, text: str) -> bytes:
         """The ids of a text's pieces as 32-bit integers; characters that are no piece go byte by byte."""
