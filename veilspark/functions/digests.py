@@ -57,4 +57,9 @@ def bare_path(path: Column) -> Column:
 
 
 def lower_keys(headers: Column) -> Column:
-    return F.transform_keys(headers, lambda k, _: F.lower(k))
+    """Names in lower case, in order; the values of one name in several spellings are joined by commas."""
+    entries = F.map_entries(headers)
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    values = lambda name: F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == name), lambda e: e["value"])
+    joined = F.map_from_arrays(names, F.transform(names, lambda n: F.array_join(values(n), ", ")))
+    return F.when(F.size(names) == F.size(headers), F.transform_keys(headers, lambda k, _: F.lower(k))).otherwise(joined)

@@ -124,7 +124,7 @@ def normalised(text: str) -> tuple[str, list[int]]:
 
 def _matches(pattern: Pattern, text: str, strict: bool) -> Iterator[re.Match]:
     """Valid matches; a rejected one is consumed or, if ``strict``, tried with earlier ends and then behind its first character."""
-    regex, at = re.compile(pattern.marked()), 0
+    regex, at = re.compile(pattern.marked(), re.ASCII), 0  # case is folded as in the plain path: ASCII letters only
     valid = lambda m: bool(m[2]) and (pattern.check is None or CHECKS[pattern.check][1](m[2]))
     while m := regex.search(text, at):
         good = valid(m)
@@ -199,9 +199,11 @@ def spans(
     return F.coalesce(arrow(F.when(~plain, t), given), F.when(plain, _native(t, sets, catalog, active)))
 
 
-def field_spans(texts: Column, sets: Sequence[str] = SETS, catalog: Catalog | None = None, detectors: Sequence[str] = (), active: Column | None = None) -> Column:
+def field_spans(
+    texts: Column, sets: Sequence[str] = SETS, catalog: Catalog | None = None, detectors: Sequence[str] = (), active: Column | None = None, strict: bool = False
+) -> Column:
     """Entities of several texts of a row (array of string): struct of ``error`` and ``spans``, an array for each text.
-    A detector that raises gives the error's name and no spans."""
+    A detector that raises gives the error's name and no spans. ``strict`` as in ``spans``."""
     catalog, sets = catalog or Catalog(), tuple(sets)
     plugged = [DETECTORS[name] for name in detectors]
 
@@ -210,7 +212,7 @@ def field_spans(texts: Column, sets: Sequence[str] = SETS, catalog: Catalog | No
         for each, g in zip(lists, given, strict=True):
             try:
                 names = ("start", "end", "type", "value")
-                found = None if each is None else [[dict(zip(names, s)) for s in py_detect(x or "", catalog, _allowed(sets, g), plugged)] for x in each]
+                found = None if each is None else [[dict(zip(names, s)) for s in py_detect(x or "", catalog, _allowed(sets, g), plugged, strict)] for x in each]
                 rows.append((None, found))
             except Exception as e:  # whatever a detector raises must not let a text through
                 rows.append((type(e).__name__, []))
@@ -219,7 +221,7 @@ def field_spans(texts: Column, sets: Sequence[str] = SETS, catalog: Catalog | No
     twin.__annotations__ = {"lists": pd.Series, "given": pd.Series, "return": pd.DataFrame}
     arrow = F.pandas_udf(twin, f"struct<error:string,spans:array<{_SPANS}>>")
     given = F.lit(None).cast("array<string>") if active is None else active
-    if detectors:
+    if detectors or strict:
         return arrow(texts, given)
     plain = F.forall(texts, lambda t: _plain(F.coalesce(t, F.lit(""))))
     native = F.transform(texts, lambda t: _native(F.coalesce(t, F.lit("")), sets, catalog, active))

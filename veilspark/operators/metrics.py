@@ -53,3 +53,41 @@ def shares(counts: DataFrame, name: str) -> DataFrame:
 def text_lines(counts: DataFrame, metric: str, label: str) -> DataFrame:
     """One exposition line per row."""
     return counts.select(F.concat(F.lit(f'{metric}{{{label}="'), F.col(label), F.lit('"} '), F.col("n").cast("string")).alias("line"))
+
+
+#: Families of the text form in their order: name, label, what a row adds; counters without a label are there when nothing was counted.
+TOTALS = ("requests_total", "redacted_requests_total", "redacted_entities_total", "bypass_total", "fail_closed_total", "upstream_errors_total")
+LABELLED = ("requests_by_mode", "redacted_by_type", "redacted_by_set", "bypass_by_reason", "avg_latency_ms")
+LABELS = {"requests_by_mode": "mode", "redacted_by_type": "type", "redacted_by_set": "set", "bypass_by_reason": "reason", "avg_latency_ms": "src"}
+
+
+def exposition(outcomes: DataFrame, prefix: str = "redact") -> DataFrame:
+    """The whole text form in one pass over the outcomes: ``place`` (order of lines) and ``line``.
+
+    Every row adds to its families; what it adds is summed before the shuffle.  A label's backslashes, quotes and line ends are
+    escaped."""
+    one, total = F.lit(1).cast("double"), F.coalesce("total", F.lit(0)).cast("double")
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    item = lambda family, label, value: F.struct(F.lit(family).alias("family"), label.cast("string").alias("label"), value.alias("x"))
+    none = F.lit(None)
+    values = (one, flag(F.col("total") > 0), total, flag(F.col("bypass_reason").isNotNull()), flag(F.col("failed_closed")), flag(F.col("upstream_error")))
+    plain = F.array(*[item(n, none, v) for n, v in zip(TOTALS, values, strict=True)])
+    single = F.array(item("requests_by_mode", F.col("mode"), one), item("bypass_by_reason", F.col("bypass_reason"), one), item("avg_latency_ms", F.col("timing_src"), F.col("ms").cast("double")))
+    by_type = F.transform(F.map_entries("entity_counts"), lambda e: item("redacted_by_type", e["key"], e["value"].cast("double")))
+    by_set = F.transform("active_sets", lambda s: item("redacted_by_set", s, total))
+    labelled = F.filter(F.flatten(F.filter(F.array(single, by_type, by_set), lambda a: a.isNotNull())), lambda i: i["label"].isNotNull())
+    rows = outcomes.select(F.explode(F.concat(plain, labelled)).alias("i")).select("i.*")
+    spark = outcomes.sparkSession
+    rows = rows.unionByName(spark.createDataFrame([(n, None, 0.0) for n in TOTALS], "family string, label string, x double"))
+    sums = rows.groupBy("family", "label").agg(F.sum("x").alias("x"), F.avg("x").alias("mean"))
+    order = F.array_position(F.array(*map(F.lit, TOTALS + LABELLED)), F.col("family")).cast("int")
+    names = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
+    escaped = F.regexp_replace(F.regexp_replace("label", r'([\\\\"])', r"\\$1"), "\n", r"\\n")
+    shown = F.when(F.col("family") == "avg_latency_ms", F.round("mean", 1).cast("string")).otherwise(F.col("x").cast("bigint").cast("string"))
+    label = F.when(F.col("label").isNull(), F.lit("")).otherwise(F.concat(F.lit("{"), names[F.col("family")], F.lit('="'), escaped, F.lit('"}')))
+    return sums.select(F.struct(order.alias("family"), F.coalesce("label", F.lit("")).alias("label")).alias("place"), F.concat(F.lit(prefix + "_"), F.col("family"), label, F.lit(" "), shown).alias("line"))
+
+
+def document(outcomes: DataFrame, prefix: str = "redact") -> str:
+    """The text as a scraper reads it: one line for each family and label."""
+    return "".join(r.line + "\n" for r in exposition(outcomes, prefix).orderBy("place").collect())

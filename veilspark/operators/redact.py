@@ -94,10 +94,12 @@ def strip(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
 
 
 def pseudonymise(df: DataFrame, secret: str, text: str = "text", spans: str = "spans") -> DataFrame:
-    """Add ``redacted``: the same value gets the same token everywhere. A short secret is refused."""
+    """Add ``redacted``: the same value gets the same token everywhere, with the type it was minted with first in its row.
+    A short secret is refused."""
     if len(secret) < 16:
         raise ValueError("consistent pseudonyms need a secret of at least 16 characters")
-    return df.withColumn("redacted", replaced(F.col(text), F.col(spans), lambda s: pseudonym_token(s["type"], s["value"], secret)))
+    names = token_map(F.reverse(F.col(spans)), lambda kind, value, _: pseudonym_token(kind, value, secret))
+    return df.withColumn("redacted", replaced_by(F.col(text), F.col(spans), names))
 
 
 def tokenise(df: DataFrame, request: str, run_secret: str, text: str = "text", spans: str = "spans") -> DataFrame:
@@ -130,6 +132,18 @@ def resolve_partial(tail: Column, tokens: Column) -> Column:
     return F.when(F.startswith(tail, F.lit("<")) & (F.size(fits) == 1), F.element_at(tokens, F.get(fits, F.lit(0))))
 
 
+def reply_key(parts: Column, run_secret: str) -> Column:
+    """Tells requests apart by what they hold, without giving it away: 32 hex digits of an HMAC over the parts (array of string)."""
+    return F.substring(hmac_sha256(run_secret, F.to_json(F.transform(parts, lambda p: F.coalesce(F.sha2(p, 256), F.lit(""))))), 1, 32)
+
+
+def one_vault(vaults: DataFrame, key: str) -> DataFrame:
+    """``key`` and ``tokens``, one row for each key; no tokens where a key has different ones, or is null."""
+    text = F.to_json("tokens")
+    each = vaults.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(text).alias("a"), F.max(text).alias("b"))
+    return each.select(key, F.from_json(F.when(F.col("a") == F.col("b"), F.col("a")), "map<string,string>").alias("tokens"))
+
+
 def flipped(m: Column) -> Column:
     return F.map_from_entries(F.transform(F.map_entries(m), lambda e: F.struct(e["value"], e["key"])))
 

@@ -107,8 +107,8 @@ def _filled(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(template.split("$"))])
 
 
-def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a request: nested bodies in two dialects, every third one to be stripped, every tenth without system text."""
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a request: nested bodies in two dialects, every third one to be stripped, two of ten, one in each dialect, without system text."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = d.select("doc_id", *[F.expr(x).alias(n) for n, x in sql.FIELDS.items()])
     quoted = {n: F.regexp_extract(F.to_json(F.array(n)), r"(?s)^\[(.*)\]$", 1) for n in sql.FIELDS} | {n: F.col(n) for n in ("card", "plain")}
@@ -121,12 +121,12 @@ def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("request_id"), F.lit(0).cast("long").alias("ts"), path.alias("path"), headers.alias("headers"), F.when(even, openai).otherwise(anthropic).alias("body"), F.lit("m").alias("model"))
 
 
-def _redacted_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def redacted_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     tenants = table(spark, sf_dir, "documents").select((F.col("doc_id") % 10).alias("n")).distinct()
-    values = {"tenant": F.concat(F.lit("t"), F.col("n").cast("string")), "redact_system": F.col("n") != 9}
+    values = {"tenant": F.concat(F.lit("t"), F.col("n").cast("string")), "redact_system": F.col("n") < 8}
     kinds = {f.split()[0]: f.split()[1] for f in io.POLICY.split(", ")}
     policies = tenants.select(*[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])
-    return redaction.redact_rows(requests.shape(_bodies(spark, sf_dir), policies), RUN)
+    return redaction.redact_rows(requests.shape(bodies(spark, sf_dir), policies), RUN)
 
 
 def _content(body: str) -> Column:
@@ -136,7 +136,7 @@ def _content(body: str) -> Column:
 
 def body_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every field of the redacted bodies, one row each."""
-    out = _redacted_bodies(spark, sf_dir)
+    out = redacted_bodies(spark, sf_dir)
     get = lambda path: F.get_json_object("body_out", path)
     arguments = get("$.messages[2].tool_calls[0].function.arguments")
     fields = {
@@ -152,7 +152,7 @@ def body_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def body_restoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redacted bodies turned into replies that repeat their document, and restored; stripped ones stay as they are."""
-    made = _redacted_bodies(spark, sf_dir).withColumn("content", _content("body_out"))
+    made = redacted_bodies(spark, sf_dir).withColumn("content", _content("body_out"))
     openai = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("content")).alias("message"))).alias("choices")))
     anthropic = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"))).alias("content")))
     given = made.select("request_id", "provider", F.when(F.col("provider") == "openai", openai).otherwise(anthropic).alias("body"), "tokens", "content")
@@ -161,8 +161,8 @@ def body_restoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("request_id", F.sha2("content", 256).alias("redacted_sha256"), F.sha2(text, 256).alias("text_sha256"))
 
 
-def streamed_restoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Redacted documents as replies in pieces of 97 characters in two dialects, restored frame by frame and put together.
+def streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Redacted documents as replies in pieces of 97 characters in two dialects, and their vaults.
     One dialect has a block of thinking, which goes through as it is, before the text, and ends its block."""
     d = redact.tokenise(documents(spark, sf_dir), "doc_id", RUN).withColumn("request_id", F.col("doc_id").cast("string"))
     d = d.withColumn("redacted", F.coalesce("redacted", F.lit("")))
@@ -175,7 +175,11 @@ def streamed_restoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     anthropic = F.concat(F.array(F.lit("event: ping\n\n"), block(0, "thinking", F.substring("redacted", 1, 200))), F.transform(pieces, lambda x: block(1, "text", x)), F.array(stop))
     even = F.col("doc_id") % 2 == 0
     frames = d.select("request_id", F.when(even, F.lit("openai")).otherwise(F.lit("anthropic")).alias("provider"), F.posexplode(F.when(even, F.concat(openai, F.array(F.lit("data: [DONE]\n\n")))).otherwise(anthropic)).alias("seq", "frame"))
-    out = replies.restore_frames(frames.withColumn("seq", F.col("seq").cast("long")), d.select("request_id", redact.flipped(F.col("vault")).alias("tokens")))
+    return frames.withColumn("seq", F.col("seq").cast("long")), d.select("request_id", redact.flipped(F.col("vault")).alias("tokens"))
+
+
+def joined_text(out: DataFrame) -> DataFrame:
+    """Hashes of restored replies' text and thinking, put together."""
     data = io.frame_data("frame")
     text = F.coalesce(F.get_json_object(data, "$.choices[0].delta.content"), F.get_json_object(data, "$.delta.text"), F.lit(""))
     parts = out.select("request_id", F.struct("seq", "part", text.alias("text"), F.coalesce(F.get_json_object(data, "$.delta.thinking"), F.lit("")).alias("thought")).alias("p"))
@@ -184,6 +188,11 @@ def streamed_restoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("request_id", joined("text").alias("text_sha256"), joined("thought").alias("thought_sha256"))
 
 
+def streamed_restoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The example streams, restored frame by frame and put together."""
+    return joined_text(replies.restore_frames(*streams(spark, sf_dir)))
+
+
 def entity_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts made from the orders in which every type of the catalog occurs, some with zero-width and full-width characters."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(sql.order_text("sha2({v}, 256)")).alias("text"))
@@ -246,7 +255,7 @@ def policy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.merge_policy(_policies(spark, sf_dir), patch).select("tenant", "mode", "fail_mode", "consistent_pseudonyms")
 
 
-def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     kind = F.col("event_type")
     return e.select(
@@ -259,7 +268,7 @@ def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _metric(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: f(_outcomes(spark, sf_dir))
+    return lambda spark, sf_dir: f(outcomes(spark, sf_dir))
 
 
 def _audit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +297,7 @@ def audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.shares(metrics.by_mode(_outcomes(spark, sf_dir)), "mode").withColumn("share", F.round("share", 6))
+    return metrics.shares(metrics.by_mode(outcomes(spark, sf_dir)), "mode").withColumn("share", F.round("share", 6))
 
 
 def reply_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,8 +317,12 @@ def queries() -> dict[str, Query]:
         body_redaction, body_restoring, streamed_restoring, check_digits, request_shaping, policy_merge, audit_first_links, audit_chain, audit_verify, entity_types, metrics_shares, reply_frames, event_windows,
     )
     numbers = {"metrics_" + f.__name__: _metric(f) for f in (metrics.totals, metrics.by_mode, metrics.dominant_mode, metrics.by_type, metrics.by_set, metrics.bypasses, metrics.latency)}
-    return {f.__name__: f for f in plain} | numbers
+    from veilspark.plans import flows
+
+    return {f.__name__: f for f in (*plain, *flows.QUERIES)} | numbers
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.oracles(SECRET, RUN)
+    from veilspark.plans import flows
+
+    return sql.oracles(SECRET, RUN) | flows.oracle_sql(RUN)

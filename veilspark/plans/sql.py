@@ -64,13 +64,13 @@ def spans(source: str, sets: tuple[str, ...] | None = None, prefix: str = "") ->
 DOCS = "docs as (select doc_id as id, coalesce(text, '') as text, text as raw from documents)"
 
 
-def _redacted(token: str) -> str:
+def redacted(token: str, source: str = DOCS, key: str = "doc_id") -> str:
     return f"""
-with {DOCS}, {spans("docs")},
+with {source}, {spans("docs")},
 kinds as (select id, v, arg_max(t, s) as t from spans group by id, v),
 toks as (select spans.id, s, e, {token} as tok, coalesce(lag(e) over (partition by spans.id order by s), 0) as prev from spans join kinds on kinds.id = spans.id and kinds.v = spans.v),
 parts as (select t.id, string_agg(substr(text, prev + 1, s - prev) || tok, '' order by s) as head, max(e) as last from toks t join docs on docs.id = t.id group by t.id)
-select docs.id as doc_id, case when parts.id is null then raw else head || substr(text, last + 1) end as redacted from docs left join parts on parts.id = docs.id
+select docs.id as {key}, case when parts.id is null then raw else head || substr(text, last + 1) end as redacted from docs left join parts on parts.id = docs.id
 """
 
 
@@ -104,7 +104,7 @@ select request_id, tenant, bare, provider, case when event_type = 'view' then 's
   case when event_type = 'signup' then 'unknown sets: zzz' when provider is not null and model is null then 'missing model' end as rejected
 from r
 """
-_OUTCOMES = """
+OUTCOMES = """
 with outcomes as (
   select case event_type when 'view' then 'strip' when 'error' then 'off' else 'reversible' end as mode, k % 3 as email, k % 2 as phone, k % 3 + k % 2 as total,
     case when event_type = 'click' then ['pii', 'pci'] else ['phi'] end as sets, case when event_type = 'error' then 'mode-off' when user_id % 7 = 0 then 'path' end as bypass_reason,
@@ -130,10 +130,10 @@ FIELDS = {
 }
 #: Where a field stands in the order of fields, in either dialect; a field that a dialect lacks has no place in it.
 PLACES = {"phone": (1, 2), "address": (2, 3), "system": (3, 1), "content": (4, 4), "name": (5, None), "card": (6, 6), "plain": (7, 7), "mail": (8, 8)}
-_D = "d as (select doc_id, doc_id % 2 = 0 as even, doc_id % 10 <> 9 as sys, case when doc_id % 3 = 0 then 'strip' else 'reversible' end as mode, {fields} from (select doc_id, coalesce(text, '') as text from documents))"
+_D = "d as (select doc_id, doc_id % 2 = 0 as even, doc_id % 10 < 8 as sys, case when doc_id % 3 = 0 then 'strip' else 'reversible' end as mode, {fields} from (select doc_id, coalesce(text, '') as text from documents))"
 
 
-def _fields() -> str:
+def fields() -> str:
     """CTEs d and f (doc_id, slot, field, numeric, text)."""
     rows = []
     for field, (even, odd) in PLACES.items():
@@ -143,7 +143,7 @@ def _fields() -> str:
     return _D.format(fields=", ".join(f"{x} as {n}" for n, x in FIELDS.items())) + ", f as (" + " union all ".join(rows) + ")"
 
 
-def _requests_redacted(run_secret: str) -> str:
+def requests_redacted(run_secret: str) -> str:
     """CTEs over d (doc_id, mode) and f: sp, one row per entity; red (doc_id, field, raw, text), every field with tokens."""
     return f"""
 src as (select doc_id * 16 + slot as id, text from f), {spans("src")},
@@ -184,7 +184,7 @@ def order_text(hash_: str) -> str:
 
 
 def oracles(secret: str, run_secret: str) -> dict[str, str]:
-    bodies = f"with {_fields()}, {_requests_redacted(run_secret)}"
+    bodies = f"with {fields()}, {requests_redacted(run_secret)}"
     pages = "pages_ as (select page_id as id, coalesce(html, '') as text from pages)"
     gated = {n: spans("docs", (n,), f"{n}_") for n in ("pii", "phi", "pci", "secrets")}
     number = "lpad(o_orderkey::varchar, {n}, '0')"
@@ -195,8 +195,8 @@ def oracles(secret: str, run_secret: str) -> dict[str, str]:
         "entity_tally": f"with {DOCS}, {spans('docs')} select t as type, count(*) as n from spans group by t",
         "candidate_counts": f"with {DOCS}, {spans('docs')} select id as doc_id, ord as pattern, type, count(*) as n from cand group by all",
         "tally_by_set": f"with {DOCS}, {', '.join(gated.values())} " + " union all ".join(f"select '{n}' as set_name, t as type, count(*) as n from {n}_spans group by t" for n in gated),
-        "strip_redaction": _redacted("'[' || kinds.t || ']'"),
-        "pseudonym_redaction": _redacted(f"'<' || spans.t || '_' || upper(substr({hmac(secret, 'spans.v')}, 1, 8)) || '>'"),
+        "strip_redaction": redacted("'[' || kinds.t || ']'"),
+        "pseudonym_redaction": redacted(f"'<' || kinds.t || '_' || upper(substr({hmac(secret, 'spans.v')}, 1, 8)) || '>'"),
         "pseudonym_collisions": f"""with {DOCS}, {spans("docs")}, each as (select distinct t, v from spans)
             select t as type, '<' || t || '_' || upper(substr({hmac(secret, "v")}, 1, 8)) || '>' as token, count(*) as values from each group by 1, 2 having count(*) > 1""",
         "minted_tokens": f"""with {DOCS}, {spans("docs")},
@@ -212,7 +212,7 @@ def oracles(secret: str, run_secret: str) -> dict[str, str]:
         "body_restoring": f"""{bodies} select doc_id::varchar as request_id, sha256(text) as redacted_sha256, sha256(case when mode = 'strip' then text else raw end) as text_sha256
             from red join d using (doc_id) where field = 'content'""",
         "streamed_restoring": f"""with d as (select doc_id, 'reversible' as mode from documents), f as (select doc_id, 1 as slot, 'content' as field, false as numeric, coalesce(text, '') as text from documents),
-            {_requests_redacted(run_secret)}
+            {requests_redacted(run_secret)}
             select doc_id::varchar as request_id, sha256(raw) as text_sha256, sha256(case when doc_id % 2 = 0 then '' else substr(text, 1, 200) end) as thought_sha256 from red""",
         "entity_types": f"""with o as (select o_orderkey, {order_text("sha256({v})")} as raw from orders),
             p as (select *, nullif(strpos(raw, '{_ZERO_WIDTH}'), 0) - 1 as gap, replace(translate(raw, '{_WIDE}', '0123456789'), '{_ZERO_WIDTH}', '') as text from o),
@@ -224,7 +224,7 @@ def oracles(secret: str, run_secret: str) -> dict[str, str]:
               union all select o.o_custkey, o.k, o.o_orderkey, c.hash, sha256(c.hash || {_AUDIT_JSON.replace('"prevHash":"0"', """"prevHash":"' || c.hash || '\"""").replace("o_orderkey", "o.o_orderkey").replace("o_custkey", "o.o_custkey").replace("o_orderpriority", "o.o_orderpriority")})
                 from c join o on o.o_custkey = c.o_custkey and o.k = c.k + 1)
             select 't' || o_custkey as tenant, o_orderkey as seq, prev as prev_hash, hash from c""",
-        "metrics_shares": _OUTCOMES + "select mode, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from outcomes group by mode",
+        "metrics_shares": OUTCOMES + "select mode, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from outcomes group by mode",
         "check_digits": f"""select o_orderkey, {check("luhn", f"('4000-0' || {number.format(n=11)})")} as luhn,
             {check("iban", f"('DE' || lpad((o_orderkey % 97)::varchar, 2, '0') || {number.format(n=18)})")} as iban, {check("aba_routing", nine)} as aba,
             {check("ssn", f"(substr({nine}, 7, 3) || '-' || substr({nine}, 5, 2) || '-' || substr({nine}, 6, 4))")} as ssn,
@@ -241,12 +241,12 @@ def oracles(secret: str, run_secret: str) -> dict[str, str]:
               unnest([role, trim(replace(text, chr(10), ' ')), '', '[DONE]']) as data from conversations)
             select conv_id, turn, seq::bigint as seq, length(frame)::bigint as n_chars, data from f""",
         "event_windows": "select time_bucket(interval '5 minutes', ts) as start, event_type, count(*) as n from events group by all",
-        "metrics_totals": _OUTCOMES + """select count(*) as requests, count_if(total > 0)::bigint as redacted_requests, sum(total)::bigint as redacted_entities, count_if(failed_closed)::bigint as fail_closed,
+        "metrics_totals": OUTCOMES + """select count(*) as requests, count_if(total > 0)::bigint as redacted_requests, sum(total)::bigint as redacted_entities, count_if(failed_closed)::bigint as fail_closed,
             count_if(upstream_error)::bigint as upstream_errors, count(bypass_reason) as bypassed from outcomes""",
-        "metrics_by_mode": _OUTCOMES + "select mode, count(*) as n from outcomes group by mode",
-        "metrics_dominant_mode": _OUTCOMES + "select mode from outcomes group by mode order by count(*) desc, mode desc limit 1",
-        "metrics_by_type": _OUTCOMES + "select 'EMAIL' as type, sum(email)::bigint as n from outcomes union all select 'PHONE', sum(phone)::bigint from outcomes",
-        "metrics_by_set": _OUTCOMES + "select set, sum(total)::bigint as n from (select unnest(sets) as set, total from outcomes) group by set",
-        "metrics_bypasses": _OUTCOMES + "select bypass_reason as reason, count(*) as n from outcomes where bypass_reason is not null group by bypass_reason",
-        "metrics_latency": _OUTCOMES + "select timing_src as source, count(*) as n, round(avg(ms), 1) as avg_ms from outcomes where timing_src is not null group by timing_src",
+        "metrics_by_mode": OUTCOMES + "select mode, count(*) as n from outcomes group by mode",
+        "metrics_dominant_mode": OUTCOMES + "select mode from outcomes group by mode order by count(*) desc, mode desc limit 1",
+        "metrics_by_type": OUTCOMES + "select 'EMAIL' as type, sum(email)::bigint as n from outcomes union all select 'PHONE', sum(phone)::bigint from outcomes",
+        "metrics_by_set": OUTCOMES + "select set, sum(total)::bigint as n from (select unnest(sets) as set, total from outcomes) group by set",
+        "metrics_bypasses": OUTCOMES + "select bypass_reason as reason, count(*) as n from outcomes where bypass_reason is not null group by bypass_reason",
+        "metrics_latency": OUTCOMES + "select timing_src as source, count(*) as n, round(avg(ms), 1) as avg_ms from outcomes where timing_src is not null group by timing_src",
     }

@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from veilspark.operators.bodies import dump
+from veilspark.operators.redact import one_vault
+
 TOKEN = re.compile("<[A-Z][A-Z0-9_]*>")
 GROWING = re.compile("<[A-Z0-9_]*$")
 OUT = "request_id string, seq bigint, part int, frame string"
@@ -50,16 +53,21 @@ class Restorer:
         return self._known(text)
 
 
-def _dumps(value: object) -> str:
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
-
-
 def _object(data: str) -> dict:
+    """The frame's JSON object; anything else, whatever its shape or depth, says nothing about the text."""
     try:
-        j = json.loads(data)
-    except ValueError:
+        return _as_dict(json.loads(data))
+    except (ValueError, RecursionError):
         return {}
-    return j if isinstance(j, dict) else {}
+
+
+def _as_dict(value: object) -> dict:
+    return value if isinstance(value, dict) else {}
+
+
+def _index(j: dict) -> int | None:
+    index = j.get("index")
+    return index if isinstance(index, int) and not isinstance(index, bool) and 0 <= index < 1 << 31 else None
 
 
 @dataclass(frozen=True)
@@ -74,26 +82,27 @@ class Event:
 
 def openai_event(j: dict) -> Event:
     choices = j.get("choices")
-    choice = choices[0] if isinstance(choices, list) and choices and isinstance(choices[0], dict) else {}
-    content = (choice.get("delta") or {}).get("content")
+    choice = _as_dict(choices[0]) if isinstance(choices, list) and choices else {}
+    content = _as_dict(choice.get("delta")).get("content")
     over = choice.get("finish_reason") is not None
     return Event(text=content) if isinstance(content, str) and content else Event(ends=over)
 
 
 def openai_frame(text: str, _: int = 0) -> str:
-    return f"data: {_dumps({'choices': [{'index': 0, 'delta': {'content': text}}]})}\n\n"
+    return f"data: {dump({'choices': [{'index': 0, 'delta': {'content': text}}]})}\n\n"
 
 
 def anthropic_event(j: dict) -> Event:
-    kind, delta = j.get("type"), j.get("delta") or {}
+    kind, delta = j.get("type"), _as_dict(j.get("delta"))
+    text = delta.get("text")
     if kind == "content_block_delta" and delta.get("type") == "text_delta":
-        return Event(text=delta.get("text") or "", block=j.get("index"))
-    return Event(block=j.get("index"), ends=kind == "content_block_stop", stops=kind == "message_stop")
+        return Event(text=text if isinstance(text, str) else "", block=_index(j))
+    return Event(block=_index(j), ends=kind == "content_block_stop", stops=kind == "message_stop")
 
 
 def anthropic_frame(text: str, block: int = 0) -> str:
     delta = {"type": "content_block_delta", "index": block, "delta": {"type": "text_delta", "text": text}}
-    return f"event: content_block_delta\ndata: {_dumps(delta)}\n\n"
+    return f"event: content_block_delta\ndata: {dump(delta)}\n\n"
 
 
 #: Dialects of event streams: what a frame's JSON means, and the frame of a piece of text. ``register_stream`` adds one.
@@ -146,7 +155,8 @@ class Reply:
 
 def restore_frames(frames: DataFrame, vaults: DataFrame) -> DataFrame:
     """``frames`` (request_id, provider, seq, frame) and ``vaults`` (request_id, tokens: token to value) to restored frames.
-    A reply is one group and has to fit in a task, as it had to fit in a connection."""
+    A reply is one group and has to fit in a task, as it had to fit in a connection. Frames without a request_id are one reply
+    in each dialect, and an id that stands for requests with different tokens restores nothing."""
 
     streams = dict(STREAMS)
 
@@ -158,7 +168,7 @@ def restore_frames(frames: DataFrame, vaults: DataFrame) -> DataFrame:
         rows += [(part["request_id"].iloc[0], int(part["seq"].iloc[-1]), 1000 + k, f) for k, f in enumerate(reply.end())]
         return pd.DataFrame(rows, columns=["request_id", "seq", "part", "frame"])
 
-    return frames.join(vaults, "request_id", "left").groupBy("request_id").applyInPandas(run, OUT)
+    return frames.join(one_vault(vaults, "request_id"), "request_id", "left").groupBy("request_id", "provider").applyInPandas(run, OUT)
 
 
 def restore_stream(frames: DataFrame, timeout: int | None = 600_000) -> DataFrame:
