@@ -44,8 +44,8 @@ def _changed() -> str:
     return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(firsts, lasts))
 
 
-#: Ordinary text of any script has none; ASCII is passed over before the class is looked at.
-CHANGED = f"(?=[^\x00-\x7f])[{_changed()}]"
+#: Ordinary text of any script has none; ASCII and Latin letters with marks are passed over before the class is looked at.
+CHANGED = f"(?=[^\x00-\x7f\u00c0-\u00ff])[{_changed()}]"
 _CHANGED = re.compile(CHANGED)
 
 #: Detectors added by name: text -> list of (start, end, type, value).
@@ -68,45 +68,83 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def candidates(text: Column, digit: Column, pattern: Pattern, ordinal: int, rank: int, gate: Column | None = None) -> Column:
-    """Valid matches of one pattern; ``digit``: does the text hold one; ``gate``: is the pattern looked for in this row."""
-    none = F.array().cast(_CANDIDATES)
-    possible = digit if pattern.digit else F.lit(True)
-    possible = possible if gate is None else gate & possible
-    for i, literal in enumerate(pattern.needs):
-        some = F.contains(text, F.lit(literal)) if i == 0 else some | F.contains(text, F.lit(literal))
-    possible = possible & some if pattern.needs else possible
+def running(values: Column, zero: Column, op: Callable[[Column, Column], Column], body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``body`` of a function that folds what stands before a place of an array (not empty, of int), in two steps of 64: a fold that
+    collects its results would copy them at each step."""
+    block = lambda b: F.slice(values, b * 64 + 1, F.lit(64))
+    sums = F.transform(F.sequence(F.lit(0), F.shiftright(F.size(values) - 1, 6)), lambda b: F.aggregate(block(b), zero, op))
+    starts = F.aggregate(sums, F.array(zero), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
+    before = lambda known, i: F.aggregate(F.slice(values, F.shiftright(i, 6) * 64 + 1, i.bitwiseAND(63)), F.get(known, F.shiftright(i, 6)), op)
+    return bind(starts, lambda known: body(lambda i: before(known, i)))
+
+
+def scan(text: Column, digit: Column, pattern: Pattern, ordinal: int, rank: int, gate: Column | None = None) -> Column:
+    """What one pattern finds: its place and precedence, and the text in pieces of which every second is a match; null if there
+    is none. ``digit``: does the text hold one; ``gate``: is the pattern looked for in this row."""
+    possible = digit if pattern.digit else None
+    possible = gate if possible is None else possible if gate is None else gate & possible
+    if pattern.needs:
+        some = text.rlike("|".join(map(re.escape, pattern.needs))) if len(pattern.needs) > 1 else F.contains(text, F.lit(pattern.needs[0]))
+        possible = some if possible is None else possible & some
     marked = F.regexp_replace(text, pattern.marked(), f"$1{OPEN}$2{CLOSE}")
+    split = F.split(F.when(possible, marked) if possible is not None else marked, f"[{OPEN}{CLOSE}]")
+    return F.struct(F.lit(-rank).alias("rank"), F.lit(ordinal).alias("ord"), F.lit(pattern.type).alias("type"), split.alias("pieces"))
 
-    def found(pieces: Column) -> Column:
-        # Every second piece is a match; offsets are running sums of lengths.
-        def step(acc: Column, x: Column) -> Column:
-            end = acc["at"] + F.length(x)
-            item = F.struct(
-                F.lit(-rank).alias("rank"), (-F.length(x)).alias("size"), acc["at"].alias("start"), F.lit(ordinal).alias("ord"), end.alias("end"),
-                F.lit(pattern.type).alias("type"), x.alias("value"),
-            )
-            out = F.when(acc["inside"] & (x != ""), F.concat(acc["out"], F.array(item))).otherwise(acc["out"])
-            return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), out.alias("out"))
 
-        start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(_CANDIDATES).alias("out"))
-        got = F.aggregate(pieces, start, step, lambda acc: acc["out"])
-        return F.filter(got, lambda c: CHECKS[pattern.check][0](c["value"])) if pattern.check else got
+def candidates(scans: Sequence[Column], active: Sequence[tuple[int, Pattern]]) -> Column:
+    """Valid matches of all scans. What a scan leads to stands once in the plan, whatever the number of patterns."""
 
-    scan = bind(marked, lambda m: F.when(F.contains(m, F.lit(OPEN)), found(F.split(m, f"[{OPEN}{CLOSE}]"))).otherwise(none))
-    return F.when(possible, scan).otherwise(none)
+    def items(one: Column) -> Column:
+        """Offsets are running sums of the pieces' lengths."""
 
+        def item(start: Column, x: Column) -> Column:
+            return F.struct(one["rank"].alias("rank"), (-F.length(x)).alias("size"), start.alias("start"), one["ord"].alias("ord"), (start + F.length(x)).alias("end"), one["type"].alias("type"), x.alias("value"))
 
-def resolve(found: Column) -> Column:
-    """Greedy choice by precedence; the spans taken, by start."""
+        def listed(before: Callable[[Column], Column]) -> Column:
+            numbers = F.sequence(F.lit(0), F.shiftright(F.size(one["pieces"]) - 1, 1) - 1)
+            return F.transform(numbers, lambda k: item(before(k * 2 + 1), F.get(one["pieces"], k * 2 + 1)))
+
+        return bind(F.transform(one["pieces"], lambda x: F.length(x)), lambda sizes: running(sizes, F.lit(0), lambda a, x: a + x, listed))
+
+    def valid(c: Column) -> Column:
+        out = c["value"] != ""
+        for check in {p.check: None for _, p in active if p.check}:
+            of = [i for i, p in active if p.check == check]
+            out = out & F.when(c["ord"].isin(of), CHECKS[check][0](c["value"])).otherwise(True)
+        return out
+
+    found = F.filter(F.array(*scans), lambda s: F.size(s["pieces"]) > 1)
+    return bind(found, lambda f: F.when(F.size(f) > 0, F.filter(F.flatten(F.transform(f, items)), valid)).otherwise(F.array().cast(_CANDIDATES)))
+
+
+def _greedy(found: Column) -> Column:
+    """Choice by precedence among candidates that may all overlap."""
     clash = lambda a, c: (a["start"] < c["end"]) & (c["start"] < a["end"])
-    taken = F.aggregate(
+    return F.aggregate(
         F.array_sort(found),
         F.array().cast(_CANDIDATES),
         lambda acc, c: F.when(F.exists(acc, lambda a: clash(a, c)), acc).otherwise(F.concat(acc, F.array(c))),
     )
-    spans = F.transform(taken, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["type"].alias("type"), c["value"].alias("value")))
-    return F.when(F.size(found) > 0, F.array_sort(spans)).otherwise(F.array().cast(_SPANS))
+
+
+def resolve(found: Column) -> Column:
+    """Greedy choice by precedence; the spans taken, by start.
+
+    In order of starts, a candidate that begins behind all before it opens a new cluster; only those of one cluster are
+    compared with each other.  So the work grows with the candidates, not with their square."""
+
+    def clusters(cs: Column) -> Column:
+        def firsts(before: Callable[[Column], Column]) -> Column:
+            return F.filter(F.sequence(F.lit(0), F.size(cs) - 1), lambda i: F.get(cs, i)["start"] >= before(i))
+
+        at = bind(F.transform(cs, lambda c: c["end"]), lambda ends: running(ends, F.lit(0), lambda a, x: F.greatest(a, x), firsts))
+        ends = lambda starts, k: F.coalesce(F.get(starts, k + 1), F.size(cs))
+        return bind(at, lambda starts: F.transform(starts, lambda i, k: F.slice(cs, i + 1, ends(starts, k) - i)))
+
+    by_start = F.transform(F.array_sort(F.transform(found, lambda c: F.struct(c["start"].alias("start"), c.alias("c")))), lambda x: x["c"])
+    chosen = F.flatten(F.transform(bind(by_start, clusters), lambda held: F.when(F.size(held) < 2, held).otherwise(_greedy(held))))
+    spans = lambda taken: F.transform(taken, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["type"].alias("type"), c["value"].alias("value")))
+    return F.when(F.size(found) > 1, F.array_sort(spans(chosen))).when(F.size(found) == 1, spans(found)).otherwise(F.array().cast(_SPANS))
 
 
 def normalised(text: str) -> tuple[str, list[int]]:
@@ -158,19 +196,20 @@ def py_detect(text: str, catalog: Catalog, sets: Sequence[str], detectors: Seque
     return [(a, b, t, text[a:b]) for a, b, t in spans]
 
 
-def _native(t: Column, sets: tuple[str, ...], catalog: Catalog, active: Column | None) -> Column:
-    """Spans of a text that needs no normalisation."""
+def native_candidates(t: Column, sets: tuple[str, ...], catalog: Catalog, active: Column | None = None) -> Column:
+    """Valid matches of the patterns of some sets in a text that needs no normalisation."""
+    gate = lambda p: None if active is None else F.arrays_overlap(F.array(*map(F.lit, p.sets)), active)
+    chosen = catalog.active(sets)
+    return bind(t.rlike("[0-9]"), lambda digit: candidates([scan(t, digit, p, i, catalog.priority(p.type), gate(p)) for i, p in chosen], chosen))
 
-    def scans(digit: Column) -> list[Column]:
-        gate = lambda p: None if active is None else F.arrays_overlap(F.array(*map(F.lit, p.sets)), active)
-        return [candidates(t, digit, p, i, catalog.priority(p.type), gate(p)) for i, p in catalog.active(sets)]
 
-    found = bind(t.rlike("[0-9]"), lambda digit: F.flatten(F.array(*scans(digit))))
-    return bind(found, resolve) if catalog.active(sets) else F.array().cast(_SPANS)
+def _native(t: Column, sets: tuple[str, ...], catalog: Catalog, active: Column | None) -> Column:
+    """Spans of a text that needs no normalisation."""
+    return bind(native_candidates(t, sets, catalog, active), resolve) if catalog.active(sets) else F.array().cast(_SPANS)
 
 
 def _plain(t: Column) -> Column:
-    return (F.length(t) <= LONG) & ~(t.rlike("[^\\x00-\\x7f]") & t.rlike(CHANGED))
+    return (F.length(t) <= LONG) & ~(t.rlike("[^\\x00-\\x7f\\xc0-\\xff]") & t.rlike(CHANGED))
 
 
 def _allowed(sets: tuple[str, ...], given: Sequence[str] | None) -> list[str]:

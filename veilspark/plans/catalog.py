@@ -11,6 +11,7 @@ from veilspark.functions import checks, digests
 from veilspark.operators import audit, detect, metrics, redact, requests
 from veilspark.plans import redaction, sql
 from veilspark.sources import io
+from veilspark.sources.shared import spread
 from veilspark.streaming import replies
 
 SECRET = "a secret of the examples only"
@@ -23,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return detect.detect(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def _exploded(df: DataFrame, key: str) -> DataFrame:
@@ -35,7 +36,7 @@ def entity_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_spans_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exploded(detect.detect(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))), "page_id")
+    return _exploded(detect.detect(spread(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")))), "page_id")
 
 
 def entity_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,22 +45,17 @@ def entity_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid matches of each pattern by itself, before overlaps are resolved."""
-    catalog = detect.Catalog()
-    t = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    each = F.flatten(F.array(*[detect.candidates(F.col("text"), F.lit(True), p, i, 0) for i, p in enumerate(catalog.patterns)]))
+    t = spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    each = detect.native_candidates(F.col("text"), digests.SETS, detect.Catalog())
     return t.select("doc_id", F.explode(each).alias("c")).groupBy("doc_id", F.col("c.ord").alias("pattern"), "c.type").agg(F.count("*").alias("n"))
 
 
-def _gated(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return detect.tally(detect.detect(table(spark, sf_dir, "documents"), sets=(name,))).select(F.lit(name).alias("set_name"), "type", "n")
-
-
 def tally_by_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each set finds when it is active alone."""
-    out = _gated(spark, sf_dir, digests.SETS[0])
-    for name in digests.SETS[1:]:
-        out = out.union(_gated(spark, sf_dir, name))
-    return out
+    """What each set finds when it is active alone, in one scan."""
+    given = spread(table(spark, sf_dir, "documents").select("text"))
+    alone = F.array(*[F.struct(F.lit(n).alias("set_name"), detect.spans(F.col("text"), sets=(n,)).alias("spans")) for n in digests.SETS])
+    each = given.select(F.explode(alone).alias("a")).select("a.set_name", F.explode("a.spans").alias("s"))
+    return each.groupBy("set_name", F.col("s.type").alias("type")).agg(F.count("*").alias("n"))
 
 
 def strip_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +105,7 @@ def _filled(template: str, values: dict[str, Column]) -> Column:
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a request: nested bodies in two dialects, every third one to be stripped, two of ten, one in each dialect, without system text."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     d = d.select("doc_id", *[F.expr(x).alias(n) for n, x in sql.FIELDS.items()])
     quoted = {n: F.regexp_extract(F.to_json(F.array(n)), r"(?s)^\[(.*)\]$", 1) for n in sql.FIELDS} | {n: F.col(n) for n in ("card", "plain")}
     arguments = _filled('{"card":$card$,"id":$plain$,"to":$mail$}', quoted)
