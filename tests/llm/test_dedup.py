@@ -5,6 +5,7 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from veilspark.llm import components, neardup, suffixes
 
@@ -60,6 +61,24 @@ def test_suffixes_with_repeated_rows_null_ids_and_clashing_columns(spark):
     assert suffixes.dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_suffixes_number_many_texts_of_one_id(spark):
+    """Texts without ids are earlier than all others, and each is numbered by itself, in order and by several tasks."""
+    line = "A passage that is shared by many documents and is a good deal longer than one hundred bytes, so that it counts. "
+    rows = [(None, f"text {i} " + line * (i % 50 == 0)) for i in range(3000)] + [(7, "front " + line)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        numbered, repeated = suffixes._numbered(docs, "text")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert repeated and numbered.select("__doc").distinct().count() == len(rows)
+    assert len({r["__doc"] >> 33 for r in numbered.select("__doc").collect()}) > 1
+    assert numbered.orderBy(F.desc("__doc")).first().doc_id == 7
+    out = suffixes.dedup(docs).collect()
+    assert Counter(r.n_removed > 0 for r in out) == {True: 60, False: 2941}
+    assert next(r for r in out if r.doc_id == 7).kept_text == "front"
+
+
 def test_kept_text_is_cut_at_characters(spark):
     rows = [(1, "é" * 80), (2, "xé" + "é" * 70 + "y")]
     out = suffixes.keep(spark.createDataFrame([(i, t, "fr", "s", len(t)) for i, t in rows], DOCS)).collect()
@@ -135,6 +154,17 @@ def test_near_duplicates_keep_one_row(spark):
     assert empty.count() == 0 and empty.columns[-3:] == list(neardup.ADDED)
 
 
+def test_near_duplicates_beside_columns_of_any_name(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    names = ("root", "key", "node", "doc", "bands", "sign", "n_links", "is_first", "x", "m")
+    rows = [(i, t, *(f"{n}{i}" for n in names)) for i, t in enumerate((words, words + " more", "something else", None))]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    out = {r.doc_id: r for r in neardup.classes(docs).collect()}
+    assert [out[i].class_id for i in range(4)] == [0, 0, 2, 3] and [out[i].root for i in range(4)] == [f"root{i}" for i in range(4)] and out[1].key == "key1"
+    kept = neardup.keep(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == sorted([r for r in rows if r[0] != 1], key=lambda r: r[0])
+
+
 def test_links_of_pairs_that_share_hot_buckets_only(spark):
     template = [f"t{k}" for k in range(160)]
     rows = [(i, " ".join(template + [f"o{i}x{k}" for k in range(26)])) for i in range(30)]

@@ -91,6 +91,12 @@ def test_netpbm_and_bmp():
     assert (media.decode(bmp) == image).all()
 
 
+def test_images_of_no_or_endless_size_have_no_tile():
+    odd = [b"P6 0 0 255\n", b"P5 0 3 255\n", b"P4 0 5\n", b"P1 3 0\n", b"P6 99999999999999999999 1 255\n", b"P4 99999999999999999999999 2\n", b"P2 1 1 99999999999999999999\n1", b"P6 4294967296 4294967296 255\n", b"P6", b"", None]
+    odd += [b"BM" + struct.pack("<IHHI", 54, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, bits, 0, 0, 0, 0, 0, 0) for w, h in ((0, 0), (5, 0), (0, 5), (-3, 2), (2**31 - 1, -(2**31))) for bits in (8, 24, 32)]
+    assert {media._describe(d) for d in odd} == {(None, None, None)}
+
+
 def test_area_resize_is_the_mean_of_covered_pixels():
     image = np.random.default_rng(1).integers(0, 256, (6, 8, 3)).astype(np.uint8)
     assert np.allclose(media.resize(image, 3, 4), image.reshape(3, 2, 4, 2, 3).mean(axis=(1, 3)))

@@ -94,6 +94,8 @@ def decode(data: bytes) -> np.ndarray:
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Area mean of every target cell from an integral image; cells may cover fractions of pixels."""
     h, w, c = image.shape
+    if not h or not w:
+        raise ValueError("an image without pixels")
     integral = np.zeros((h + 1, w + 1, c))
     np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=integral[1:, 1:])
 
@@ -148,7 +150,7 @@ def _describe(data: bytes | None) -> tuple:
         image = decode(data)
         tile = npy(np.clip(np.rint(resize(image, TILE, TILE)), 0, 255).astype(np.uint8))
         return tile, difference_hash(image), image.tobytes()
-    except (TypeError, ValueError, IndexError, struct.error):
+    except (TypeError, ValueError, IndexError, ArithmeticError, struct.error):  # sizes of zero or beyond all bounds included
         return None, None, None
 
 

@@ -429,13 +429,13 @@ def _classed(docs: DataFrame, threshold: float, bands: int, rows: int, text: str
     facts = alike.select("key", "node").join(roots, "node", "left").join(both.groupBy("node").agg(F.count("*").alias("n_links")), "node", "left")
     facts = facts.select("key", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     member = signed.select("doc", "key", F.col("doc").alias("node"))
-    member = salted(member, facts, "key").select(F.col("doc").alias("__node"), "root", "n_links")
-    out = known.join(member, "__node").withColumn("is_first", F.col("root") == F.col("__node"))
+    member = salted(member, facts, "key").select(F.col("doc").alias("__node"), F.col("root").alias("__root"), "n_links")
+    out = known.join(member, "__node").withColumn("is_first", F.col("__root") == F.col("__node"))
     if repeated:
-        ids = known.select(F.col("__node").alias("root"), F.col("__doc").alias("class_id")).distinct()
-        out = out.join(ids.join(member.select("root").distinct(), "root", "left_semi"), "root")
+        ids = known.select(F.col("__node").alias("__root"), F.col("__doc").alias("class_id")).distinct()
+        out = out.join(ids.join(member.select("__root").distinct(), "__root", "left_semi"), "__root")
     else:
-        out = out.withColumn("class_id", F.col("root"))
+        out = out.withColumn("class_id", F.col("__root"))
     real = F.when(F.col("class_id") != NULL_ID, F.col("class_id"))
     return out.withColumn("class_id", real).select(*docs.columns, *ADDED, "__node"), repeated
 

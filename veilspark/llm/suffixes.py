@@ -35,7 +35,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from veilspark.llm.rolling import mix, multikey_order, prefix_sums, range_hash
 from veilspark.llm.store import cut, parallelism, release
@@ -46,7 +45,6 @@ STEP = 1 << 18  # bytes hashed at once: what fits a core's cache
 BUFFER = 1 << 20  # records that a task combines before they are shipped
 BUCKET = 1 << 21  # records in a bucket, about
 SAMPLE = 50_000  # records sampled for the splitters, about; more where there are more buckets
-SUB = 1 << 40  # texts of one doc_id are told apart above this bit of the place
 NULL_ID = -(1 << 63)
 ADDED = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
@@ -270,35 +268,33 @@ def _narrowed(segments: DataFrame, found: DataFrame, name: str) -> DataFrame:
                     types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["doc", "places", "data"])
 
-    # Texts of one doc_id are segments of their own rows: the rows' first place tells them apart.
-    sub = lambda place: F.shiftright(place, 40)
-    runs = found.filter("open").groupBy("doc", sub(F.col("place")).alias("sub")).agg(F.collect_list(F.struct("place", "windows")).alias("runs"))
-    joined = segments.withColumn("sub", sub(F.get("places", F.lit(0)))).join(runs, ["doc", "sub"])
+    runs = found.filter("open").groupBy("doc").agg(F.collect_list(F.struct("place", "windows")).alias("runs"))
+    joined = segments.join(runs, "doc")
     return cut(joined.select("doc", "places", "data", "runs").mapInArrow(run, "doc bigint, places array<bigint>, data array<binary>"), name)
 
 
 def _numbered(docs: DataFrame, text: str) -> tuple[DataFrame, bool]:
-    """Add __doc and __sub, which tells texts of one doc_id apart and is 0 for almost all rows; do doc_ids repeat?"""
+    """Add __doc, the number of a doc_id with a text: the doc_id itself unless one has several texts. Numbers are in the order of
+    doc_ids, and are dealt out by a sort of all, so no id's texts meet in one task. Do doc_ids repeat?"""
     d = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    marks = d.select("__doc", mark.alias("__mark")).groupBy("__doc")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    marks = d.select("__doc", F.xxhash64(whole).alias("__mark")).groupBy("__doc")
     marks = marks.agg(F.min("__mark").alias("a"), F.max("__mark").alias("b"), F.count("*").alias("n")).filter("n > 1")
     repeated = marks.agg(F.count("*").alias("n"), F.count_if(F.col("a") != F.col("b")).alias("several")).first()
     if not repeated["several"]:
-        return d.withColumn("__sub", F.lit(0).cast("long")), bool(repeated["n"])
-    marks = marks.filter("a <> b")
-    several = d.select("__doc", mark.alias("__mark")).join(marks.select("__doc"), "__doc").distinct()
-    several = several.withColumn("__sub", (F.row_number().over(Window.partitionBy("__doc").orderBy("__mark")) - 1).cast("long"))
-    d = d.withColumn("__mark", mark).join(several, ["__doc", "__mark"], "left").drop("__mark")
-    return d.withColumn("__sub", F.coalesce("__sub", F.lit(0)).cast("long")), True
+        return d, bool(repeated["n"])
+    d = d.withColumn("__mark", F.unhex(F.sha2(whole, 256)))
+    numbers = d.select("__doc", "__mark").distinct().orderBy("__doc", "__mark").withColumn("__number", F.monotonically_increasing_id())
+    numbers = cut(numbers, "numbers")
+    return cut(d.join(numbers, ["__doc", "__mark"]).drop("__doc", "__mark").withColumnRenamed("__number", "__doc"), "numbered"), True
 
 
 def find_repeats(docs: DataFrame, text: str = "text", repeated: bool = False) -> DataFrame:
     """doc, place, windows: runs of windows that start earlier elsewhere; ``docs`` as ``_numbered`` gives them."""
     spark = docs.sparkSession
-    docs = docs.dropDuplicates(["__doc", "__sub"]) if repeated else docs
+    docs = docs.dropDuplicates(["__doc"]) if repeated else docs
     data: Column = F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8")
-    segments = docs.select(F.col("__doc").alias("doc"), F.array(F.col("__sub") * SUB).alias("places"), F.array(data).alias("data"))
+    segments = docs.select(F.col("__doc").alias("doc"), F.array(F.lit(0).cast("long")).alias("places"), F.array(data).alias("data"))
     segments = segments.filter(F.octet_length(text) >= SIZE)
     n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     results = []
@@ -320,7 +316,7 @@ def find_repeats(docs: DataFrame, text: str = "text", repeated: bool = False) ->
 def _spans(runs: list[dict], size: int) -> list[tuple[int, int]]:
     """Maximal removed stretches."""
     out: list[list[int]] = []
-    for a, b in sorted((r["place"] % SUB, r["place"] % SUB + r["windows"] + SIZE - 1) for r in runs):
+    for a, b in sorted((r["place"], r["place"] + r["windows"] + SIZE - 1) for r in runs):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -353,9 +349,8 @@ def dedup(docs: DataFrame, text: str = "text", with_text: bool = True) -> DataFr
     docs = docs.drop(*[c for c in ADDED if c in docs.columns])
     numbered, repeated = _numbered(docs, text)
     found = find_repeats(numbered, text, repeated)
-    runs = found.groupBy(F.col("doc").alias("__doc"), F.shiftright("place", 40).alias("__sub"))
-    runs = runs.agg(F.collect_list(F.struct("place", "windows")).alias("__runs"))
-    joined = numbered.join(runs, ["__doc", "__sub"], "left").drop("__doc", "__sub")
+    runs = found.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("place", "windows")).alias("__runs"))
+    joined = numbered.join(runs, "__doc", "left").drop("__doc")
     kept = [f for f in joined.schema.fields if f.name != "__runs" and (with_text or f.name != text)]
     names = [f.name for f in kept]
 
