@@ -61,6 +61,15 @@ def test_suffixes_with_repeated_rows_null_ids_and_clashing_columns(spark):
     assert suffixes.dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_suffixes_keep_columns_of_the_same_names(spark):
+    line = "A passage that is shared by many documents and is a good deal longer than one hundred bytes, so that it counts. "
+    rows = [(1, line + "a", "n1", "k1", 0), (2, "b " + line, "n2", "k2", 0), (3, None, "n3", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_bytes string, kept_text string, n_chars int")
+    kept = suffixes.keep(docs)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, line + "a", "n1", "k1", len(line) + 1), (2, "b ", "n2", "k2", 2), (3, None, "n3", None, None)]
+
+
 def test_suffixes_number_many_texts_of_one_id(spark):
     """Texts without ids are earlier than all others, and each is numbered by itself, in order and by several tasks."""
     line = "A passage that is shared by many documents and is a good deal longer than one hundred bytes, so that it counts. "

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.components import components
 from veilspark.llm.rolling import mix, prefix_sums, range_hash
-from veilspark.llm.store import cut, parallelism
+from veilspark.llm.store import aside, back, cut, parallelism
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -448,6 +448,6 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
 
 def keep(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, text: str = "text") -> DataFrame:
     """One document of each class, the one with the least doc_id, with the columns of the input."""
-    out, repeated = _classed(docs, threshold, bands, rows, text)
+    out, repeated = _classed(aside(docs, ADDED), threshold, bands, rows, text)
     out = out.filter("is_first")
-    return (out.dropDuplicates(["__node"]) if repeated else out).select(*docs.columns)
+    return back(out.dropDuplicates(["__node"]) if repeated else out, docs)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.rolling import mix, multikey_order, prefix_sums, range_hash
-from veilspark.llm.store import cut, parallelism, release
+from veilspark.llm.store import aside, back, cut, parallelism, release
 
 SIZE = 100
 ROUNDS = (50, 84)  # lengths of the anchor strings
@@ -378,7 +378,7 @@ def dedup(docs: DataFrame, text: str = "text", with_text: bool = True) -> DataFr
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with the text that is left, ``n_chars`` brought up to date, with the columns of the input."""
-    out = dedup(docs, text).withColumn(text, F.col("kept_text"))
+    out = dedup(aside(docs, ADDED), text).withColumn(text, F.col("kept_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return back(out, docs)
