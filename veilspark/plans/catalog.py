@@ -267,7 +267,7 @@ def _metric(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(outcomes(spark, sf_dir))
 
 
-def _audit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def audit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(
         F.concat(F.lit("t"), F.col("o_custkey").cast("string")).alias("tenant"), F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") * 1000).alias("ts"), F.lit("openai").alias("provider"), F.col("o_orderpriority").alias("model"),
@@ -277,17 +277,17 @@ def _audit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_first_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first record of every tenant's chain."""
-    return audit.chain(_audit_records(spark, sf_dir), "tenant").filter("prev_hash = '0'").select("tenant", "seq", "hash")
+    return audit.chain(audit_records(spark, sf_dir), "tenant").filter("prev_hash = '0'").select("tenant", "seq", "hash")
 
 
 def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All records of every tenant's chain."""
-    return audit.chain(_audit_records(spark, sf_dir), "tenant").select("tenant", "seq", "prev_hash", "hash")
+    return audit.chain(audit_records(spark, sf_dir), "tenant").select("tenant", "seq", "prev_hash", "hash")
 
 
 def audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains per tenant in which some records were edited afterwards."""
-    chained = audit.chain(_audit_records(spark, sf_dir), "tenant")
+    chained = audit.chain(audit_records(spark, sf_dir), "tenant")
     edited = chained.withColumn("total", F.when(F.col("seq") % 97 == 0, F.col("total") + 1).otherwise(F.col("total")))
     return audit.verify(edited, "tenant").withColumn("broken_at", F.col("broken_at").cast("long"))
 

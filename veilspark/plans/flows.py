@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.operators import detect, metrics, redact, requests, tables
+from veilspark.operators import agreement, detect, history, metrics, redact, requests, seals, tables
 from veilspark.plans import catalog, redaction, sql
 from veilspark.sources import bodies, io
-from veilspark.sources.shared import cut, shared_dir
+from veilspark.sources.shared import cut, shared_dir, spread
 
 
 def body_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,31 @@ def metrics_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.exposition(catalog.outcomes(spark, sf_dir)).select("line")
 
 
-QUERIES = (body_slots, streamed_restoring_in_sql, bodies_source, sink_round_trip, row_failures, pseudonym_first_types, metrics_text)
+def policy_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups and purchases set a policy for their user's group from their time on; all other events are requests."""
+    e = catalog.table(spark, sf_dir, "events").withColumn("tenant", F.when(F.col("user_id") % 5 < 3, F.lit("big")).otherwise(F.concat(F.lit("t"), F.col("user_id").cast("string"))))
+    setting = F.col("event_type").isin("signup", "purchase")
+    mode = F.when(F.col("event_type") == "signup", F.lit("strip")).otherwise(F.lit("reversible"))
+    versions = e.filter(setting).select("tenant", F.col("ts").alias("since"), F.col("event_id").alias("number"), mode.alias("mode"))
+    out = history.policies_in_force(e.filter(~setting).select("event_id", "tenant", "ts"), versions)
+    return out.select("event_id", "tenant", F.col("policy.number").alias("policy_number"), F.col("policy.mode").alias("mode"))
+
+
+def detector_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two catalogs over the documents: that of personal data, and those of health and payment data and secrets."""
+    both = spread(catalog.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    both = cut(both.select("doc_id", detect.spans(F.col("text"), sets=("pii",)).alias("a"), detect.spans(F.col("text"), sets=("phi", "pci", "secrets")).alias("b")), "spans")
+    each = lambda c: both.select("doc_id", F.inline(c)).select("doc_id", "start", "end", "type")
+    return agreement.matrix(each("a"), each("b"), "doc_id")
+
+
+def audit_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as records of five keys, one of which holds a third, in segments of 64 numbers, sealed."""
+    records = catalog.audit_records(spark, sf_dir).withColumn("tenant", F.when(F.col("seq") % 3 == 0, F.lit("hot")).otherwise(F.col("model")))
+    return seals.seal(records, "tenant", 64).select("tenant", "segment", "n", "root")
+
+
+QUERIES = (body_slots, streamed_restoring_in_sql, bodies_source, sink_round_trip, row_failures, pseudonym_first_types, metrics_text, policy_as_of, detector_agreement, audit_segments)
 
 
 def oracle_sql(run_secret: str) -> dict[str, str]:
@@ -98,7 +122,25 @@ def oracle_sql(run_secret: str) -> dict[str, str]:
         ("requests_total", "count(*)"), ("redacted_requests_total", "count_if(total > 0)"), ("redacted_entities_total", "sum(total)"), ("bypass_total", "count(bypass_reason)"), ("fail_closed_total", "count_if(failed_closed)"),
         ("upstream_errors_total", "count_if(upstream_error)"),
     ))
+    levels = "".join(f"""
+            l{k + 1} as (select tenant, segment, i // 2 as i, case when count(*) = 2 then sha256(chr(1) || min(h) filter (i % 2 = 0) || min(h) filter (i % 2 = 1)) else min(h) end as h from l{k} group by tenant, segment, i // 2),""" for k in range(6))
     return {
+        "policy_as_of": """with e as (select *, case when user_id % 5 < 3 then 'big' else 't' || user_id end as tenant from events),
+            v as (select tenant, ts, max(event_id) as number from e where event_type in ('signup', 'purchase') group by tenant, ts),
+            r as (select * from e where event_type not in ('signup', 'purchase'))
+            select r.event_id, r.tenant, v.number as policy_number, case k.event_type when 'signup' then 'strip' when 'purchase' then 'reversible' end as mode
+            from r asof left join v on r.tenant = v.tenant and r.ts >= v.ts left join events k on k.event_id = v.number""",
+        "detector_agreement": f"""with {sql.DOCS}, {sql.spans("docs", ("pii",), "a_")}, {sql.spans("docs", ("phi", "pci", "secrets"), "b_")},
+            p as (select a.id, a.t as a_type, a.s as a_s, a.e as a_e, b.t as b_type, b.s as b_s, b.e as b_e from a_spans a join b_spans b on a.id = b.id and a.s < b.e and b.s < a.e)
+            select a_type, b_type, count(*) as pairs, count_if(a_s = b_s and a_e = b_e)::bigint as exact from p group by a_type, b_type
+            union all select t, null, count(*), 0 from a_spans a where not exists (select 1 from b_spans b where a.id = b.id and a.s < b.e and b.s < a.e) group by t
+            union all select null, t, count(*), 0 from b_spans b where not exists (select 1 from a_spans a where a.id = b.id and a.s < b.e and b.s < a.e) group by t""",
+        "audit_segments": f"""with o as (select *, case when o_orderkey % 3 = 0 then 'hot' else o_orderpriority end as tenant from orders),
+            l0 as (select tenant, o_orderkey // 64 as segment, row_number() over (partition by tenant, o_orderkey // 64 order by o_orderkey) - 1 as i,
+              sha256(chr(0) || '{{"entityCounts":{{"EMAIL":1,"SSN":' || (o_orderkey % 5) || '}},"mode":"strip","model":"' || o_orderpriority || '","provider":"openai","seq":' || o_orderkey || ',"sets":["pii","phi"],"tenant":"' || tenant
+                || '","total":' || (o_orderkey % 5 + 1) || ',"ts":' || (o_orderkey * 1000) || '}}') as h from o),{levels}
+            n as (select tenant, segment, count(*) as n from l0 group by tenant, segment)
+            select tenant, segment::bigint as segment, n, h as root from l6 join n using (tenant, segment)""",
         "body_slots": f"""with {sql.fields()} select doc_id::varchar as request_id, (row_number() over (partition by doc_id order by slot) - 1)::int as slot, text, numeric, null::varchar as error from f""",
         "streamed_restoring_in_sql": known["streamed_restoring"],
         "bodies_source": """select conv_id || '-' || turn as request_id, turn as ts, role as tenant, case when strlen(text) <= 600 then sha256(text) end as body_sha256,

@@ -1,8 +1,8 @@
 """Restoring streamed replies: a token may be split over frames, so each reply holds back a tail that may still grow.
 
 ``restore_frames`` does a finished table of frames, grouped by reply; ``restore_stream`` is the same step as a
-stateful streaming operator with the held tail, the block index and the next frame number as its state, and
-frames that come early kept until their turn.
+stateful streaming operator with the held tail, the block index, the next frame number and the vault as its
+state, and frames that come early kept by their numbers until their turn.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, MapState, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from veilspark.operators.bodies import dump
 from veilspark.operators.redact import one_vault
@@ -23,7 +23,11 @@ from veilspark.operators.redact import one_vault
 TOKEN = re.compile("<[A-Z][A-Z0-9_]*>")
 GROWING = re.compile("<[A-Z0-9_]*$")
 OUT = "request_id string, seq bigint, part int, frame string"
-STATE = "tail string, block int, next bigint, early string, tokens string, provider string, last bigint"
+OUT_NAMES = [x.split()[0] for x in OUT.split(", ")]
+PLACE = "tail string, block int, next bigint, last bigint, provider string"
+BLOCK = 256
+#: For ``restore_stream``: set spark.sql.streaming.stateStore.providerClass to it.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Restorer:
@@ -171,48 +175,126 @@ def restore_frames(frames: DataFrame, vaults: DataFrame) -> DataFrame:
     return frames.join(one_vault(vaults, "request_id"), "request_id", "left").groupBy("request_id", "provider").applyInPandas(run, OUT)
 
 
-def restore_stream(frames: DataFrame, timeout: int | None = 600_000) -> DataFrame:
-    """Streaming ``frames`` (request_id, provider, seq, frame, tokens as JSON; seq from 0 without gaps) to restored frames.
-    A reply ends with its stop frame, when its state is let go; or after ``timeout`` milliseconds without frames, when frames that wait for
-    one that never came go on in their order, with the held tail behind them. Frames behind the end are left out."""
-    streams = dict(STREAMS)
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip(STATE_NAMES, state.get, strict=True)) if state.exists else {"tail": "", "block": 0, "next": 0, "early": "{}", "tokens": "{}", "provider": "openai", "last": -1}
-        early = {int(k): v for k, v in json.loads(held["early"]).items()}
-        if not state.hasTimedOut:
-            for part in parts:
-                held["provider"] = part["provider"].iloc[0]
-                tokens = [t for t in part["tokens"] if t]
-                held["tokens"] = tokens[0] if tokens else held["tokens"]
-                early |= {int(s): f for s, f in zip(part["seq"], part["frame"], strict=True) if s >= held["next"]}
-        reply = Reply(held["provider"], json.loads(held["tokens"]), held["tail"], held["block"], streams)
-        rows = []
-
-        def pass_on(seq: int) -> None:
-            held["last"], held["next"] = seq, seq + 1
-            rows.extend((key[0], seq, k, f) for k, f in enumerate(reply.frame(early.pop(seq))))
-
-        while held["next"] in early and not reply.stopped:
-            pass_on(held["next"])
-        if state.hasTimedOut:
-            for seq in sorted(early):
-                pass_on(seq)
-        if state.hasTimedOut or reply.stopped:
-            rows += [(key[0], held["last"], 1000 + k, f) for k, f in enumerate(reply.end())]
-            state.remove()
+class Waiting:
+    """Frames that came early, in blocks of ``BLOCK`` numbers in the state: a batch reads and writes the blocks that it touches."""
+
+    def __init__(self, state: MapState):
+        self.state, self.open, self.any = state, {}, state.exists()
+
+    def _block(self, number: int) -> dict[str, str]:
+        if number not in self.open:
+            stored = self.state.getValue((number,)) if self.any and self.state.containsKey((number,)) else None
+            self.open[number] = json.loads(stored[0]) if stored else {}
+        return self.open[number]
+
+    def put(self, seq: int, frame: str) -> None:
+        self._block(seq // BLOCK)[str(seq)] = frame
+
+    def take(self, seq: int) -> str | None:
+        return self._block(seq // BLOCK).pop(str(seq), None)
+
+    def all(self) -> list[tuple[int, str]]:
+        """Those of the state, in order."""
+        blocks = [json.loads(v[0]) for _, v in self.state.iterator()] if self.any else []
+        return sorted((int(s), f) for block in blocks for s, f in block.items())
+
+    def keep(self) -> None:
+        for number, frames in self.open.items():
+            if frames:
+                self.state.updateValue((number,), (json.dumps(frames),))
+            elif self.any and self.state.containsKey((number,)):
+                self.state.removeKey((number,))
+
+
+class Restoring(StatefulProcessor):
+    """One reply's state: frames that came early, the place that was reached, and the vault."""
+
+    def __init__(self, streams: dict, timeout: int | None):
+        self.streams, self.timeout = streams, timeout
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.early = handle.getMapState("early", "block bigint", "frames string")
+        self.tokens = handle.getValueState("tokens", "tokens string")
+        self.place = handle.getValueState("place", PLACE)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:  # noqa: N803
+        for text in initialState["tokens"]:
+            self.tokens.update((text,))
+
+    def _resume(self) -> tuple[Reply, int, int]:
+        """The reply where it was left, the next number, and the last one passed on."""
+        tail, block, after, last, provider = self.place.get() or ("", 0, 0, -1, "openai")
+        stored = self.tokens.get()
+        return Reply(provider, json.loads(stored[0]) if stored else {}, tail, block, self.streams), after, last
+
+    def _alarm(self, at: int | None) -> None:
+        if self.timeout:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if at is not None:
+                self.handle.registerTimer(at)
+
+    def _over(self, key: tuple, reply: Reply, last: int) -> list[tuple]:
+        """What is held goes on, and everything is let go."""
+        rows = [(key[0], last, 1000 + k, f) for k, f in enumerate(reply.end())]
+        for state in (self.early, self.tokens, self.place):
+            state.clear()
+        return rows
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        given, provider, texts = {}, None, []
+        for part in rows:
+            provider = part["provider"].iloc[0]
+            texts += [t for t in part["tokens"] if t] if "tokens" in part else []
+            given |= dict(zip(map(int, part["seq"]), part["frame"], strict=True))
+        if texts and not self.tokens.exists():
+            self.tokens.update((texts[0],))
+        reply, after, last = self._resume()
+        reply.provider = provider or reply.provider
+        waiting, out = Waiting(self.early), []
+        while not reply.stopped:
+            frame = given.pop(after, None)
+            frame = waiting.take(after) if frame is None else frame
+            if frame is None:
+                break
+            out += [(key[0], after, k, f) for k, f in enumerate(reply.frame(frame))]
+            last, after = after, after + 1
+        if reply.stopped:
+            out += self._over(key, reply, last)
+            self._alarm(None)
         else:
-            held |= {"tail": reply.text.tail, "block": reply.block, "early": json.dumps({str(k): v for k, v in early.items()})}
-            state.update(tuple(held[n] for n in STATE_NAMES))
-            if timeout:
-                state.setTimeoutDuration(timeout)
-        yield pd.DataFrame(rows, columns=["request_id", "seq", "part", "frame"])
-
-    kind = GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout
-    return frames.groupBy("request_id").applyInPandasWithState(step, OUT, STATE, "append", kind)
-
-
-STATE_NAMES = [x.split()[0] for x in STATE.split(", ")]
+            for seq, frame in given.items():
+                if seq >= after:
+                    waiting.put(seq, frame)
+            waiting.keep()
+            self.place.update((reply.text.tail, reply.block, after, last, reply.provider))
+            self._alarm(timerValues.getCurrentProcessingTimeInMs() + self.timeout if self.timeout else None)
+        yield pd.DataFrame(out, columns=OUT_NAMES)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
+        reply, _, last = self._resume()
+        out: list[tuple] = []
+        for seq, frame in Waiting(self.early).all():
+            out += [(key[0], seq, k, f) for k, f in enumerate(reply.frame(frame))]
+            last = seq
+        out += self._over(key, reply, last)
+        yield pd.DataFrame(out, columns=OUT_NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+def restore_stream(frames: DataFrame, timeout: int | None = 600_000, vaults: DataFrame | None = None) -> DataFrame:
+    """Streaming ``frames`` (request_id, provider, seq, frame; seq from 0 without gaps; tokens as JSON, unless the vault is known from the start)
+    to restored frames.  ``vaults`` (request_id, tokens as JSON) is the state to begin with when the query first starts.
+
+    A reply ends with its stop frame, when its state is let go; or after ``timeout`` milliseconds without frames, when frames that wait for one
+    that never came go on in their order, with the held tail behind them. Frames behind the end are a new reply.  The session's state store
+    has to be one with column families (``STATE_STORE``)."""
+    start = vaults.select("request_id", "tokens").groupBy("request_id") if vaults is not None else None
+    grouped = frames.groupBy("request_id")
+    return grouped.transformWithStateInPandas(Restoring(dict(STREAMS), timeout), OUT, "Append", "ProcessingTime" if timeout else "None", initialState=start)
 
 
 def windowed_counts(events: DataFrame, ts: str = "ts", key: str = "event_type", size: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
