@@ -91,3 +91,29 @@ def exposition(outcomes: DataFrame, prefix: str = "redact") -> DataFrame:
 def document(outcomes: DataFrame, prefix: str = "redact") -> str:
     """The text as a scraper reads it: one line for each family and label."""
     return "".join(r.line + "\n" for r in exposition(outcomes, prefix).orderBy("place").collect())
+
+
+#: Accuracy of the report's sketches: bits of the distinct counts, size of the quantile sketches.
+HLL_BITS, KLL_SIZE = 12, 200
+EXACT = ("requests", "entities", "bypassed", "failed_closed")
+
+
+def hourly(outcomes: DataFrame) -> DataFrame:
+    """The smallest groups of a report, as they can be kept: counts and mergeable sketches by hour, mode and tenant.  ``outcomes`` with
+    ``ts`` and ``tenant``; null modes and tenants are groups of their own."""
+    keys = (F.date_trunc("hour", "ts").alias("hour"), "mode", "tenant")
+    return outcomes.groupBy(*keys).agg(
+        F.count("*").alias("requests"), F.coalesce(F.sum("total"), F.lit(0)).cast("bigint").alias("entities"), F.count("bypass_reason").alias("bypassed"), F.count_if("failed_closed").alias("failed_closed"),
+        F.hll_sketch_agg(F.col("tenant"), HLL_BITS).alias("tenants"), F.kll_sketch_agg_bigint(F.col("ms").cast("bigint"), F.lit(KLL_SIZE)).alias("latency"), F.count("ms").alias("timed"),
+    )
+
+
+def report(groups: DataFrame) -> DataFrame:
+    """``hourly`` groups rolled up: every hour, every mode of an hour, every tenant of a mode, and all; ``level`` says how many keys a row has.
+    Distinct tenants and latencies at the median and the 95th percentile are estimates, from merged sketches."""
+    rolled = groups.groupingSets([[], ["hour"], ["hour", "mode"], ["hour", "mode", "tenant"]], "hour", "mode", "tenant").agg(
+        (F.lit(3) - F.bit_count(F.grouping_id())).alias("level"), *[F.sum(c).alias(c) for c in EXACT],
+        F.hll_sketch_estimate(F.hll_union_agg("tenants")).alias("tenants"), F.kll_merge_agg_bigint("latency").alias("latency"), F.sum("timed").alias("timed"),
+    )
+    at = lambda q: F.when(F.col("timed") > 0, F.kll_sketch_get_quantile_bigint("latency", F.lit(q)))
+    return rolled.select("hour", "mode", "tenant", F.col("level").cast("int").alias("level"), *EXACT, "tenants", at(0.5).alias("median_ms"), at(0.95).alias("p95_ms"))

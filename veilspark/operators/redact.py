@@ -144,6 +144,28 @@ def one_vault(vaults: DataFrame, key: str) -> DataFrame:
     return each.select(key, F.from_json(F.when(F.col("a") == F.col("b"), F.col("a")), "map<string,string>").alias("tokens"))
 
 
+def resolve_partials(tails: DataFrame, tokens: DataFrame, request: str, tail: str = "tail", token: str = "token") -> DataFrame:
+    """``tails`` with ``value``: that of the one token of the request that begins with the tail; null where none or several do.
+
+    A prefix join by order: a request's tokens that begin with a tail stand right behind it, so one sort of both and the next two
+    tokens decide. ``tokens``: request, token, value. Tails that do not begin as a token does, and null ones, stand for nothing; a token
+    that is listed twice with one value is one."""
+    known = tokens.filter(F.col(request).isNotNull() & F.col(token).isNotNull()).select(request, F.col(token).alias("__text"), F.col("value").alias("__value")).distinct()
+    following = F.lead("__text").over(Window.partitionBy(request).orderBy("__text", "__value"))
+    known = known.select(request, "__text", F.struct("__text", "__value", following.alias("after")).alias("__token"))
+    live = F.col(request).isNotNull() & F.startswith(tail, F.lit("<"))
+    given = tails.drop("value").filter(live)
+    rows = given.select(request, F.col(tail).alias("__text"), F.struct(*given.columns).alias("__row")).unionByName(known, allowMissingColumns=True)
+    # From the last to the first, tokens before tails of the same text: the nearest token seen is the next one in order.
+    order = Window.partitionBy(request).orderBy(F.desc("__text"), F.col("__row").isNotNull(), F.desc("__token")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("__next", F.last("__token", ignorenulls=True).over(order)).filter("__row is not null")
+    fits = lambda t: F.coalesce(F.startswith(t, F.col("__text")), F.lit(False))
+    one = fits(F.col("__next.__text")) & ~fits(F.col("__next.after"))
+    out = found.select("__row.*", F.when(one, F.col("__next.__value")).alias("value"))
+    none = F.lit(None).cast(out.schema["value"].dataType).alias("value")
+    return out.unionByName(tails.drop("value").filter(~F.coalesce(live, F.lit(False))).select(*given.columns, none))
+
+
 def flipped(m: Column) -> Column:
     return F.map_from_entries(F.transform(F.map_entries(m), lambda e: F.struct(e["value"], e["key"])))
 

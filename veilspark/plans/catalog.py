@@ -252,9 +252,14 @@ def policy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return outcomes_of(table(spark, sf_dir, "events"))
+
+
+def outcomes_of(events: DataFrame, *carry: str) -> DataFrame:
+    e = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     kind = F.col("event_type")
     return e.select(
+        *carry,
         F.when(kind == "view", F.lit("strip")).when(kind == "error", F.lit("off")).otherwise(F.lit("reversible")).alias("mode"),
         F.create_map(F.lit("EMAIL"), F.col("k") % 3, F.lit("PHONE"), F.col("k") % 2).alias("entity_counts"),
         F.when(kind == "click", F.array(F.lit("pii"), F.lit("pci"))).otherwise(F.array(F.lit("phi"))).alias("active_sets"), (F.col("k") % 3 + F.col("k") % 2).alias("total"),

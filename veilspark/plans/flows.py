@@ -9,6 +9,7 @@ from veilspark.operators import agreement, detect, history, metrics, redact, req
 from veilspark.plans import catalog, redaction, sql
 from veilspark.sources import bodies, io
 from veilspark.sources.shared import cut, shared_dir, spread
+from veilspark.streaming import sessions
 
 
 def body_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +112,37 @@ def audit_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seals.seal(records, "tenant", 64).select("tenant", "segment", "n", "root")
 
 
-QUERIES = (body_slots, streamed_restoring_in_sql, bodies_source, sink_round_trip, row_failures, pseudonym_first_types, metrics_text, policy_as_of, detector_agreement, audit_segments)
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of the events of three groups of users, one with most of them: no more than four minutes between neighbours."""
+    e = catalog.table(spark, sf_dir, "events").withColumn("tenant", F.when(F.col("user_id") % 5 < 3, F.lit("big")).otherwise(F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string"))))
+    return sessions.sessions(e, "tenant", "ts", 240).select("tenant", F.unix_micros("start").alias("start_us"), F.unix_micros("last").alias("last_us"), "n")
+
+
+def held_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the orders' customers, and beginnings of them of all lengths, unique, shared and absent."""
+    o = catalog.table(spark, sf_dir, "orders")
+    request = (F.col("o_custkey") % 100).alias("request_id")
+    token = F.concat(F.lit("<EMAIL_"), F.upper(F.substring(F.sha2(F.col("o_orderkey").cast("string"), 256), 1, 6)), F.lit("_1>"))
+    tokens = o.select(request, token.alias("token"), F.col("o_orderkey").alias("value"))
+    tail = F.when(F.col("o_orderkey") % 7 == 0, F.lit("<NONE_")).otherwise(F.substring(token, F.lit(1), (F.col("o_orderkey") % 17).cast("int")))
+    return redact.resolve_partials(o.select(request, "o_orderkey", tail.alias("tail")), tokens, "request_id")
+
+
+def operations_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes by hour, mode and tenant, rolled up; the exact counts, and whether the distinct tenants are within the sketch's error."""
+    e = catalog.table(spark, sf_dir, "events")
+    o = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("tenant"), "event_type", "user_id", "value", "props")
+    groups = metrics.hourly(catalog.outcomes_of(o, "ts", "tenant"))
+    exact = groups.groupingSets([[], ["hour"], ["hour", "mode"], ["hour", "mode", "tenant"]], "hour", "mode", "tenant").agg(F.countDistinct(groups["tenant"]).alias("n"), F.grouping_id().alias("g"))
+    rows = metrics.report(groups)
+    near = rows.join(exact.select(F.col("hour").alias("h"), F.col("mode").alias("m"), F.col("tenant").alias("t"), "n", (F.lit(3) - F.bit_count("g")).cast("int").alias("l")),
+                     F.col("hour").eqNullSafe(F.col("h")) & F.col("mode").eqNullSafe(F.col("m")) & F.col("tenant").eqNullSafe(F.col("t")) & (F.col("level") == F.col("l")))
+    bound = F.col("level") == 3
+    within = (F.abs(F.col("tenants") - F.col("n")) <= F.greatest(F.lit(1.0), F.col("n") * (4 * 1.04 / 2 ** (metrics.HLL_BITS / 2)))) | bound
+    return near.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "mode", "tenant", "level", *metrics.EXACT, within.alias("within"))
+
+
+QUERIES = (body_slots, streamed_restoring_in_sql, bodies_source, sink_round_trip, row_failures, pseudonym_first_types, metrics_text, policy_as_of, detector_agreement, audit_segments, event_sessions, held_tails, operations_report)
 
 
 def oracle_sql(run_secret: str) -> dict[str, str]:
@@ -125,6 +156,17 @@ def oracle_sql(run_secret: str) -> dict[str, str]:
     levels = "".join(f"""
             l{k + 1} as (select tenant, segment, i // 2 as i, case when count(*) = 2 then sha256(chr(1) || min(h) filter (i % 2 = 0) || min(h) filter (i % 2 = 1)) else min(h) end as h from l{k} group by tenant, segment, i // 2),""" for k in range(6))
     return {
+        "event_sessions": """with e as (select case when user_id % 5 < 3 then 'big' else 't' || user_id % 5 end as tenant, epoch_us(ts) as t from events where ts is not null),
+            g as (select *, coalesce(t - lag(t) over (partition by tenant order by t) > 240000000, false)::int as opens from e),
+            s as (select *, sum(opens) over (partition by tenant order by t) as k from g)
+            select tenant, min(t) as start_us, max(t) as last_us, count(*) as n from s group by tenant, k""",
+        "held_tails": """with o as (select *, o_custkey % 100 as request_id, '<EMAIL_' || upper(substr(sha256(o_orderkey::varchar), 1, 6)) || '_1>' as token from orders),
+            t as (select request_id, o_orderkey, case when o_orderkey % 7 = 0 then '<NONE_' else substr(token, 1, (o_orderkey % 17)::int) end as tail from o)
+            select t.request_id, t.o_orderkey, t.tail, case when tail like '<%' and count(o.token) = 1 then min(o.o_orderkey) end as value
+            from t left join o on o.request_id = t.request_id and starts_with(o.token, t.tail) group by t.request_id, t.o_orderkey, t.tail""",
+        "operations_report": sql.OUTCOMES.replace("select case event_type", "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, 't' || user_id as tenant, case event_type", 1) + """
+            select hour, mode, tenant, (3 - bit_count(grouping(hour, mode, tenant)))::int as level, count(*) as requests, sum(total)::bigint as entities, count(bypass_reason) as bypassed, count_if(failed_closed)::bigint as failed_closed, true as within
+            from outcomes group by grouping sets ((), (hour), (hour, mode), (hour, mode, tenant))""",
         "policy_as_of": """with e as (select *, case when user_id % 5 < 3 then 'big' else 't' || user_id end as tenant from events),
             v as (select tenant, ts, max(event_id) as number from e where event_type in ('signup', 'purchase') group by tenant, ts),
             r as (select * from e where event_type not in ('signup', 'purchase'))
