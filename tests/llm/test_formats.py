@@ -350,6 +350,37 @@ def test_lm_scores(spark, small):
     assert lm.score(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def brute_score(text, vocabulary, model):
+    """Every token's probability by a softmax over all symbols, and its share of its class."""
+    one = two = lm.START
+    out = 0.0
+    for w in lm.tokens(text):
+        place = vocabulary.ids.get(w)
+        symbol = int(vocabulary.symbols[place]) if place is not None else lm.class_of(w)
+        context = model.q[one].astype(float) * model.c[0] + model.q[two].astype(float) * model.c[1]
+        logits = model.r.astype(float) @ context + model.b
+        out += (logits[symbol] - logits.max() - math.log(np.exp(logits - logits.max()).sum())) / math.log(10)
+        if symbol >= lm.WORDS:
+            count = int(vocabulary.counts[place]) if place is not None else 0
+            out += math.log10((count + 1) / (vocabulary.classes[symbol - lm.WORDS].sum() + 1))
+        one, two = symbol, one
+    return out
+
+
+def test_lm_scores_equal_brute_force_and_do_not_depend_on_partitions(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").filter("length(text) < 6000").union(spark.createDataFrame([(7001, ""), (7002, None), (7003, "the " * 3000)], "doc_id bigint, text string")).cache()
+    vocabulary = lm.vocabulary_of(lm.count_tokens(docs))
+    model = lm.train(docs, vocabulary)
+    few = {r.doc_id: r for r in lm.score(docs.repartition(1)).collect()}
+    many = {r.doc_id: r for r in lm.score(docs.repartition(64)).collect()}
+    assert few.keys() == many.keys()
+    for i, r in few.items():
+        assert r.score == pytest.approx(many[i].score, rel=1e-6, abs=1e-6)
+    for r in docs.collect():
+        if r.doc_id % 7 == 0 or r.doc_id > 7000:
+            assert few[r.doc_id].score == pytest.approx(brute_score(r.text, vocabulary, model), rel=1e-4, abs=1e-3)
+
+
 def test_lm_is_normalised():
     vocabulary = lm.Vocabulary([(b"w%d" % i, 900 - i) for i in range(700)], 400_000, 700)
     model = lm.Model(vocabulary.unigram())

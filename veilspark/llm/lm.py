@@ -3,9 +3,9 @@
 Tokens are words with A-Z in lower case and one end token per text.  Counts of all tokens come from all
 training documents.  The model's symbols are the commonest words and, for all other words, classes by ending
 and length.  The predicted vector is the sum of the two preceding symbols' vectors, each scaled by a vector of
-its position; a symbol's score is the product with its own vector plus a bias.  Every task trains on all its
-training tokens in numpy against shared noise samples, and the tasks' parameters are averaged by Spark,
-weighted by tokens.  Scoring normalises over all symbols, by batched matrix products over the contexts not
+its position; a symbol's score is the product with its own vector plus a bias.  Documents are dealt into shards of
+about two million tokens by their hash, as symbols of two bytes; a task trains on a shard's tokens in numpy against
+shared noise samples, and the shards' parameters are averaged by Spark, weighted by tokens.  Scoring normalises over all symbols, by batched matrix products over the contexts not
 met before; a word in a class has its add-one share of the class, with one more share for unseen words.
 
 The commonest ``HEAD`` words' counts go to the tasks with the model (bounded by that parameter); counts of all
@@ -40,6 +40,7 @@ NOISE = 32
 BATCH = 1024
 RATE = 0.05
 CHARS = 1 << 18
+SHARD = 2_000_000  # tokens that one task trains on, about
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -208,8 +209,30 @@ def _contexts(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.
     return one, two
 
 
+def _encoded(docs: DataFrame, shared) -> DataFrame:
+    """Training documents as ``key`` (a hash of id and text) and ``symbols``, two bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, at = batch.column(2).to_pylist(), 0
+            for ids, texts in _texts(batch):
+                mine, at = keys[at : at + len(ids)], at + len(ids)
+                kept = [(k, tokens(t)) for k, i, t in zip(mine, ids, texts, strict=True) if not held_out(i)]
+                if not kept:
+                    continue
+                _, symbols, _ = _symbols(shared.value, [w for _, f in kept for w in f])
+                ends = np.cumsum([len(f) for _, f in kept])
+                rows = [x.astype(np.uint16).tobytes() for x in np.split(symbols, ends[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array(rows, pa.binary())], names=["key", "symbols"])
+
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(run, "key bigint, symbols binary")
+
+
 def train(docs: DataFrame, vocabulary: Vocabulary) -> Model:
-    """One pass of every task over all its training tokens; the average of the tasks' parameters."""
+    """One pass over all training tokens in shards of about ``SHARD``; the average of the shards' parameters.
+
+    Documents go to shards by their hash and stand in its order there, so the model depends on the documents and not on the files or
+    partitions they come in."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,19 +240,17 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Model:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for ids, texts in _texts(batch):
-                found = [tokens(t) for i, t in zip(ids, texts, strict=True) if not held_out(i)]
-                if not found:
-                    continue
-                _, symbols, _ = _symbols(shared.value, [w for f in found for w in f])
-                held.append((*_contexts(symbols, np.array([len(f) for f in found])), symbols))
+            found = [np.frombuffer(x, np.uint16).astype(np.int32) for x in batch.column(1).to_pylist()]
+            for at in range(0, len(found), 256):
+                part = found[at : at + 256]
+                symbols = np.concatenate(part)
+                held.append((*_contexts(symbols, np.array([len(f) for f in part])), symbols))
                 size += len(symbols)
                 if size >= BATCH * 64:
                     one, two, target = (np.concatenate(c) for c in zip(*held, strict=True))
-                    for at in range(0, size - BATCH + 1, BATCH):
-                        cut_ = slice(at, at + BATCH)
-                        model.train(one[cut_], two[cut_], target[cut_], random)
                     done = size - size % BATCH
+                    for start in range(0, done, BATCH):
+                        model.train(one[start : start + BATCH], two[start : start + BATCH], target[start : start + BATCH], random)
                     held, size, learnt = [(one[done:], two[done:], target[done:])], size - done, learnt + done
         if size:
             one, two, target = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -242,7 +263,9 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Model:
                 [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), learnt, np.int64))], names=["i", "x", "n"]
             )
 
-    parts = docs.select("doc_id", "text").mapInArrow(run, "i int, x float, n bigint")
+    shards = max(1, -(-vocabulary.n // SHARD))
+    dealt = _encoded(docs, shared).repartition(shards, "key").sortWithinPartitions("key", "symbols")
+    parts = dealt.mapInArrow(run, "i int, x float, n bigint")
     rows = parts.groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).collect()  # one row per parameter
     model = Model(vocabulary.unigram())
     if rows:
