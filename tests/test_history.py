@@ -7,7 +7,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.operators import agreement, history, seals
+from veilspark.operators import agreement, audit, history, metrics, redact, seals
+from veilspark.sources import io
 from veilspark.streaming import replies, sessions
 
 T0 = datetime(2024, 1, 1)
@@ -154,3 +155,62 @@ def test_ten_thousand_frames_wait_in_the_state(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(tuple(r) for r in table)
     text = "".join(replies.parse_delta("openai", r.frame[5:].strip())[0] for r in sorted(got, key=lambda r: (r.seq, r.part)))
     assert text == "Ann " * (n // 2)
+
+
+def test_heads_are_recovered_behind_a_torn_line(spark, tmp_path):
+    at = f"file://{tmp_path}/audit"
+    chained = audit.chain(records(spark, 30), "tenant")
+    rows = sorted((r.tenant, r.seq, r.value) for r in chained.select("tenant", "seq", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).collect())
+    last = {t: max(s for u, s, _ in rows if u == t) for t in ("hot", "b")}
+    torn = [v[: len(v) - 40] if (t, s) == ("hot", last["hot"]) else v for t, s, v in rows]
+    (tmp_path / "audit").mkdir()
+    (tmp_path / "audit/x.jsonl").write_text("\n".join(torn) + "\n\n")
+    lines = io.read_audit(spark, at)
+    assert lines.count() == 30 and lines.columns == [f.split()[0] for f in io.AUDIT.split(", ")]
+    heads = {r.tenant: r for r in audit.recover_heads(lines, "tenant").collect()}
+    hashes = {(r.tenant, r.seq): r.hash for r in chained.collect()}
+    assert heads["b"].head == hashes["b", last["b"]] and heads["b"].torn == 0
+    before = max(s for t, s, _ in rows if t == "hot" and s < last["hot"])
+    assert (heads["hot"].head, heads["hot"].last, heads["hot"].torn) == (hashes["hot", before], before, 1)
+    found = {r.tenant: (r.ok, r.reason, r.broken_at) for r in audit.verify(lines, "tenant").collect()}
+    assert found == {"hot": (False, "unparseable line", 19), "b": (True, None, None)}
+    more = audit.chain(records(spark, 36).filter("seq >= 30"), "tenant", heads=audit.recover_heads(lines, "tenant").select("tenant", "head"))
+    assert all(r.ok for r in audit.verify(lines.filter("hash is not null").unionByName(more.select(*lines.columns)), "tenant").collect())
+
+
+def test_partial_tokens_over_a_table(spark):
+    rng = random.Random(8)
+    tokens = [(rng.choice(["a", "a", "b", None]), "<" + "".join(rng.choice("ABCDE") for _ in range(rng.randrange(1, 5))) + ">", i % 9) for i in range(60)]
+    tokens = list({(r, t): (r, t, v) for r, t, v in tokens}.values())
+    tails = [(rng.choice(["a", "b", "c", None]), rng.choice([None, "", "<", "A", "<>", rng.choice(tokens)[1][: rng.randrange(1, 7)], rng.choice(tokens)[1][: rng.randrange(1, 7)]]), i) for i in range(400)]
+    got = redact.resolve_partials(spark.createDataFrame([(*t, "old") for t in tails], "r string, tail string, i int, value string").repartition(3), spark.createDataFrame(tokens + tokens[:3], "r string, token string, value int"), "r")
+
+    def searched(r, tail):
+        fits = [v for q, t, v in tokens if q == r and r is not None and tail is not None and tail.startswith("<") and t.startswith(tail)]
+        return fits[0] if len(fits) == 1 else None
+
+    out = sorted((x.i, x.r, x.tail, x.value) for x in got.collect())
+    assert out == [(i, r, t, searched(r, t)) for r, t, i in tails]
+    assert sum(x[3] is not None for x in out) > 10
+
+
+def test_report_estimates_are_within_their_error(spark):
+    n = 40_000
+    base = spark.range(n).select(
+        (F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") % 7200)).alias("ts"), F.concat(F.lit("t"), (F.col("id") * 7919 % 3000).cast("string")).alias("tenant"), F.when(F.col("id") % 3 == 0, F.lit("strip")).otherwise(F.lit("off")).alias("mode"),
+        F.lit(1).alias("total"), F.lit(None).cast("string").alias("bypass_reason"), F.lit(False).alias("failed_closed"), F.when(F.col("id") % 4 > 0, F.col("id") % 1000).alias("ms"),
+    )
+    groups = metrics.hourly(base)
+    by_level = {}
+    for r in metrics.report(groups).collect():
+        by_level.setdefault(r.level, []).append(r)
+    assert {k: len(v) for k, v in by_level.items() if k < 3} == {0: 1, 1: 2, 2: 4}
+    top = by_level[0][0]
+    assert top.requests == n == sum(r.requests for r in by_level[3]) and abs(top.tenants - 3000) < 3000 * 0.05
+    exact = sorted(r.ms for r in base.filter("ms is not null").select("ms").collect())
+    for value, q in ((top.median_ms, 0.5), (top.p95_ms, 0.95)):
+        assert abs(sum(x <= value for x in exact) / len(exact) - q) < 0.03
+    halves = metrics.hourly(base.filter("total = 1 and ms % 2 = 0")).unionByName(metrics.hourly(base.filter("ms is null or ms % 2 = 1")))
+    again = metrics.report(halves).filter("level = 0").first()
+    assert again.requests == n and abs(again.tenants - top.tenants) < 150
+    assert metrics.report(metrics.hourly(base.filter("ms is null"))).filter("level = 0").first().median_ms is None

@@ -61,6 +61,13 @@ def heads(chained: DataFrame, key: str, seq: str = "seq") -> DataFrame:
     return chained.groupBy(key).agg(F.max_by("hash", seq).alias("head"))
 
 
+def recover_heads(lines: DataFrame, key: str, seq: str = "seq") -> DataFrame:
+    """What ``chain`` goes on from after a stop, of lines as ``io.read_audit`` gives them: key, ``head`` and ``last`` (hash and number of the newest whole
+    record; none: a new chain) and ``torn`` (lines that could not be read; they stay where they are and show in ``verify``)."""
+    whole = F.when(F.col("hash").isNotNull(), F.col(seq))
+    return lines.groupBy(key).agg(F.max_by("hash", whole).alias("head"), F.max(whole).alias("last"), F.count_if(F.col("hash").isNull()).alias("torn"))
+
+
 def verify(chained: DataFrame, key: str, seq: str = "seq") -> DataFrame:
     """Per chain: records, ok, the place of the first break and why; an unparseable record has a null hash."""
     w = Window.partitionBy(key).orderBy(seq)
