@@ -167,12 +167,12 @@ def test_source_reads_ranges_and_rows_that_are_no_requests(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     lines = [line(i, "é" * (i % 50)) for i in range(500)]
-    odd = ["{nonsense\n", "5\n", "\n", '{"request_id":"\\ud83d"}\n', line(900, "x" * 300), line(901, "y" * 20_000_000), '{"request_id":5,"ts":"x","headers":[1],"body":{}}\n', "[" * 100_000 + "\n"]
+    odd = ["{nonsense\n", "5\n", "\n", '{"request_id":"\\ud83d"}\n', line(900, "x" * 300), line(901, "y" * 1_500_000), '{"request_id":5,"ts":"x","headers":[1],"body":{}}\n', "[" * 100_000 + "\n"]
     (folder / "a.jsonl").write_text("".join(lines[:300]) + "".join(odd))
     (folder / "b.jsonl").write_text("".join(lines[300:]).rstrip("\n"))
     (folder / "_hidden").write_text(line(999))
-    for step in (97, 1000, 1 << 20):
-        got = spark.read.format("bodies").option("limit", 200).option("range_bytes", step if step > 97 else 5_000).load(str(folder)).collect()
+    for step in (20_011, 1 << 20):
+        got = spark.read.format("bodies").option("limit", 200).option("range_bytes", step).load(str(folder)).collect()
         good = {r.request_id: r for r in got if r.error is None and r.request_id}
         assert {r: (x.ts, x.headers, x.body) for r, x in good.items()} == {f"r{i}": (i, {"A": "b"}, "é" * (i % 50)) for i in range(500)}
         assert sorted(r.error for r in got if r.error) == ["body too large", "line too large", *["unparseable line"] * 4]

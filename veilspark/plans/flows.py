@@ -101,7 +101,8 @@ def policy_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detector_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two catalogs over the documents: that of personal data, and those of health and payment data and secrets."""
     both = spread(catalog.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    both = cut(both.select("doc_id", detect.spans(F.col("text"), sets=("pii",)).alias("a"), detect.spans(F.col("text"), sets=("phi", "pci", "secrets")).alias("b")), "spans")
+    bare = lambda sets: F.transform(detect.spans(F.col("text"), sets=sets), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type")))
+    both = cut(both.select("doc_id", bare(("pii",)).alias("a"), bare(("phi", "pci", "secrets")).alias("b")), "spans")  # places only, no values
     each = lambda c: both.select("doc_id", F.inline(c)).select("doc_id", "start", "end", "type")
     return agreement.matrix(each("a"), each("b"), "doc_id")
 
