@@ -129,7 +129,7 @@ def held_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.resolve_partials(o.select(request, "o_orderkey", tail.alias("tail")), tokens, "request_id")
 
 
-def operations_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hourly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes by hour, mode and tenant, rolled up; the exact counts, and whether the distinct tenants are within the sketch's error."""
     e = catalog.table(spark, sf_dir, "events")
     o = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("tenant"), "event_type", "user_id", "value", "props")
@@ -143,7 +143,7 @@ def operations_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "mode", "tenant", "level", *metrics.EXACT, within.alias("within"))
 
 
-QUERIES = (body_slots, streamed_restoring_in_sql, bodies_source, sink_round_trip, row_failures, pseudonym_first_types, metrics_text, policy_as_of, detector_agreement, audit_segments, event_sessions, held_tails, operations_report)
+QUERIES = (body_slots, streamed_restoring_in_sql, bodies_source, sink_round_trip, row_failures, pseudonym_first_types, metrics_text, policy_as_of, detector_agreement, audit_segments, event_sessions, held_tails, hourly_report)
 
 
 def oracle_sql(run_secret: str) -> dict[str, str]:
@@ -165,7 +165,7 @@ def oracle_sql(run_secret: str) -> dict[str, str]:
             t as (select request_id, o_orderkey, case when o_orderkey % 7 = 0 then '<NONE_' else substr(token, 1, (o_orderkey % 17)::int) end as tail from o)
             select t.request_id, t.o_orderkey, t.tail, case when tail like '<%' and count(o.token) = 1 then min(o.o_orderkey) end as value
             from t left join o on o.request_id = t.request_id and starts_with(o.token, t.tail) group by t.request_id, t.o_orderkey, t.tail""",
-        "operations_report": sql.OUTCOMES.replace("select case event_type", "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, 't' || user_id as tenant, case event_type", 1) + """
+        "hourly_report": sql.OUTCOMES.replace("select case event_type", "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, 't' || user_id as tenant, case event_type", 1) + """
             select hour, mode, tenant, (3 - bit_count(grouping(hour, mode, tenant)))::int as level, count(*) as requests, sum(total)::bigint as entities, count(bypass_reason) as bypassed, count_if(failed_closed)::bigint as failed_closed, true as within
             from outcomes group by grouping sets ((), (hour), (hour, mode), (hour, mode, tenant))""",
         "policy_as_of": """with e as (select *, case when user_id % 5 < 3 then 'big' else 't' || user_id end as tenant from events),
