@@ -1,5 +1,6 @@
 """Policies by time, agreement of detectors, sealed audit segments, sessions, and replies whose frames wait in the state."""
 
+import hashlib
 import json
 import random
 from datetime import datetime, timedelta
@@ -59,6 +60,18 @@ def records(spark, n=300, tenants=("hot", "hot", "b")):
     return spark.createDataFrame(rows, "tenant string, seq bigint, ts bigint, provider string, model string, mode string, entity_counts map<string,int>, sets array<string>, total int").repartition(4)
 
 
+def test_heads_are_folded_row_by_row_and_no_chain_is_gathered(spark):
+    r = spark.range(40_000).select(F.when(F.col("id") % 8 == 0, None).otherwise(F.lit("hot")).alias("k"), F.col("id").alias("segment"), F.lit(1).cast("long").alias("n"), F.col("id").alias("first"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("last"), F.sha2(F.col("id").cast("string"), 256).alias("root"))
+    headed = seals._headed(r.orderBy(F.desc("id")), "k")
+    assert "collect_list" not in headed._jdf.queryExecution().toString()  # one row of a whole chain, and an array of heads copied at each step
+    now = {"hot": audit.GENESIS, None: audit.GENESIS}
+    for x in sorted(headed.collect(), key=lambda x: x.segment):
+        text = "|".join(str(v) for v in x[1:6] if v is not None)
+        now[x.k] = hashlib.sha256(f"{now[x.k]}|{text}".encode()).hexdigest()
+        assert x.head == now[x.k]
+    assert headed.columns == ["k", "segment", "n", "first", "last", "root", "head"]
+
+
 def test_seals_show_what_was_changed_or_lost(spark, tmp_path):
     r = records(spark)
     sealed = seals.seal(r, "tenant", 16).cache()

@@ -12,16 +12,19 @@ neighbour goes up as it is.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilspark.functions.digests import canonical_json
 from veilspark.operators import audit
 from veilspark.operators.redact import bound
 
 SIZE = 1024
+SEALED = ("segment", "n", "first", "last", "root")  # what a head covers, in order
 
 
 def leaf(seq: str = "seq") -> Column:
@@ -51,10 +54,12 @@ def root(leaves: Column, size: int = SIZE) -> Column:
 
 def segments(records: DataFrame, key: str, size: int = SIZE, seq: str = "seq") -> DataFrame:
     """key, segment, n, first, last, root: one row for each segment that has records. Repeated numbers are leaves each."""
-    leaves = records.select(key, F.floor(F.col(seq) / size).alias("segment"), F.struct(F.col(seq).alias("seq"), leaf(seq).alias("leaf")).alias("l"))
+    number = F.floor(F.col(seq) / size).alias("segment")
+    leaves = records.select(key, number, F.struct(F.col(seq).alias("seq"), leaf(seq).alias("leaf")).alias("l"))
     each = leaves.groupBy(key, "segment").agg(F.sort_array(F.collect_list("l")).alias("ls"))
-    longest = each.agg(F.max(F.size("ls"))).first()[0] or 1  # more than ``size`` only where numbers repeat
-    tree = root(F.transform("ls", lambda x: x["leaf"]), longest)
+    # More than ``size`` only where numbers repeat; counted without hashing a record.
+    longest = records.groupBy(key, number).count().agg(F.max("count")).first()[0] or 1
+    tree = bound(F.transform("ls", lambda x: x["leaf"]), lambda leaves: root(leaves, longest))  # bound, or each node would list all leaves again
     return each.select(key, "segment", F.size("ls").cast("bigint").alias("n"), F.get("ls", F.lit(0))["seq"].alias("first"), F.element_at("ls", -1)["seq"].alias("last"), tree.alias("root"))
 
 
@@ -64,12 +69,25 @@ def seal(records: DataFrame, key: str, size: int = SIZE, seq: str = "seq") -> Da
 
 
 def _headed(rows: DataFrame, key: str) -> DataFrame:
-    """One short row for each segment of a key in order; the fold is native."""
-    each = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("segment", "n", "first", "last", "root"))).alias("s"))
-    line = lambda x: F.concat_ws("|", x["segment"].cast("string"), x["n"].cast("string"), x["first"].cast("string"), x["last"].cast("string"), x["root"])
-    heads = F.aggregate("s", F.array(F.lit(audit.GENESIS)), lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), F.lit("|"), line(x)), 256))))
-    both = F.arrays_zip(F.col("s").alias("s"), F.slice(heads, F.lit(2), F.size("s")).alias("head"))
-    return each.select(key, F.explode(both).alias("b")).select(key, "b.s.*", F.col("b.head").alias("head"))
+    """``head`` beside each segment. A chain is a sequential fold: one pass over a key's segments in order, one short row each, carries the
+    head along, so that no chain has to fit in memory and none is copied as it grows."""
+    line = F.concat_ws("|", *[F.col(c).cast("string") for c in SEALED])
+    kept = rows.select(key, *SEALED)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, head = object(), audit.GENESIS
+        for batch in batches:
+            heads = []
+            for k, text in zip(batch.column(key).to_pylist(), batch.column("__line").to_pylist(), strict=True):
+                if k != now:
+                    now, head = k, audit.GENESIS
+                head = hashlib.sha256(f"{head}|{text}".encode()).hexdigest()
+                heads.append(head)
+            names = [n for n in batch.schema.names if n != "__line"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(heads, pa.string())], names=[*names, "head"])
+
+    ordered = kept.withColumn("__line", line).repartition(key).sortWithinPartitions(key, *SEALED)
+    return ordered.mapInArrow(fold, T.StructType(kept.schema.fields).add("head", "string"))
 
 
 def anchors(sealed: DataFrame, key: str) -> DataFrame:
