@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.patterns import Catalog
 from veilspark.operators import detect
+from veilspark.plans import catalog
+from veilspark.sources.shared import spread
 
 ALL = ("pii", "phi", "pci", "secrets")
 # Texts and the types found in them.
@@ -105,3 +107,22 @@ def test_checks_agree_with_their_twins(spark, name):
     df = spark.createDataFrame([(v,) for v in values], "v string")
     column, twin = CHECKS[name]
     assert [r[0] for r in df.select(column(df.v)).collect()] == [twin(v) for v in values]
+
+
+@pytest.mark.parametrize("name", ["entity_spans", "entity_spans_pages", "entity_types", "entity_tally", "minted_tokens", "pseudonym_collisions"])
+def test_spans_are_found_once_in_a_plan(spark, small, name):
+    plan = catalog.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # a filter inferred from an explode would find them again, below the step that deals rows out
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        t = spark.read.parquet(str(tmp_path / "t"))
+        filled = lambda df: df.select(F.spark_partition_id()).distinct().count()
+        assert t.rdd.getNumPartitions() >= 4 and filled(t) == 1 and filled(spread(t)) == 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
