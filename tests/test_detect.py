@@ -126,3 +126,18 @@ def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_sets_alone_share_one_search(spark, small):
+    plan = lambda name: catalog.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    ssn = "[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}"  # of two sets
+    assert plan("tally_by_set").count(ssn) == plan("entity_tally").count(ssn)
+
+
+def test_sets_alone_find_what_each_finds(spark):
+    texts = [*(t for t, *_ in EXAMPLES), "\uff11\uff12\uff13-45-6789 and a\u200b@b.co", "ssn 123-45-6789, 021000021 on 2020-01-02", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = {(r.id, r.s.set_name): r.s.spans for r in detect.each(df, "id", spans_=detect.spans_alone(F.col("text"))).collect()}
+    for n in ALL:
+        for r in detect.detect(df, sets=(n,)).collect():
+            assert got[r.id, n] == r.spans
