@@ -1,14 +1,16 @@
 """Tokens, restoring, bodies, streams, shaping, audit and metrics."""
 
+import hashlib
 import hmac as py_hmac
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions import digests
 from veilspark.operators import audit, bodies, detect, redact, requests
-from veilspark.plans import redaction
+from veilspark.plans import catalog, redaction
 from veilspark.sources import io
 from veilspark.streaming import replies
 
@@ -258,3 +260,29 @@ def test_entry_imports_without_the_subpackage(tmp_path):
     shutil.copy(repo / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'entity_spans' in q and not any(n.startswith('op') for n in q) and set(o) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_restoring_looks_for_placeholders_once(spark):
+    """Time is what differs: looking again at each of the gaps takes minutes."""
+    n = 20_000
+    df = spark.range(1).select(F.repeat(F.lit("<A_1> and <B_2>, "), n).alias("text"), F.create_map(F.lit("<A_1>"), F.lit("Ann")).alias("tokens"))
+    began = time.time()
+    assert df.select(redact.restore(F.col("text"), F.col("tokens")).alias("x")).first().x == "Ann and <B_2>, " * n
+    assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("name", ["streamed_restoring"])
+def test_streams_redact_a_document_once(spark, small, name):
+    plan = catalog.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan
+
+
+def test_vaults_beside_frames_of_any_kind(spark):
+    """Repeated vaults count once, different ones not at all; a reply without one, and one without an id, stay as they are."""
+    frame = lambda text: f'data: {{"choices":[{{"delta":{{"content":"{text}"}}}}]}}\n\n'
+    frames = [(r, "openai", i, frame(x)) for r in ("a", "b", "c", None) for i, x in enumerate(("<A", "_1> x"))]
+    vaults = [("a", {"<A_1>": "Ann"}), ("a", {"<A_1>": "Ann"}), ("a", None), ("b", {"<A_1>": "Bob"}), ("b", {"<A_1>": "Ben"}), (None, {"<A_1>": "Non"}), ("d", {"<A_1>": "Dee"})]
+    out = replies.restore_frames(spark.createDataFrame(frames, "request_id string, provider string, seq bigint, frame string"), spark.createDataFrame(vaults, "request_id string, tokens map<string,string>"))
+    texts = {r.request_id: r.text for r in catalog.joined_text(out.withColumn("request_id", F.coalesce("request_id", F.lit("none")))).select("request_id", F.col("text_sha256").alias("text")).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert texts == {"a": sha("Ann x"), "b": sha("<A_1> x"), "c": sha("<A_1> x"), "none": sha("<A_1> x")}

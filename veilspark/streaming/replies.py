@@ -1,6 +1,6 @@
 """Restoring streamed replies: a token may be split over frames, so each reply holds back a tail that may still grow.
 
-``restore_frames`` does a finished table of frames, grouped by reply; ``restore_stream`` is the same step as a
+``restore_frames`` does a finished table of frames, sorted by reply; ``restore_stream`` is the same step as a
 stateful streaming operator with the held tail, the block index, the next frame number and the vault as its
 state, and frames that come early kept by their numbers until their turn.
 """
@@ -13,12 +13,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, MapState, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from veilspark.operators.bodies import dump
-from veilspark.operators.redact import one_vault
 
 TOKEN = re.compile("<[A-Z][A-Z0-9_]*>")
 GROWING = re.compile("<[A-Z0-9_]*$")
@@ -159,20 +160,53 @@ class Reply:
 
 def restore_frames(frames: DataFrame, vaults: DataFrame) -> DataFrame:
     """``frames`` (request_id, provider, seq, frame) and ``vaults`` (request_id, tokens: token to value) to restored frames.
-    A reply is one group and has to fit in a task, as it had to fit in a connection. Frames without a request_id are one reply
-    in each dialect, and an id that stands for requests with different tokens restores nothing."""
+    Frames without a request_id are one reply in each dialect, and an id that stands for requests with different tokens restores nothing."""
+    none = lambda kind: F.lit(None).cast(kind)
+    listed = vaults.select("request_id", none("string").alias("provider"), none("bigint").alias("seq"), none("string").alias("frame"), F.to_json("tokens").alias("tokens"))
+    return restore_listed(frames.select("request_id", "provider", "seq", F.coalesce("frame", F.lit("")).alias("frame"), none("string").alias("tokens")).unionByName(listed))
 
-    streams = dict(STREAMS)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seq")
-        tokens = part["tokens"].iloc[0]
-        reply = Reply(part["provider"].iloc[0], dict(tokens) if tokens is not None else {}, streams=streams)
-        rows = [(part["request_id"].iloc[0], int(s), k, f) for s, frame in zip(part["seq"], part["frame"], strict=True) for k, f in enumerate(reply.frame(frame))]
-        rows += [(part["request_id"].iloc[0], int(part["seq"].iloc[-1]), 1000 + k, f) for k, f in enumerate(reply.end())]
-        return pd.DataFrame(rows, columns=["request_id", "seq", "part", "frame"])
+def restore_listed(rows: DataFrame) -> DataFrame:
+    """``restore_frames`` of one table of both: rows without a frame are vaults (tokens as JSON).
 
-    return frames.join(one_vault(vaults, "request_id"), "request_id", "left").groupBy("request_id", "provider").applyInPandas(run, OUT)
+    Rows are sorted by reply, vaults first, and one pass carries a reply's state along, so no reply has to fit in a task and
+    no vault is copied to every frame."""
+    streams = dict(STREAMS)
+    schema = T.StructType.fromDDL(OUT)
+
+    def known(texts: set[str]) -> dict[str, str]:
+        return json.loads(texts.pop()) if len(texts) == 1 else {}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, texts, place, reply, last = object(), set(), object(), None, -1
+
+        def ended() -> list[tuple]:
+            return [(owner, last, 1000 + k, f) for k, f in enumerate(reply.end())] if reply else []
+
+        for batch in batches:
+            out: list[tuple] = []
+            for request, provider, seq, frame, text in zip(*(batch.column(n).to_pylist() for n in ("request_id", "provider", "seq", "frame", "tokens")), strict=True):
+                if request != owner:
+                    out += ended()
+                    owner, texts, place, reply = request, set(), object(), None
+                if frame is None:
+                    texts |= {text} if text is not None and request is not None else set()
+                    continue
+                if provider != place:
+                    out += ended()
+                    place, reply = provider, Reply(provider, known(set(texts)), streams=streams)
+                last = int(seq)
+                out += [(request, last, k, f) for k, f in enumerate(reply.frame(frame))]
+            yield _batch(out)
+        if reply:
+            yield _batch(ended())
+
+    def _batch(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=OUT_NAMES)
+
+    given = rows.select(F.col("request_id").cast("string"), "provider", "seq", "frame", "tokens").repartition("request_id")
+    return given.sortWithinPartitions("request_id", F.col("frame").isNotNull(), "provider", "seq").mapInArrow(fold, schema)
 
 
 class Waiting:
