@@ -82,7 +82,7 @@ def _restored(streams: dict):
             for part, frame in enumerate(self.reply.end() if self.reply else ()):
                 yield *self.last, 1000 + part, frame
 
-    return F.udtf(Restored, useArrow=True)
+    return F.udtf(Restored, useArrow=False)  # with Arrow, every row's output would be a batch of its own
 
 
 def register(spark: SparkSession) -> None:
