@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from veilspark.functions.patterns import Catalog
+from veilspark.functions.patterns import NINE, Catalog
 from veilspark.operators import detect
 from veilspark.plans import catalog
 from veilspark.sources.shared import spread
@@ -141,3 +141,11 @@ def test_sets_alone_find_what_each_finds(spark):
     for n in ALL:
         for r in detect.detect(df, sets=(n,)).collect():
             assert got[r.id, n] == r.spans
+
+
+def test_patterns_of_nine_digits_are_looked_for_only_where_they_can_match(spark):
+    texts = ["x +1 (212) 555-0123", "+12 (212) 555 0123", "4-0-1-2-8-8-8-8-8-8-8-8-1-8-8-1", "123 45 6789 123-45-6789", "021000021", "2125550123", "in 1999, 2001 and 2024", "12345678"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in detect.detect(df).collect():
+        assert [tuple(s) for s in r.spans] == detect.py_detect(r.text, Catalog(), ALL)
+    assert [r[0] for r in df.select(F.rlike("text", F.lit(NINE))).collect()] == [True] * 6 + [False] * 2
