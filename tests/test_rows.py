@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import digests
 from veilspark.functions.patterns import Catalog
 from veilspark.operators import bodies, detect, metrics, redact, requests, tables
-from veilspark.plans import redaction
+from veilspark.plans import catalog, redaction
 from veilspark.sources import bodies as source
 from veilspark.sources import io
 from veilspark.streaming import replies
@@ -41,6 +41,19 @@ def test_a_failing_row_fails_alone(spark):
     assert back["r"] == reply and back["s"] == '{"choices":[{"message":{"content":"Ann"}}],"x":"\\ud83d"}'
 
 
+@pytest.mark.parametrize("name", ["body_restoring", "body_redaction"])
+def test_bodies_are_not_shuffled_by_tenant(spark, small, name):
+    """Also where Spark takes the few policies for many: by its own estimate it broadcasts none here."""
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    given = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        plan = catalog.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, given)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
 def test_fail_open_end_to_end(spark):
     policy = ("t", None, None, "open", None, None, None)
     rows = [("bad", {"x-tenant": "t"}, "{"), ("shut", {}, "{"), ("weak", {"x-tenant": "t"}, '{"messages":[]}'), ("off", {"x-redact-mode": "off"}, "{")]
