@@ -266,6 +266,24 @@ def test_sink_publishes_audit_first_and_each_batch_once(spark, tmp_path):
         rows.write.format("redacted").mode("overwrite").save(at)
 
 
+def test_sink_writes_no_part_again_that_is_published(spark, tmp_path):
+    """A batch tried again takes no disk for what its manifests name already, not even until its end."""
+    at, batches = f"file://{tmp_path}/sink", redacted_rows(spark).toArrow().to_batches()
+    files = lambda: {p for p in tmp_path.rglob("part-*")}
+    writer = source.BatchWriter({"path": at, "batch_id": "b/1"})
+    first = writer.write(iter(batches))
+    assert len(first.audit) == 1 and first.data
+    writer.publish("audit", "b%2F1", first.audit)
+    second = writer.write(iter(batches))  # the first attempt's data were never published
+    assert second.audit == [] and len(second.data) == len(first.data)
+    writer.commit([second])
+    there, given = files(), iter(batches)
+    assert writer.write(given) == source.Written([], []) and files() == there and next(given, None) is None
+    assert source.read_published(spark, at, "audit").count() == 24 == source.read_published(spark, at, "data").count()
+    other = source.BatchWriter({"path": at, "batch_id": "b/2"}).write(iter(batches))
+    assert len(other.audit) == 1 and len(other.data) == len(first.data)
+
+
 def test_sink_of_a_stream(spark, tmp_path):
     source.register(spark)
     redacted_rows(spark).coalesce(2).write.json(f"file://{tmp_path}/in")
